@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import decontaminate
+from .line_dedup import dedup_lines
+from .near_join import jaccard_groups
 from .packing import pack_power_of_two
 from .toxicity import is_held_out, learn_lexicon, score_toxicity
+from .vectors import search
+from .warc_zip import round_trip
 
 
 def tokenizer_path() -> str:
@@ -17,6 +22,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.size("hits").cast("long")
+    return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack_power_of_two(docs, tokenizer_path(), max_len=2048, end_id=1, with_ids=False)
@@ -29,9 +45,39 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_vectors": op9_vectors,
+    "op10_warc_zip": op10_warc_zip,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS spot FROM raw WHERE text IS NOT NULL),
+full_lines AS (SELECT doc_id, spot, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS at FROM lines WHERE trim(line, ' ') <> ''),
+runs AS (SELECT a.doc_id, a.at, a.t AS t1, b.t AS t2 FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.at = a.at + 1),
+later AS (SELECT doc_id, at FROM runs QUALIFY row_number() OVER (PARTITION BY t1, t2 ORDER BY doc_id, at) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.spot FROM later l JOIN full_lines f ON f.doc_id = l.doc_id AND f.at IN (l.at, l.at + 1)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.spot) AS text FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.spot = l.spot GROUP BY l.doc_id)
+SELECT r.doc_id, (SELECT count(*) FROM full_lines f WHERE f.doc_id = r.doc_id) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = r.doc_id) AS n_removed,
+       CASE WHEN r.text IS NULL THEN NULL ELSE sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id
+""",
+}
