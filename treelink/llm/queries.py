@@ -10,6 +10,7 @@ from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .near_join import jaccard_groups
 from .packing import pack_power_of_two
+from .substring_dedup import remove_repeated
 from .toxicity import is_held_out, learn_lexicon, score_toxicity
 from .vectors import search
 from .warc_zip import round_trip
@@ -49,6 +50,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated(table(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_substrings": op8_substrings,
     "op9_vectors": op9_vectors,
     "op10_warc_zip": op10_warc_zip,
 }
