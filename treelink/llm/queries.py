@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .language import identify, learn_trigrams
 from .line_dedup import dedup_lines
 from .near_join import jaccard_groups
 from .packing import pack_power_of_two
+from .pii import replace_pii
 from .substring_dedup import remove_repeated
 from .toxicity import is_held_out, learn_lexicon, score_toxicity
 from .vectors import search
@@ -23,6 +25,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = replace_pii(table(spark, sf_dir, "documents"), key="corpus-key")
+    return new.select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     n_hit = F.size("hits").cast("long")
@@ -39,6 +46,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(docs, tokenizer_path(), max_len=2048, end_id=1, with_ids=False)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, loglik = learn_trigrams(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "pages"), langs, loglik).select("page_id", "lang", "probability", "declared", "suffix")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
@@ -64,9 +76,11 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_substrings": op8_substrings,
