@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        codes = {w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in set(words)}
-        h = np.fromiter((codes[w] for w in words), np.uint64, len(words))
+        codes = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+        h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
         n = min(k, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
@@ -53,16 +54,20 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
 @lru_cache(2)
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(7)
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def minhash(s: np.ndarray, n: int) -> np.ndarray:
+    """Least values of n functions of the shingles' upper 32 bits."""
     a, b = _multipliers(n)
-    best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    high = (s >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(s), 512):
-            best = np.minimum(best, (s[i : i + 512, None] * a + b).min(axis=0))
-    return (best >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(high), 256):
+            x = high[i : i + 256, None] ^ b
+            x *= a
+            best = np.minimum(best, x.min(axis=0))
+    return best
 
 
 @lru_cache(8)
