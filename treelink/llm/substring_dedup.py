@@ -3,7 +3,8 @@
 Strings of `length` bytes are matched exactly once per corpus without a suffix array of all bytes: every window of `length` bytes is
 assigned to its minimiser (the least hash of its inner 48-byte strings), so equal windows meet at equal minimisers. Windows whose
 minimiser occurs once can't repeat. The stretch of windows that share a minimiser is a context; equal contexts are counted before
-anything is sent on, and only the windows of distinct contexts are counted one by one. Window names are two 64-bit hashes.
+anything is sent on. Distinct contexts of one minimiser meet in one task, which compares their windows; if there are many of them,
+their windows are dealt out and counted one by one instead. Window names are two 64-bit hashes.
 
 Defined results: a null text has no bytes; equal texts are read once and count as often as they occur; texts shorter than `length`
 lose nothing; matches never cross documents; an empty table gives no rows; other columns are ignored.
@@ -24,6 +25,10 @@ from .common import Scratch, text_key
 
 #: Bytes of the strings whose hashes are minimised.
 INNER = 48
+#: Contexts of one minimiser that a task matches in memory; of a minimiser with more, each window is dealt out by its name.
+CROWD = 1000
+#: Bytes of contexts that are hashed at a time.
+CHUNK = 1 << 20
 
 
 @lru_cache(4)
@@ -73,6 +78,32 @@ def _ranges(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
 
 
+def window_names(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit names, the piece and the place in it of each window of the pieces."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(pieces)), sizes)[: max(0, len(data) - length + 1)]
+    at = np.arange(len(own))
+    inside = at + length <= ends[own]  # not across the end of a piece
+    own, at = own[inside], at[inside]
+    return rolling(data, length, 2)[inside], rolling(data, length, 3)[inside], own, (at - (ends - sizes)[own]).astype(np.int32)
+
+
+def _matched(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """ctx and ds: the windows that occur again in rows (h, ctx, n, piece), of contexts that occur once."""
+    x, y, own, d = window_names([r[3] for r in rows], length)
+    order = np.argsort(x)
+    again = (np.diff(x[order].view(np.int64)) == 0) & (np.diff(y[order].view(np.int64)) == 0)
+    hit = np.zeros(len(x), bool)
+    hit[order[1:][again]] = hit[order[:-1][again]] = True
+    hit &= np.array([r[2] == 1 for r in rows])[own]
+    own, d = own[hit], d[hit]
+    which, first = np.unique(own, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(d, pa.int32()))
+    return pa.record_batch({"ctx": pa.array([rows[i][1] for i in which], pa.binary()), "ds": lists})
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, text, spans: array of (lo, hi) byte ranges of each row that lie in strings that occur more than once."""
     scratch = Scratch(docs.sparkSession, "substrings")
@@ -97,25 +128,55 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     found = scratch.save(reps.mapInArrow(anchors, "a long, b long, copies long, h long, ctx binary, lo long, hi long"), "anchors")
     # Texts with copies are repeated as a whole, so they need no counts, but others may repeat parts of them.
     common = found.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h")
-    contexts = found.join(common, "h").groupBy("ctx").agg(F.sum("copies").alias("n"), F.min(F.struct("a", "b", "lo", "hi")).alias("one"))
-    contexts = scratch.save(contexts.select("ctx", "n", "one.*"), "contexts")
-    where = contexts.groupBy("a", "b").agg(F.collect_list(F.struct("ctx", "n", "lo", "hi")).alias("cs"))  # bounded by the text's own length
+    shared = scratch.save(found.join(common, "h"), "shared")
+    scratch.drop("anchors")
+    contexts = shared.groupBy("ctx").agg(F.sum("copies").alias("n"), F.first("h").alias("h"), F.min(F.struct("a", "b", "lo", "hi")).alias("one"))
+    contexts = scratch.save(contexts.select("ctx", "n", "h", "one.*"), "contexts")
+    # A context that is alone with its minimiser has no window in common with another one.
+    crowds = contexts.groupBy("h").agg(F.count("*").alias("members"), F.min("n").alias("least")).filter("members > 1 and least = 1").select("h", "members")
+    where = contexts.join(crowds, "h").groupBy("a", "b").agg(F.collect_list(F.struct("h", "members", "ctx", "n", "lo", "hi")).alias("cs"))  # bounded by the text's own length
     texts = reps.join(where, ["a", "b"]).select("text", "cs")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, cs in zip(*batch.columns, strict=True):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                for c in cs.as_py():
-                    part = data[c["lo"] : c["hi"] + length]
-                    x, y = rolling(part, length, 2), rolling(part, length, 3)
-                    n = len(x)
-                    yield pa.record_batch({"x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64)), "ctx": pa.array([c["ctx"]] * n, pa.binary()), "d": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array([c["n"]] * n, pa.int64())})
-
-    named = scratch.save(texts.mapInArrow(windows, "x long, y long, ctx binary, d int, n long"), "windows")
-    often = named.groupBy("x", "y").agg(F.sum("n").alias("all")).filter("all > 1").select("x", "y")
-    starts = named.filter("n = 1").join(often, ["x", "y"]).groupBy("ctx").agg(F.collect_set("d").alias("ds"))  # bounded by the context's length
-    single = found.filter("copies = 1")
+                data, cs = text.as_py().encode("utf-8", "surrogatepass"), cs.values
+                bytes_of = [data[lo : hi + length] for lo, hi in zip(cs.field("lo").to_pylist(), cs.field("hi").to_pylist(), strict=True)]
+                yield pa.record_batch([*(cs.field(f) for f in ("h", "members", "ctx", "n")), pa.array(bytes_of, pa.binary())], names=["h", "members", "ctx", "n", "piece"])
+
+    pieces = scratch.save(texts.mapInArrow(cut_out, "h long, members long, ctx binary, n long, piece binary"), "pieces")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by h; contexts of whole groups are matched together."""
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > CHUNK and row[0] != held[-1][0]:
+                    yield _matched(held, length)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield _matched(held, length)
+
+    small = pieces.filter(F.col("members") <= CROWD).select("h", "ctx", "n", "piece").repartition("h").sortWithinPartitions("h")
+    starts = small.mapInArrow(match, "ctx binary, ds array<int>")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, CHUNK // (2 * length))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                x, y, own, d = window_names(part.column("piece").to_pylist(), length)
+                own = pa.array(own)
+                yield pa.record_batch({"x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64)), "ctx": part.column("ctx").take(own), "d": pa.array(d), "n": part.column("n").take(own)})
+
+    # Larger groups are dealt out window by window, so no minimiser's contexts meet in one task.
+    named = scratch.save(pieces.filter(F.col("members") > CROWD).select("ctx", "n", "piece").mapInArrow(windows, "x long, y long, ctx binary, d int, n long"), "windows")
+    often = named.groupBy("x", "y").agg(F.count("*").alias("all")).filter("all > 1").select("x", "y")
+    dealt = named.filter("n = 1").join(often, ["x", "y"]).groupBy("ctx").agg(F.collect_set("d").alias("ds"))  # bounded by the context's length
+    starts = starts.unionByName(dealt)
+    single = shared.filter("copies = 1")
     many = contexts.filter("n > 1").select("ctx").withColumn("ds", F.lit(None).cast("array<int>"))
     hit = single.join(starts.unionByName(many), "ctx").select("a", "b", "lo", "hi", "ds")
     per_text = hit.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi", "ds")).alias("hits"))  # bounded by the text's own length
