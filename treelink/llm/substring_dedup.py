@@ -4,7 +4,7 @@ Strings of `length` bytes are matched exactly once per corpus without a suffix a
 assigned to its minimiser (the least hash of its inner 48-byte strings), so equal windows meet at equal minimisers. Windows whose
 minimiser occurs once can't repeat. The stretch of windows that share a minimiser is a context; equal contexts are counted before
 anything is sent on. Distinct contexts of one minimiser meet in one task, which compares their windows; if there are many of them,
-their windows are dealt out and counted one by one instead. Window names are two 64-bit hashes.
+a second order of minimisers cuts them into smaller ones, and what is still crowded then is dealt out window by window. Window names are two 64-bit hashes.
 
 Defined results: a null text has no bytes; equal texts are read once and count as often as they occur; texts shorter than `length`
 lose nothing; matches never cross documents; an empty table gives no rows; other columns are ignored.
@@ -25,7 +25,8 @@ from .common import Scratch, text_key
 
 #: Bytes of the strings whose hashes are minimised.
 INNER = 48
-#: Contexts of one minimiser that a task matches in memory; of a minimiser with more, each window is dealt out by its name.
+#: Contexts of one minimiser that a task matches in memory. Those of a minimiser with more are cut again by a second one, and where
+#: that leaves too many still, each window is dealt out by its name.
 CROWD = 1000
 #: Bytes of contexts that are hashed at a time.
 CHUNK = 1 << 20
@@ -55,9 +56,9 @@ def rolling(data: np.ndarray, width: int, seed: int) -> np.ndarray:
         return h ^ h >> np.uint64(29)
 
 
-def minimisers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimisers(data: np.ndarray, length: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash, first window start, last window start of each run of windows with one minimiser."""
-    h = rolling(data, min(INNER, length), 1)
+    h = rolling(data, min(INNER, length), seed)
     span = length - min(INNER, length) + 1
     n = len(h) - span + 1
     if n <= 0:
@@ -91,17 +92,18 @@ def window_names(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _matched(rows: list[tuple], length: int) -> pa.RecordBatch:
-    """ctx and ds: the windows that occur again in rows (h, ctx, n, piece), of contexts that occur once."""
-    x, y, own, d = window_names([r[3] for r in rows], length)
+    """a, b, lo and ds: the windows that occur again in rows (h, n, lo, a, b, piece), of contexts that occur once."""
+    x, y, own, d = window_names([r[-1] for r in rows], length)
     order = np.argsort(x)
     again = (np.diff(x[order].view(np.int64)) == 0) & (np.diff(y[order].view(np.int64)) == 0)
     hit = np.zeros(len(x), bool)
     hit[order[1:][again]] = hit[order[:-1][again]] = True
-    hit &= np.array([r[2] == 1 for r in rows])[own]
+    hit &= np.array([r[1] == 1 for r in rows])[own]
     own, d = own[hit], d[hit]
     which, first = np.unique(own, return_index=True)
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(d, pa.int32()))
-    return pa.record_batch({"ctx": pa.array([rows[i][1] for i in which], pa.binary()), "ds": lists})
+    a, b, lo = (pa.array([rows[i][c] for i in which], pa.int64()) for c in (3, 4, 2))
+    return pa.record_batch({"a": a, "b": b, "lo": lo, "ds": lists})
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -127,24 +129,23 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     found = scratch.save(reps.mapInArrow(anchors, "a long, b long, copies long, h long, ctx binary, lo long, hi long"), "anchors")
     # Texts with copies are repeated as a whole, so they need no counts, but others may repeat parts of them.
-    common = found.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h")
-    shared = scratch.save(found.join(common, "h"), "shared")
-    scratch.drop("anchors")
-    contexts = shared.groupBy("ctx").agg(F.sum("copies").alias("n"), F.first("h").alias("h"), F.min(F.struct("a", "b", "lo", "hi")).alias("one"))
+    contexts = found.groupBy("ctx").agg(F.sum("copies").alias("n"), F.first("h").alias("h"), F.min(F.struct("a", "b", "lo", "hi")).alias("one"))
     contexts = scratch.save(contexts.select("ctx", "n", "h", "one.*"), "contexts")
     # A context that is alone with its minimiser has no window in common with another one.
     crowds = contexts.groupBy("h").agg(F.count("*").alias("members"), F.min("n").alias("least")).filter("members > 1 and least = 1").select("h", "members")
-    where = contexts.join(crowds, "h").groupBy("a", "b").agg(F.collect_list(F.struct("h", "members", "ctx", "n", "lo", "hi")).alias("cs"))  # bounded by the text's own length
-    texts = reps.join(where, ["a", "b"]).select("text", "cs")
+    crowds = scratch.save(crowds, "crowds")
+    where = contexts.join(crowds, "h").groupBy("a", "b").agg(F.collect_list(F.struct("h", "members", "n", "lo", "hi")).alias("cs"))  # bounded by the text's own length
+    texts = reps.join(where, ["a", "b"]).select("a", "b", "text", "cs")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, cs in zip(*batch.columns, strict=True):
+            for a, b, text, cs in zip(*batch.columns, strict=True):
                 data, cs = text.as_py().encode("utf-8", "surrogatepass"), cs.values
                 bytes_of = [data[lo : hi + length] for lo, hi in zip(cs.field("lo").to_pylist(), cs.field("hi").to_pylist(), strict=True)]
-                yield pa.record_batch([*(cs.field(f) for f in ("h", "members", "ctx", "n")), pa.array(bytes_of, pa.binary())], names=["h", "members", "ctx", "n", "piece"])
+                same = [pa.array([x.as_py()] * len(cs), pa.int64()) for x in (a, b)]
+                yield pa.record_batch([*(cs.field(f) for f in ("h", "members", "n", "lo")), *same, pa.array(bytes_of, pa.binary())], names=["h", "members", "n", "lo", "a", "b", "piece"])
 
-    pieces = scratch.save(texts.mapInArrow(cut_out, "h long, members long, ctx binary, n long, piece binary"), "pieces")
+    pieces = scratch.save(texts.mapInArrow(cut_out, "h long, members long, n long, lo long, a long, b long, piece binary"), "pieces")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by h; contexts of whole groups are matched together."""
@@ -155,12 +156,33 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                     yield _matched(held, length)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield _matched(held, length)
 
-    small = pieces.filter(F.col("members") <= CROWD).select("h", "ctx", "n", "piece").repartition("h").sortWithinPartitions("h")
-    starts = small.mapInArrow(match, "ctx binary, ds array<int>")
+    def matched(groups: DataFrame) -> DataFrame:
+        return groups.filter(F.col("members") <= CROWD).select("h", "n", "lo", "a", "b", "piece").repartition("h").sortWithinPartitions("h").mapInArrow(match, "a long, b long, lo long, ds array<int>")
+
+    def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of a second order of minimisers within those of the first."""
+        for batch in batches:
+            out = []
+            for h, n, lo, a, b, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for h2, x, y in zip(*(c.tolist() for c in minimisers(np.frombuffer(piece, np.uint8), length, 7)), strict=True):
+                    part = piece[x : y + length]
+                    both = hashlib.blake2b(h.to_bytes(8, "little", signed=True) + h2.to_bytes(8, "little"), digest_size=8).digest()
+                    out.append((int.from_bytes(both, "little", signed=True), hashlib.blake2b(both + part, digest_size=16).digest(), n, lo + x, lo + y, a, b, part))
+            if not out:
+                continue
+            types = (pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "ctx", "n", "lo", "hi", "a", "b", "piece"])
+
+    crowd = pieces.filter(F.col("members") > CROWD).select("h", "n", "lo", "a", "b", "piece")
+    again = scratch.save(crowd.mapInArrow(cut_again, "h long, ctx binary, n long, lo long, hi long, a long, b long, piece binary"), "again")
+    distinct = scratch.save(again.groupBy("ctx").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.min(F.struct("a", "b", "lo", "piece")).alias("one")).select("ctx", "n", "h", "one.*"), "distinct")
+    inner = scratch.save(distinct.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1"), "inner")
+    pieces_again = scratch.save(distinct.join(inner, "h").select("h", "members", "n", "lo", "a", "b", "piece"), "pieces-again")
+    starts = matched(pieces).unionByName(matched(pieces_again))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,16 +191,16 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 part = batch.slice(i, step)
                 x, y, own, d = window_names(part.column("piece").to_pylist(), length)
                 own = pa.array(own)
-                yield pa.record_batch({"x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64)), "ctx": part.column("ctx").take(own), "d": pa.array(d), "n": part.column("n").take(own)})
+                yield pa.record_batch({"x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64)), "d": pa.array(d), **{c: part.column(c).take(own) for c in ("n", "lo", "a", "b")}})
 
     # Larger groups are dealt out window by window, so no minimiser's contexts meet in one task.
-    named = scratch.save(pieces.filter(F.col("members") > CROWD).select("ctx", "n", "piece").mapInArrow(windows, "x long, y long, ctx binary, d int, n long"), "windows")
+    named = scratch.save(pieces_again.filter(F.col("members") > CROWD).select("n", "lo", "a", "b", "piece").mapInArrow(windows, "x long, y long, d int, n long, lo long, a long, b long"), "windows")
     often = named.groupBy("x", "y").agg(F.count("*").alias("all")).filter("all > 1").select("x", "y")
-    dealt = named.filter("n = 1").join(often, ["x", "y"]).groupBy("ctx").agg(F.collect_set("d").alias("ds"))  # bounded by the context's length
-    starts = starts.unionByName(dealt)
-    single = shared.filter("copies = 1")
-    many = contexts.filter("n > 1").select("ctx").withColumn("ds", F.lit(None).cast("array<int>"))
-    hit = single.join(starts.unionByName(many), "ctx").select("a", "b", "lo", "hi", "ds")
+    dealt = named.filter("n = 1").join(often, ["x", "y"]).groupBy("a", "b", "lo").agg(F.collect_set("d").alias("ds"))  # bounded by the context's length
+    # A context that occurs once is where its row says; others are looked up, and all their windows are repeated.
+    everywhere = lambda rows, of: rows.join(of.filter("n > 1").select("ctx"), "ctx").select("a", "b", "lo", F.lit(None).cast("array<int>").alias("ds"), "hi")
+    many = everywhere(found.filter("copies = 1"), contexts).unionByName(everywhere(again.filter("n = 1"), distinct))
+    hit = starts.unionByName(dealt).withColumn("hi", F.col("lo")).unionByName(many)
     per_text = hit.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi", "ds")).alias("hits"))  # bounded by the text's own length
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
