@@ -23,25 +23,27 @@ def _double(names: Column, step: int) -> Column:
     last = F.size(names) - step
     starts = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
     pick = lambda i, f: names[i][f]
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(pick(i, "a"), pick(i + step, "a")).alias("a"), F.xxhash64(pick(i + step, "b"), F.lit(3), pick(i, "b")).alias("b")))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(pick(i, "a"), pick(i + step, "a")).alias("a"), F.xxhash64(pick(i + step, "b"), F.lit(3), pick(i, "b")).alias("b"), pick(i, "p").alias("p"), pick(i + step, "q").alias("q")))
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """_ld_id, _ld_key, _ld_gone: for each document with deleted lines, the numbers (from 0) among its non-blank lines."""
-    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    names = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_ld_id"), text_key("text").alias("_ld_key"), F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(11), x).alias("b"))).alias("r"))
+    """_ld_id, _ld_key, _ld_gone: for each document with deleted lines, numbers (from 0) of its lines; blank ones among them stay."""
+    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
+    name = lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b"), x["i"].alias("p"), x["i"].alias("q"))
+    names = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_ld_id"), text_key("text").alias("_ld_key"), F.transform(lines, name).alias("r"))
     size = 1
     while size < min_lines:
         step = min(size, min_lines - size)
         names = names.select("_ld_id", "_ld_key", _double(F.col("r"), step).alias("r"))
         size += step
-    runs = names.select("_ld_id", "_ld_key", F.posexplode("r").alias("at", "r")).select("_ld_id", "_ld_key", "at", "r.a", "r.b")
+    # A plain explode infers a filter on the array's size, which would put the whole expression of r into each of its lambdas.
+    runs = names.select("_ld_id", "_ld_key", F.explode_outer("r").alias("r")).filter("r is not null").select("_ld_id", "_ld_key", F.col("r.p").alias("at"), F.col("r.q").alias("to"), "r.a", "r.b")
     runs = Scratch(docs.sparkSession, "line-dedup").save(runs, "runs")
     place = F.struct("_ld_id", "_ld_key", "at")
     first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last")).select("a", "b", "first")
     later = runs.join(first, ["a", "b"]).filter(place > F.col("first"))
-    gone = later.groupBy("_ld_id", "_ld_key").agg(F.collect_set("at").alias("at"))  # bounded by the document's own lines
-    return gone.select("_ld_id", "_ld_key", F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + min_lines - 1)))).alias("_ld_gone"))
+    gone = later.groupBy("_ld_id", "_ld_key").agg(F.collect_set(F.struct("at", "to")).alias("at"))  # bounded by the document's own lines
+    return gone.select("_ld_id", "_ld_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["to"])))).alias("_ld_gone"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -53,10 +55,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     parts = F.split(F.col("text"), "\n")
     filled = lambda x: (F.trim(x) != "").cast("int")
     n_lines = F.aggregate(parts, F.lit(0), lambda s, x: s + filled(x))
-    # Splitting by the places of non-blank lines keeps this linear in the number of lines.
-    spots = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.trim(parts[i]) != "")
-    j = j.withColumn("_ld_parts", parts).withColumn("_ld_spots", F.when(F.col("_ld_gone").isNotNull(), spots))
-    j = j.withColumn("_ld_drop", F.when(F.col("_ld_gone").isNotNull(), F.transform("_ld_gone", lambda i: F.col("_ld_spots")[i])))
+    # Arrays that lambdas index are columns with several uses, which the optimizer doesn't inline: a split runs once a row, not once a line.
+    j = j.withColumn("_ld_parts", parts).withColumn("_ld_drop", F.filter("_ld_gone", lambda i: F.trim(F.col("_ld_parts")[i]) != ""))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_ld_parts") - 1), F.col("_ld_drop"))
-    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(stay), lambda i: F.col("_ld_parts")[i]), "\n"))
-    return j.select(*kept, text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_ld_parts")[i]), "\n"))
+    return j.select(*kept, text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_removed"))
