@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of repeated runs of two lines and more; documents of which nothing is left go."""
-    kept = dedup_lines(docs, min_lines=2).filter("n_removed = 0 or n_removed < n_lines")
+    """Delete later copies of repeated runs of two lines and more, and of lines of 50 words and more; documents of which nothing is left go."""
+    kept = dedup_lines(docs, min_lines=2, min_words=50).filter("n_removed = 0 or n_removed < n_lines")
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

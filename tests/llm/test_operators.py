@@ -58,6 +58,39 @@ def test_lines(spark):
     assert got == {1: ("a\nb\n\nc", 0), 2: ("x\ny", 2), 3: ("a\nz", 0)}
 
 
+def by_lines(rows):
+    """Plain Python: {doc_id: (text, n_removed)} for distinct doc_ids, runs of two lines and single lines of 50 words."""
+    seen, out = set(), {}
+    full = {d: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")] for d, t in rows if t is not None}
+    for d, t in sorted(rows):
+        if t is None:
+            out[d] = (None, 0)
+            continue
+        gone = set()
+        for k, (i, x) in enumerate(full[d]):
+            runs = [full[d][k : k + 2]] if k + 1 < len(full[d]) else []
+            runs += [[(i, x)]] if len(x.replace("\t", " ").split(" ")) - x.replace("\t", " ").split(" ").count("") >= 50 else []
+            for run in runs:
+                gone |= {j for j, _ in run} if (key := tuple(y for _, y in run)) in seen else set()
+                seen.add(key)
+        out[d] = ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), len(gone))
+    return out
+
+
+def test_long_single_lines(spark):
+    passage, short = " ".join(WORDS[:50]), " ".join(WORDS[:49])
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n {passage} \n\nd"), (3, passage), (4, f"{short}\ne"), (5, short), (6, f"{passage}\n{passage}"), (7, None)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[2] == ("c\n\nd", 1) and got[3] == ("", 1) and got[5] == (short, 0) and got[6] == ("", 2)
+    assert got == by_lines(rows)
+
+
+def test_lines_of_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(d).collect()}
+    assert got == by_lines([(r.doc_id, r.text) for r in d.collect()])
+
+
 def test_near_copies(spark):
     base = WORDS[:200]
     near = base[:-4] + ["new"] * 4

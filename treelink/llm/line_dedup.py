@@ -1,9 +1,11 @@
-"""Line dedup: repeated runs of lines by prefix doubling over line ids; later copies are deleted. DataFrame functions only.
+"""Line dedup: repeated runs of lines, and repeated long lines, by doubling over line ids; later copies go. DataFrame functions only.
 
 Each line gets an id, and doubling names every run of 2, 4, ... lines from the names of its halves, up to `min_lines`; a last step
 with overlapping halves covers lengths that are no power of two. Suffixes with equal names form one interval whose common prefix
 has at least `min_lines` lines; its first member in the order of (doc_id, line) stays, and the lines that the others' runs cover
 go. A longer maximal run is the union of such runs, so doubling can end there. Names are two 64-bit hashes, not sorted ranks.
+A single line of at least `min_words` words (separated by spaces and tabs) is a run too, whatever its neighbours are, so a passage
+on one line and a document of one line are found as well.
 
 Defined results: lines are compared without blanks at their ends, blank lines are no part of runs and stay between kept lines; a
 null text is kept as null and an empty one as empty; repeated rows are one document with the row-order of their key, and both keep
@@ -26,16 +28,22 @@ def _double(names: Column, step: int) -> Column:
     return F.transform(starts, lambda i: F.struct(F.xxhash64(pick(i, "a"), pick(i + step, "a")).alias("a"), F.xxhash64(pick(i + step, "b"), F.lit(3), pick(i, "b")).alias("b"), pick(i, "p").alias("p"), pick(i + step, "q").alias("q")))
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """_ld_id, _ld_key, _ld_gone: for each document with deleted lines, numbers (from 0) of its lines; blank ones among them stay."""
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
-    name = lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b"), x["i"].alias("p"), x["i"].alias("q"))
-    names = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_ld_id"), text_key("text").alias("_ld_key"), F.transform(lines, name).alias("r"))
+    # Words are counted only where a line has room for so many.
+    long = lambda t: (F.length(t) >= 2 * min_words - 1) & (F.regexp_count(t, F.lit(r"[^ \t]+")) >= min_words)
+    name = lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b"), x["i"].alias("p"), x["i"].alias("q"), long(x["t"]).alias("w"))
+    names = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_ld_id"), text_key("text").alias("_ld_key"), F.transform(lines, name).alias("n"))
+    run = lambda x: F.struct(*[x[f].alias(f) for f in "abpq"])
+    names = names.select("_ld_id", "_ld_key", F.transform("n", run).alias("r"), F.transform(F.filter("n", lambda x: x["w"]), run).alias("single"))
     size = 1
     while size < min_lines:
         step = min(size, min_lines - size)
-        names = names.select("_ld_id", "_ld_key", _double(F.col("r"), step).alias("r"))
+        names = names.select("_ld_id", "_ld_key", _double(F.col("r"), step).alias("r"), "single")
         size += step
+    if min_lines > 1:
+        names = names.select("_ld_id", "_ld_key", F.concat("r", "single").alias("r"))
     # A plain explode infers a filter on the array's size, which would put the whole expression of r into each of its lambdas.
     runs = names.select("_ld_id", "_ld_key", F.explode_outer("r").alias("r")).filter("r is not null").select("_ld_id", "_ld_key", F.col("r.p").alias("at"), F.col("r.q").alias("to"), "r.a", "r.b")
     runs = Scratch(docs.sparkSession, "line-dedup").save(runs, "runs")
@@ -46,9 +54,9 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     return gone.select("_ld_id", "_ld_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["to"])))).alias("_ld_gone"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """docs with the remaining text, n_lines (non-blank lines before) and n_removed; columns of these names are replaced."""
-    gone = repeated_lines(docs, min_lines)
+    gone = repeated_lines(docs, min_lines, min_words)
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     d = docs.select(*kept, "text", text_key("text").alias("_ld_k"))
     j = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_ld_id"]) & (d["_ld_k"] == gone["_ld_key"]), "left")

@@ -37,7 +37,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    kept = dedup_lines(table(spark, sf_dir, "documents"), min_lines=2, min_words=50)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
