@@ -140,6 +140,26 @@ def test_vectors(spark):
     assert set(got["query_id"]) == set(range(0, 300, 20))
 
 
+def test_vectors_with_copies(spark):
+    """Three full blocks, a third of the rows copies of one vector: exact lists where copies are in them, and the recall of all."""
+    rng = np.random.default_rng(4)
+    n = 3 * 8192
+    x = rng.normal(size=(n, 16)).astype(np.float32).astype(float)
+    x[rng.choice(n, n // 3, replace=False)] = x[0] * 0.8
+    d = spark.createDataFrame(list(zip(range(n), x.tolist())), "vec_id long, embedding array<double>")
+    got = search(d, F.col("vec_id") % 500 == 0).toPandas()
+    hits, with_copies = 0, 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -9e9
+        want, have = list(np.lexsort((np.arange(n), -s))[:20]), list(g.sort_values("rank")["vec_id"])
+        hits += len(set(want) & set(have))
+        if any((x[i] == x[0] * 0.8).all() for i in want):
+            with_copies += 1
+            assert have == want
+    assert with_copies >= 10 and hits >= 0.98 * len(got)
+
+
 def test_archives(spark, tmp_path):
     pages = spark.createDataFrame([(3, "http://a", "x é"), (1, "http://b", "x é"), (2, "http://c", None), (4, None, "")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in round_trip(spark, pages).collect()}

@@ -3,7 +3,8 @@
 Vectors are coded by 16 centres in each subspace of two dimensions. Codes and centres minimise a loss in which residual error along
 the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres are fitted on at most
 `sample_rows` vectors picked by a hash; every vector is coded and searched. A block of queries meets each block of vectors: sums of
-table entries pick `shortlist` of them, which are scored exactly in double precision, and the best of all blocks are merged.
+table entries pick `shortlist` distinct codes and those that tie with the last; all vectors of these codes are scored exactly in double
+precision, equal ones once, and the best rows of all blocks are merged. So copies take one place however many they are.
 
 Defined results: null vectors and zero vectors, and those with null or non-finite components or another number of dimensions than
 most, take no part; equal scores go by smaller vec_id; repeated vec_ids are candidates each, but no row is a candidate of its own
@@ -108,6 +109,13 @@ class AnisotropicCoder:
         return out.T
 
 
+def distinct(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For keys of one length: the place of the first of each distinct key, and for each key the number of its distinct one."""
+    raw = np.frombuffer(b"".join(keys), np.dtype((np.void, len(keys[0]))))
+    _, first, of = np.unique(raw, return_index=True, return_inverse=True)
+    return first, of.reshape(-1)
+
+
 def is_usable(v: Column, dims: int) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) == dims) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)
@@ -129,7 +137,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
     share = min(1.0, sample_rows / rows)
     picked = v.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("e").limit(2 * sample_rows).toPandas()
     sample = np.array(picked["e"].tolist() or v.select("e").limit(1).toPandas()["e"].tolist(), np.float32)
-    coder = AnisotropicCoder(dims, width, eta).fit(sample)
+    _, at = np.unique(sample, axis=0, return_index=True)  # copies would start several centres at one point
+    coder = AnisotropicCoder(dims, width, eta).fit(sample[np.sort(at)])
 
     blocks, query_blocks = -(-rows // BLOCK), None
     queries = v.withColumnRenamed("e", "embedding").filter(is_query)
@@ -157,16 +166,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
                 qv, rv = qs.values, rs.values
                 qid, ids = np.asarray(qv.field("query_id")), np.asarray(rv.field("vec_id"))
                 q = np.asarray(qv.field("e").flatten()).reshape(-1, dims)
-                x = np.frombuffer(b"".join(rv.field("v").to_pylist()), np.float64).reshape(-1, dims)
-                packed = np.frombuffer(b"".join(rv.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+                code, v = rv.field("code").to_pylist(), rv.field("v").to_pylist()
+                first, of_row = distinct([c + e for c, e in zip(code, v, strict=True)])
+                x = np.frombuffer(b"".join(v[j] for j in first), np.float64).reshape(-1, dims)
+                code_first, of_x = distinct([code[j] for j in first])
+                packed = np.frombuffer(b"".join(code[first[j]] for j in code_first), np.uint8).reshape(len(code_first), -1)
                 rough = coder.scan(q, packed)
                 found: list[pd.DataFrame] = []
                 for i in range(len(qid)):
-                    near = np.argpartition(-rough[i], shortlist)[:shortlist] if len(ids) > shortlist else np.arange(len(ids))
-                    near = near[ids[near] != qid[i]]
-                    exact = (x[near] * q[i]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    found.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[near][best], "score": exact[best]}))
+                    others = ids != qid[i]
+                    places = shortlist + len(ids) - int(others.sum())  # codes of the query's own rows take no places
+                    near = rough[i] >= (-np.partition(-rough[i], places - 1)[places - 1] if len(packed) > places else -np.inf)
+                    scored = near[of_x]
+                    exact = np.full(len(x), -np.inf)
+                    exact[scored] = (x[scored] * q[i]).sum(axis=1)
+                    rows = np.flatnonzero(scored[of_row] & others)
+                    score = exact[of_row[rows]]
+                    if len(rows) > k:
+                        best = score >= -np.partition(-score, k - 1)[k - 1]
+                        rows, score = rows[best], score[best]
+                    best = np.lexsort((ids[rows], -score))[:k]
+                    found.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[rows][best], "score": score[best]}))
                 yield pa.RecordBatch.from_pandas(pd.concat(found), preserve_index=False)
 
     hits = grid.join(packs, "block").select("qs", "rows").repartition(max(1, min(2000, blocks * query_blocks))).mapInArrow(meet, out)
