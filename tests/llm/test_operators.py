@@ -127,6 +127,15 @@ def test_surrogates(spark):
     assert mail in a.text and mail.upper() in a.text and mail.endswith(".org")
 
 
+def test_secrets_in_capitals(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    r = replace_pii(docs(spark, [(1, f'TOKEN = "{low.upper()}" or {low}'), (2, f"mixed {low[:20].upper()}{low[20:]}")]), "k").collect()
+    a, b = sorted(r, key=lambda x: x.doc_id)
+    up, down = a.text.split()[2].strip('"'), a.text.split()[4]
+    assert (a.n_entities, b.n_entities) == (2, 1) and list(a.kinds) == ["secret"]
+    assert up == down.upper() and down == down.lower() and down != low and b.text == f"mixed {down}"
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16)).astype(np.float32)

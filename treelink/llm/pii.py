@@ -29,7 +29,7 @@ NAMES = {
 }
 MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,18}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-SECRET = r"(?<![0-9A-Za-z])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"
 PHONE = r"(?<![\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d])"
 NAME = rf"(?:(?<=\b(?:{HE}|{SHE})\.? ))\p{{Lu}}\p{{L}}{{1,30}}"
@@ -81,7 +81,7 @@ def _written(kind: Column, ent: Column, surrogate: Column) -> Column:
     """The surrogate as the entity is written: separators of numbers, capitals of words."""
     digits = F.array_join(F.transform(F.split(ent, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(ent, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     named = F.when((ent == F.upper(ent)) & (ent != F.lower(ent)), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
-    return F.when(kind.isin("phone", "card"), digits).when(kind.contains("he-"), named).when((kind == "mail") & (ent == F.upper(ent)), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card"), digits).when(kind.contains("he-"), named).when(kind.isin("mail", "secret") & (ent == F.upper(ent)), F.upper(surrogate)).otherwise(surrogate)
 
 
 def surrogates(forms: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
