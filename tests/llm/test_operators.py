@@ -136,6 +136,29 @@ def test_secrets_in_capitals(spark):
     assert up == down.upper() and down == down.lower() and down != low and b.text == f"mixed {down}"
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "5610 5910 8101 8250 008", "411 111 1111 111 111"])
+def test_cards_in_groups(spark, card):
+    phones = ["+49 171 1234 5678", "771 555-1655", "+1 (771) 555-1656"]
+    plain = card.replace(" ", "").replace("-", "")
+    texts = [f"card {card}.", f"plain {plain}", f"call {phones[0]} or {phones[1]} {phones[2]}", "pair 771 555-1655 772 555-1657", f"both 771 555-1655, {card}"]
+    a, b, c, d, e = (x for x in sorted(replace_pii(docs(spark, list(enumerate(texts))), "k").collect(), key=lambda x: x.doc_id))
+    new = a.text[5:-1]
+    assert (a.n_entities, list(a.kinds), b.n_entities, list(b.kinds)) == (1, ["card"], 1, ["card"])
+    assert [x if x in " -" else "0" for x in new] == [x if x in " -" else "0" for x in card] and new != card and "".join(filter(str.isdigit, new)) == b.text[6:]
+    assert luhn(b.text[6:]) == luhn(plain)
+    assert (c.n_entities, list(c.kinds)) == (3, ["phone"]) and (d.n_entities, list(d.kinds)) == (2, ["phone"])
+    assert list(e.kinds) == ["card", "phone"] and e.text.endswith(new)
+
+
+def test_four_groups_after_a_phone(spark):
+    r = replace_pii(docs(spark, [(1, "771 555-1655 4111 1111 1111 1111"), (2, "4111 1111 1111 1111 771 555-1655")]), "k").collect()
+    assert all((x.n_entities, list(x.kinds)) == (2, ["card", "phone"]) for x in r)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16)).astype(np.float32)

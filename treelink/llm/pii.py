@@ -31,9 +31,12 @@ MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"
+# Numbers in groups: a whole run of 13 to 19 digits is a card, as are four groups of four, wherever they end; both are tried before PHONE, which would take their front.
+CARD_RUN = r"(?<![\d+])(?<!\d[ .-])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+CARD_FOURS = r"(?<![\d+])\d{4}(?:[ -]\d{4}){3}(?!\d)"
 PHONE = r"(?<![\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d])"
 NAME = rf"(?:(?<=\b(?:{HE}|{SHE})\.? ))\p{{Lu}}\p{{L}}{{1,30}}"
-ENTITY = "|".join((MAIL, IPV4, SECRET, PHONE, CARD, NAME))
+ENTITY = "|".join((MAIL, IPV4, SECRET, CARD_RUN, CARD_FOURS, PHONE, CARD, NAME))
 
 
 def _kind(ent: Column, before: Column) -> Column:
