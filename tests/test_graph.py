@@ -49,6 +49,15 @@ def test_negatives_are_no_edges(spark):
     assert len(set(got)) == 50 and not known & set(got) and all(a < b for a, b in got)
 
 
+def test_flagship_ranks_against_all_nodes(spark):
+    sf = "/root/testdata/sf0.01"
+    known = set(pairs(g.directed(catalog.ge(spark, sf))))
+    got = catalog.sampled(spark, sf).filter("label = 0").select("src", "dst").collect()
+    targets = {r.dst for r in got}
+    assert catalog.FLAGSHIP == "ranking_metrics_sampled" and not known & set(map(tuple, got))
+    assert len(set(map(tuple, got))) == len(got) == len(known) and len(targets) == 150 and len({r.src for r in got}) == 150
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()

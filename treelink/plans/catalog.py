@@ -14,7 +14,7 @@ from ..operators import metrics as m
 from ..operators import training as t
 from ..sources.edges import random_graph
 
-FLAGSHIP = "ranking_metrics"
+FLAGSHIP = "ranking_metrics_sampled"
 CFG = t.TrainConfig(alpha=18.0)
 
 
@@ -38,7 +38,7 @@ def gp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Untrained scores of the edges of GE and of as many shifted pairs."""
+    """Untrained scores of the edges of GE and of as many shifted pairs, whose targets are 15 nodes only and may be edges: no measure of ranking, see sampled()."""
     e = g.directed(ge(spark, d))
     loc = t.init_coordinates(g.nodes(e), CFG)
     deg = t.degrees_for(e, True)
@@ -46,6 +46,16 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return t.score_pairs(pairs, loc, deg, CFG).withColumn("score", F.round("score", 9))
 
 
+def sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Untrained scores of the edges of GE and of as many pairs drawn over all its nodes that are no edges, or all free pairs the draws find if there are fewer."""
+    e = g.directed(ge(spark, d))
+    loc = t.init_coordinates(g.nodes(e), CFG)
+    deg = t.degrees_for(e, True)
+    drawn = g.negatives(e, e.count(), seed=2, strict=False)
+    pairs = e.withColumn("label", F.lit(1)).unionByName(drawn.withColumn("label", F.lit(0)))
+    return t.score_pairs(pairs, loc, deg, CFG).withColumn("score", F.round("score", 9))
+
+
 def train_epochs(spark: SparkSession, d: str) -> DataFrame:
     e = g.undirected(ge(spark, d)).filter("src <> dst").persist()
     cfg = t.TrainConfig(height=8, dims=4, epochs=2)
@@ -97,6 +107,8 @@ QUERIES = {
     "coord_init": lambda s, d: t.init_coordinates(g.nodes(ge(s, d)), CFG).select("node", F.explode("z").alias("z")).groupBy("node").agg(F.sum("z").alias("z_sum")),
     "score_pairs": lambda s, d: scored(s, d).select("src", "dst", F.col("label").cast("bigint").alias("label"), "score"),
     "ranking_metrics": lambda s, d: m.ranking_metrics(scored(s, d)),
+    "score_pairs_sampled": lambda s, d: sampled(s, d).select("src", "dst", F.col("label").cast("bigint").alias("label"), "score"),
+    "ranking_metrics_sampled": lambda s, d: m.ranking_metrics(sampled(s, d)),
     "run_statistics": summary,
     "er_directed": lambda s, d: random_graph(s, 1024, 5120, 42, True),
     "er_undirected": lambda s, d: random_graph(s, 1024, 5120, 42, False),
@@ -128,6 +140,13 @@ dist AS (SELECT p.id, sum({_BITS.format(a="a.z", b="b.z")})::double / 16 AS dd F
 sc AS (SELECT p.src, p.dst, p.label::bigint AS label, round(CASE WHEN (coalesce(o.d, 0) + 1) * (coalesce(n.d, 0) + 1) = 1 THEN 0.0::double ELSE 1.0::double / (1.0::double + pow((dd + 1e-5::double) / ln(((coalesce(o.d, 0) + 1) * (coalesce(n.d, 0) + 1))::double), 3.0::double) / 18.0::double) END, 9) AS score
        FROM numbered p JOIN dist USING (id) LEFT JOIN o ON o.node = p.src LEFT JOIN n ON n.node = p.dst)"""
 
+#: negatives() of as many pairs as edges: the first of its draws that are free; beyond 64 times its first number of draws it ends.
+_SAMPLED = f"""ix AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM nd),
+draws AS (SELECT id, {_draw("2", "'x'", "id")} % (SELECT count(*) FROM nd) AS i, {_draw("2", "'y'", "id")} % (SELECT count(*) FROM nd) AS j FROM (SELECT unnest(range((SELECT 64 * (2 * count(*) + 16) FROM e))) AS id)),
+free AS (SELECT a.node AS src, b.node AS dst, min(id) AS id FROM draws JOIN ix a ON a.idx = i JOIN ix b ON b.idx = j WHERE i <> j GROUP BY 1, 2),
+neg AS (SELECT src, dst FROM free ANTI JOIN e USING (src, dst) ORDER BY id LIMIT (SELECT count(*) FROM e)),
+""" + _SCORED.replace("SELECT src, ((dst * 7 + src * 3 + 1) % 15)::bigint, 0 FROM e", "SELECT src, dst, 0 FROM neg")
+
 _METRICS = """, k AS (SELECT score, sum(label)::double AS p, sum(1 - label)::double AS n FROM sc GROUP BY 1),
 r AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS cp, sum(n) OVER (ORDER BY score DESC) AS cn FROM k), tt AS (SELECT sum(p) AS pp, sum(n) AS nn FROM k)
 SELECT round(sum(n * (cp - p / 2) / (pp * nn)), 9) AS roc_auc, round(sum(p / pp * cp / (cp + cn)), 9) AS average_precision, round(sum(p / (cn - n + 1) / pp), 9) AS mrr_opt, round(sum(p / (cn + 1) / pp), 9) AS mrr_pess,
@@ -154,6 +173,8 @@ SQL = {
     "coord_init": f"WITH {_GE}, {_ND} SELECT node, sum({_draw('1', chr(39) + 'z' + chr(39), 'node', 'i')} % 4096)::bigint AS z_sum FROM nd, (SELECT unnest(range(16)) AS i) GROUP BY 1",
     "score_pairs": f"WITH {_GE}, {_ND}, {_SCORED} SELECT src, dst, label, score FROM sc",
     "ranking_metrics": f"WITH {_GE}, {_ND}, {_SCORED} {_METRICS}",
+    "score_pairs_sampled": f"WITH {_GE}, {_ND}, {_SAMPLED} SELECT src, dst, label, score FROM sc",
+    "ranking_metrics_sampled": f"WITH {_GE}, {_ND}, {_SAMPLED} {_METRICS}",
     "run_statistics": "SELECT l_suppkey::bigint AS dataset, round(avg(l_discount::double), 9) AS mean, round(stddev_pop(l_discount::double), 9) AS std FROM lineitem GROUP BY 1",
     "er_directed": f"WITH {_ER} SELECT DISTINCT a AS src, b AS dst FROM c WHERE a <> b",
     "er_undirected": f"WITH {_ER} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM c WHERE a <> b",
