@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelink.llm.common import Scratch, table
+from treelink.llm.common import Scratch, table, text_key
 from treelink.llm.decontaminate import decontaminate
 from treelink.llm.line_dedup import dedup_lines
 from treelink.llm.near_join import keep_one_per_group
@@ -36,8 +36,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of the benchmark."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_bad"]), "left_anti").select(*docs.columns)
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["_bad"]) & (text_key(docs["text"]) == hit["_key"])
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from treelink.llm import queries
 from treelink.llm.decontaminate import decontaminate
 from treelink.llm.language import identify, learn_trigrams
 from treelink.llm.line_dedup import dedup_lines
 from treelink.llm.near_join import jaccard_groups, keep_one_per_group
 from treelink.llm.packing import binary_lengths, pack_power_of_two
-from treelink.llm.pii import replace_pii
+from treelink.llm.pii import replace_pii, surrogates
 from treelink.llm.substring_dedup import remove_repeated
 from treelink.llm.toxicity import learn_lexicon, score_toxicity
 from treelink.llm.vectors import search
@@ -159,6 +160,14 @@ def test_four_groups_after_a_phone(spark):
     assert all((x.n_entities, list(x.kinds)) == (2, ["card", "phone"]) for x in r)
 
 
+def test_benchmark_stage_keeps_clean_rows_of_one_id(spark, monkeypatch):
+    bench = spark.createDataFrame([(7, " ".join(WORDS[:10]))], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: bench)
+    d = docs(spark, [(None, " ".join(WORDS[:12])), (None, "clean"), (4, " ".join(WORDS[:11])), (4, "fine"), (5, None)])
+    got = corpus_pipeline.benchmark(spark, d, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("4", "fine"), ("5", "None"), ("None", "clean")]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16)).astype(np.float32)

@@ -31,7 +31,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """doc_id, n_words, hits (positions from 0), item_ids (sorted as strings): one row per row of docs."""
+    """doc_id, text_key, n_words, hits (positions from 0), item_ids (sorted as strings): one row per row of docs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
     pairs = item_windows(benchmark, window).withColumn("win", F.sha2(F.concat_ws(" ", "words"), 256))
     pairs = scratch.save(pairs, "windows")
@@ -44,7 +44,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         tokens = t if tokens is None else tokens.unionByName(t)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tk", text_key("text"))
     if tokens is None:
-        return src.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
+        return src.select("doc_id", F.col("tk").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
     tokens = scratch.save(tokens, "tokens")
     known = tokens.select("h").distinct()
     known = broadcast_if_small(known, known.count(), 16)
@@ -71,4 +71,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     items = near.filter(F.size("wins") > 0).select("doc_id", "tk", F.explode("wins").alias("win")).distinct().join(owners, "win")
     items = items.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     both = near.alias("n").join(items.alias("i"), F.col("n.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("n.tk") == F.col("i.tk")), "left")
-    return both.select("n.doc_id", "n_words", "hits", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return both.select("n.doc_id", F.col("n.tk").alias("text_key"), "n_words", "hits", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
