@@ -160,6 +160,25 @@ def test_four_groups_after_a_phone(spark):
     assert all((x.n_entities, list(x.kinds)) == (2, ["card", "phone"]) for x in r)
 
 
+def test_whole_names(spark):
+    texts = ["Mr John Smith came. Then Smith, Smith's friend and JOHN left.", "Dr. Anna von Berg-Meier and Prof Lind. Later Frau Berg saw Anna.", "Herr Dr. Karl Otto, Otto", "Госпожа Мария Петрова. Петрова ушла.", "John Smith"]
+    got = {r.doc_id: r for r in replace_pii(docs(spark, list(enumerate(texts))), "k").collect()}
+    for i, gone in enumerate([["John", "Smith", "JOHN"], ["Anna", "Berg", "Meier", "Lind"], ["Karl", "Otto"], ["Мария", "Петрова"]]):
+        assert not any(x in got[i].text for x in gone)
+    a = got[0].text.replace(",", "").replace("'s", "").replace(".", "").split()
+    assert a[2] == a[5] == a[6] and a[1].upper() == a[9] and (got[0].n_entities, list(got[0].kinds)) == (4, ["he-latin"])
+    b = got[1].text
+    assert b.startswith("Dr. ") and " von " in b and list(got[1].kinds) == ["any-latin", "she-latin"] and b.split()[1] == b.split()[-1].rstrip(".") and b.split()[3].split("-")[0] == b.split()[-3]
+    assert got[2].text.startswith("Herr Dr. ") and got[2].text.split()[3].rstrip(",") == got[2].text.split()[4] and list(got[3].kinds) == ["she-cyrillic"]
+    assert got[4].text == "John Smith"
+
+
+def test_more_names_than_the_lists_hold(spark):
+    forms = spark.createDataFrame([("he-greek", f"ζ{chr(945 + i // 16)}{chr(945 + i % 16)}") for i in range(256)] + [("he-greek", f"ζζ{chr(945 + i // 16)}{chr(945 + i % 16)}") for i in range(256)], "kind string, canon string")
+    new = [r.surrogate for r in surrogates(forms, "k").collect()]
+    assert len(set(new)) == 512 and all("α" <= c <= "ώ" or c in "άέήίόύώ" for n in new for c in n)
+
+
 def test_benchmark_stage_keeps_clean_rows_of_one_id(spark, monkeypatch):
     bench = spark.createDataFrame([(7, " ".join(WORDS[:10]))], "item_id long, text string")
     monkeypatch.setattr(corpus_pipeline, "table", lambda *_: bench)

@@ -2,7 +2,9 @@
 
 Mail and IPv4 addresses, card and phone numbers, hexadecimal secrets and names after a form of address are found by one pattern. An
 entity's canonical form (lower case, or its digits) gets a surrogate from SHA-256 of key, type, form and attempt; it keeps the
-type, number of digits, a phone number's country code, validity of a card's check digit, the host's ending, and a name's gender and script. A surrogate that
+type, number of digits, a phone number's country code, validity of a card's check digit, the host's ending, and a name's gender and
+script. A name is all capitalised words after forms of address; each word is a form of its own, and its bare repeats in the same
+document are replaced too. Gender is unknown after Dr or Prof alone; it is then taken from a name in the document with a common word. A surrogate that
 two forms share, or that is itself an original, is drawn again for the later form until all differ, so entities stay distinct, and
 all spellings of one form get one surrogate, in the spelling of each place.
 
@@ -27,6 +29,14 @@ NAMES = {
     "he-greek": ["Αντώνης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θωμάς"],
     "she-greek": ["Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή"],
 }
+NAMES |= {f"any-{x}": NAMES[f"he-{x}"] + NAMES[f"she-{x}"] for x in ("latin", "cyrillic", "greek")}
+#: Forms of address that tell no gender, and 16 syllables of each script that lengthen names which collide.
+NEUTRAL = "Dr|Prof|Professor|Doctor|Doktor|Доктор|Профессор|Δρ"
+SYLLABLES = {
+    "latin": "ba ro mi len ta vi so ke dan lu fe gor ni pas te ram".split(),
+    "cyrillic": "ба ро ми лен та ви со ке дан лу фе гор ни пас те рам".split(),
+    "greek": "βα ρο μι λεν τα βι σο κε δαν λου φε γορ νι πασ τε ραμ".split(),
+}
 MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,18}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
@@ -35,15 +45,25 @@ CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"
 CARD_RUN = r"(?<![\d+])(?<!\d[ .-])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 CARD_FOURS = r"(?<![\d+])\d{4}(?:[ -]\d{4}){3}(?!\d)"
 PHONE = r"(?<![\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d])"
-NAME = rf"(?:(?<=\b(?:{HE}|{SHE})\.? ))\p{{Lu}}\p{{L}}{{1,30}}"
+TITLE = f"(?:{HE}|{SHE}|{NEUTRAL})"
+_PART = rf"(?!{TITLE}(?!\p{{L}}))(?:\p{{Lu}}['’])?\p{{Lu}}\p{{L}}{{1,30}}(?:-\p{{Lu}}\p{{L}}{{1,30}}){{0,3}}"
+_JOINT = r"(?:\p{Lu}\. ?){0,3}(?:(?:von|van|de|der|den|del|du|di|da|dos|la|le|zu|zur|af|bin|al|ter|ten) ){0,3}"
+NAME = rf"(?<= )(?=\p{{L}})(?<=(?<!\p{{L}}){TITLE}\.? ){_JOINT}{_PART}(?: {_JOINT}{_PART}){{0,4}}"
+#: A capitalised word of a name, or an initial.
+NAME_WORD = r"\p{Lu}\p{L}*"
 ENTITY = "|".join((MAIL, IPV4, SECRET, CARD_RUN, CARD_FOURS, PHONE, CARD, NAME))
 
 
+#: Kinds of names.
+IS_NAME = "^(?:s?he|any)-"
+
+
 def _kind(ent: Column, before: Column) -> Column:
-    """Type of an entity; for names with gender, from the end of the text before, and script."""
-    script = F.when(ent.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(ent.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    name = F.concat(F.when(before.rlike(rf"(?:{SHE})\.? $"), "she-").otherwise("he-"), script)
-    return F.when(ent.contains("@"), "mail").when(ent.rlike(f"^{IPV4}$"), "ip").when(ent.rlike(r"^\p{L}+$") & ~ent.rlike(f"^{SECRET}$"), name).when(ent.rlike(f"^{SECRET}$"), "secret").when(ent.rlike(f"^{PHONE}$"), "phone").otherwise("card")
+    """Type of an entity; for names with gender, from the forms of address before ("any" if they tell none), and script."""
+    script = F.when(ent.rlike(r"\p{IsCyrillic}"), "cyrillic").when(ent.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    after = lambda titles: before.rlike(rf"(?<!\p{{L}})(?:{titles})\.? (?:(?:{NEUTRAL})\.? )*$")
+    name = F.concat(F.when(after(SHE), "she-").when(after(HE), "he-").otherwise("any-"), script)
+    return F.when(ent.contains("@"), "mail").when(ent.rlike(f"^{IPV4}$"), "ip").when(~ent.rlike("[0-9]"), name).when(ent.rlike(f"^{SECRET}$"), "secret").when(ent.rlike(f"^{PHONE}$"), "phone").otherwise("card")
 
 
 def _canon(kind: Column, ent: Column) -> Column:
@@ -75,23 +95,25 @@ def _surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column
     out = F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "secret", hexed).when(kind == "card", card).when(kind == "phone", F.concat(F.substring(canon, F.lit(1), F.greatest(F.length(canon) - 10, F.lit(0))), F.substring(same, F.greatest(F.length(canon) - 10, F.lit(0)) + 1, F.length(canon))))
     for name, options in NAMES.items():
         pick = F.element_at(F.array(*map(F.lit, options)), _byte(h, F.lit(0)) % len(options) + 1)
-        # lists are short, so a second one is joined on where names collide
-        out = out.when(kind == name, F.when(attempt < 2, pick).otherwise(F.concat(pick, F.lower(F.element_at(F.array(*map(F.lit, options)), _byte(h, F.lit(4)) % len(options) + 1)), F.when(attempt < 6, "").otherwise(F.lower(F.element_at(F.array(*map(F.lit, options)), _byte(h, F.lit(8)) % len(options) + 1))))))
+        # lists are short, so names that collide get as many syllables as there were attempts: each one makes the space 16 times as large
+        syllables = F.array(*map(F.lit, SYLLABLES[name.split("-")[1]]))
+        tail = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.element_at(syllables, _byte(h2, i * 2) % 16 + 1))  # noqa: B023
+        out = out.when(kind == name, F.when(attempt < 2, pick).otherwise(F.concat(pick, F.array_join(tail, ""))))
     return F.lower(out)
 
 
 def _written(kind: Column, ent: Column, surrogate: Column) -> Column:
     """The surrogate as the entity is written: separators of numbers, capitals of words."""
     digits = F.array_join(F.transform(F.split(ent, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(ent, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
-    named = F.when((ent == F.upper(ent)) & (ent != F.lower(ent)), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
-    return F.when(kind.isin("phone", "card"), digits).when(kind.contains("he-"), named).when(kind.isin("mail", "secret") & (ent == F.upper(ent)), F.upper(surrogate)).otherwise(surrogate)
+    named = F.when(F.length(ent) == 1, F.upper(F.substring(surrogate, 1, 1))).when((ent == F.upper(ent)) & (ent != F.lower(ent)), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
+    return F.when(kind.isin("phone", "card"), digits).when(kind.rlike(IS_NAME), named).when(kind.isin("mail", "secret") & (ent == F.upper(ent)), F.upper(surrogate)).otherwise(surrogate)
 
 
 def surrogates(forms: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
     """kind, canon, surrogate for distinct kind, canon. Each round draws only the colliding forms again."""
     scratch = Scratch(forms.sparkSession, "surrogates")
     state = scratch.save(forms.select("kind", "canon", F.lit(0).alias("attempt")).withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "0")
-    group = F.regexp_replace("kind", "^s?he-.*", "name")
+    group = F.regexp_replace("kind", IS_NAME + ".*", "name")
     for n in range(1, max_attempts + 1):
         firsts = state.groupBy(group.alias("g"), "surrogate").agg(F.min(F.struct("attempt", "canon", "kind")).alias("owner"), F.count("*").alias("c")).filter("c > 1")
         shared = state.join(firsts, (group == F.col("g")) & (state["surrogate"] == firsts["surrogate"])).filter(F.struct("attempt", "canon", "kind") > F.col("owner")).select("kind", "canon")
@@ -110,16 +132,41 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, kinds (the types found, sorted)."""
     scratch = Scratch(docs.sparkSession, "pii")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tk", text_key("text"))
-    ents = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    some = src.filter(F.col("text").rlike(ENTITY)).select("doc_id", "tk", ents.alias("es"), F.split("text", ENTITY, -1).alias("parts"))
-    each = F.transform("es", lambda e, i: F.struct(i.alias("i"), e.alias("e"), _kind(e, F.substring(F.col("parts")[i], F.greatest(F.length(F.col("parts")[i]) - 12, F.lit(1)), F.lit(13))).alias("kind")))
-    found = some.select("doc_id", "tk", F.explode(each).alias("x")).select("doc_id", "tk", "x.*").dropDuplicates(["doc_id", "tk", "i"])
-    found = scratch.save(found.withColumn("canon", _canon(F.col("kind"), F.col("e"))), "found")
+    words = lambda e: F.regexp_extract_all(e, F.lit(r"\p{Lu}\p{L}+"), F.lit(0))
+    some = src.filter(F.col("text").rlike(ENTITY)).withColumn("es", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
+    # Words of names after a form of address are entities of the document wherever they stand alone.
+    some = some.withColumn("ws", F.array_distinct(F.flatten(F.transform(F.filter("es", lambda e: ~e.rlike("[0-9@]")), words))))
+    some = some.withColumn("bare", F.array_join(F.array_distinct(F.concat("ws", F.transform("ws", F.upper))), "|"))
+    repeat = F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), "bare", F.lit(")(?:[ -](?:"), "bare", F.lit(r"))*(?!\p{L})"))
+    some = some.withColumn("pattern", F.when(F.size("ws") > 0, repeat).otherwise(ENTITY))
+    some = some.select("doc_id", "tk", "pattern", F.when(F.size("ws") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("es")).alias("es"), F.split("text", F.col("pattern"), -1).alias("parts"))
+    before = lambda i: F.substring(F.col("parts")[i], F.greatest(F.length(F.col("parts")[i]) - 39, F.lit(1)), F.lit(40))
+    each = F.transform("es", lambda e, i: F.struct(i.alias("i"), e.alias("e"), _kind(e, before(i)).alias("kind"), before(i).rlike(rf"(?<!\p{{L}}){TITLE}\.? $").alias("addressed")))
+    some = some.select("doc_id", "tk", "pattern", each.alias("each"))
+
+    def resolved(x: Column, names: str) -> Column:
+        """The kind of a name of unknown gender: that of the first of names that shares a word."""
+        low = lambda e: F.transform(words(e), F.lower)
+        same = F.filter(names, lambda y: F.arrays_overlap(low(y["e"]), low(x["e"])))
+        return F.when(x["kind"].startswith("any-"), F.coalesce(F.get(same, F.lit(0))["kind"], x["kind"])).otherwise(x["kind"])
+
+    put_kind = lambda x, names: F.struct(x["i"], x["e"], resolved(x, names).alias("kind"), x["addressed"])
+    some = some.withColumn("told", F.filter("each", lambda x: x["kind"].rlike("^s?he-")))
+    some = some.withColumn("each", F.transform("each", lambda x: F.when(x["addressed"], put_kind(x, "told")).otherwise(x)))
+    some = some.withColumn("known", F.filter("each", lambda x: x["addressed"] & x["kind"].rlike(IS_NAME)))
+    some = some.withColumn("each", F.transform("each", lambda x: put_kind(x, "known")))
+    found = some.select("doc_id", "tk", "pattern", F.explode("each").alias("x")).select("doc_id", "tk", "pattern", "x.i", "x.e", "x.kind").dropDuplicates(["doc_id", "tk", "i"])
+    # A name is replaced word by word, so that its words are coreferent by themselves.
+    pieces = F.when(F.col("kind").rlike(IS_NAME), F.regexp_extract_all("e", F.lit(NAME_WORD), F.lit(0))).otherwise(F.array("e"))
+    found = found.select("doc_id", "tk", "pattern", "i", "e", "kind", F.posexplode(pieces).alias("j", "w"))
+    found = scratch.save(found.withColumn("canon", _canon(F.col("kind"), F.col("w"))), "found")
     forms = scratch.save(found.select("kind", "canon").distinct(), "forms")
     new = surrogates(forms, key)
-    put = found.join(new, ["kind", "canon"]).select("doc_id", "tk", F.struct("i", _written(F.col("kind"), F.col("e"), F.col("surrogate")).alias("s"), "kind").alias("r"))
-    put = put.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # bounded by the document's own entities
+    put = found.join(new, ["kind", "canon"]).select("doc_id", "tk", "pattern", F.struct("i", "j", _written(F.col("kind"), F.col("w"), F.col("surrogate")).alias("s"), "kind", "e").alias("r"))
+    put = put.groupBy("doc_id", "tk").agg(F.first("pattern").alias("pattern"), F.array_sort(F.collect_list("r")).alias("ws"))  # bounded by the document's own entities
+    mixed = lambda parts, new: F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = lambda r: F.struct(r["i"], F.when(r["kind"].rlike(IS_NAME), mixed(F.split(r["e"], NAME_WORD, -1), F.transform(F.filter("ws", lambda w: w["i"] == r["i"]), lambda w: w["s"]))).otherwise(r["s"]).alias("s"), r["kind"])
+    put = put.select("doc_id", "tk", "pattern", F.transform(F.filter("ws", lambda r: r["j"] == 0), whole).alias("rs"))
     j = src.alias("d").join(put.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tk") == F.col("p.tk")), "left")
-    parts = F.split("text", ENTITY, -1)
-    text = F.array_join(F.flatten(F.zip_with(parts, F.transform("rs", lambda r: r["s"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    text = mixed(F.split("text", F.col("pattern"), -1), F.transform("rs", lambda r: r["s"]))
     return j.select("d.doc_id", F.when(F.col("rs").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size("rs"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(F.array_sort(F.array_distinct(F.transform("rs", lambda r: r["kind"]))), F.array().cast("array<string>")).alias("kinds"))
