@@ -2,9 +2,11 @@
 
 An archive holds stored members: WARC files and, for each, an index of lines "offset length page_id". The reader fetches the end of
 the archive, the directory and the indexes, deals out ranges of records, and reads only these. Nothing is extracted to disk.
+Tasks open archives with pyarrow's file systems (local, HDFS, S3, GCS, Azure); other stores are not reached.
 
 Defined results: a null html is an empty payload; repeated rows of the smallest page_id with a payload are all responses; a null
-page_id ranks after all others; an empty table gives an empty archive set and no rows; other columns are ignored.
+page_id ranks after all others; line breaks and other control characters of a url are percent-encoded in its record; an empty table
+gives an empty archive set and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 
 #: Bytes of records in one archive before the next one begins, and in one range of records that a task reads.
 ARCHIVE_BYTES, RANGE_BYTES = 128 << 20, 8 << 20
@@ -34,25 +36,33 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+    """The file system of a uri as Spark writes it: s3a and s3n are what pyarrow calls s3, abfss what it calls abfs."""
+    scheme, colon, rest = uri.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme)
+    return pafs.FileSystem.from_uri(scheme + colon + ("//" if scheme == "file" and not rest.startswith("//") else "") + rest)
+
+
+def header_value(text: str) -> str:
+    """Control characters would end or split a header line, so they are percent-encoded."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in text)
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit has the headers of the payload, whose length they state, but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {header_value(url)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """Headers of the record, headers of its HTTP part and what follows them."""
 
     def fields(part: bytes) -> dict[str, str]:
-        pairs = (line.split(":", 1) for line in part.decode("utf-8").split("\r\n")[1:])
+        pairs = (line.split(":", 1) for line in part.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ":" in line)
         return {k.strip().lower(): v.strip() for k, v in pairs}
 
     head, rest = data.split(b"\r\n\r\n", 1)
@@ -66,6 +76,8 @@ def directory(size: int, read) -> list[tuple[str, int, int]]:
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(END)
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail)):
+        end = tail.rfind(END, 0, end)  # these bytes stand in the archive's comment
     if end < 0:
         raise ValueError("no end of central directory")
     n, length, start = struct.unpack("<HII", tail[end + 10 : end + 20])
@@ -189,23 +201,30 @@ def read_archives(paths: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    spread = paths.mapInArrow(ranges, "path string, offsets array<long>, lengths array<long>")
-    return spread.repartition(F.col("path"), F.col("offsets")[0]).mapInArrow(records, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    spark = paths.sparkSession
+    spread = Scratch(spark, "warc-ranges").save(paths.mapInArrow(ranges, "path string, offsets array<long>, lengths array<long>"), "ranges")
+    n = spread.count()
+    # Ranges are few and narrow rows, which adaptive execution would put into one task; a stated number of tasks is kept.
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-n // 16))))
+    return spread.repartition(tasks).mapInArrow(records, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to for pages with page_id, url, html: the first page of equal payloads is what the others refer to."""
+    """page_id, url, payload, digest, refers_to for pages with page_id, url, html: the first page of equal payloads is what the others refer to.
+
+    Only page_id, digest and length are shuffled; the repeated keys come back by a broadcast if their counted size allows it.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            payloads = [x.as_py() for x in b.column("payload")]
-            yield pa.record_batch({"page_id": b.column("page_id"), "url": b.column("url"), "payload": b.column("payload"), "digest": pa.array([sha1_base32(x) for x in payloads], pa.string())})
+            found = pa.array([sha1_base32(x.as_py()) for x in b.column("payload")], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "digest"])
 
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.mapInArrow(digests, "page_id long, url string, payload binary, digest string").withColumn("bytes", F.length("payload"))
-    key = [F.col("digest"), F.col("bytes")]
-    first = p.groupBy(*key).agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "bytes", "first")
-    out = p.join(first, ["digest", "bytes"], "left")
+    first = p.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "bytes", "first")
+    first = Scratch(pages.sparkSession, "warc-first").save(first, "first")
+    out = p.join(broadcast_if_small(first, first.count(), 80), ["digest", "bytes"], "left")
     return out.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
