@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
+from ..scratch import Scratch
+from .order import numbered
+
+log = logging.getLogger(__name__)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -27,12 +33,53 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def node_map(edges: DataFrame) -> DataFrame:
-    """node, idx: ids compacted in ascending order. Range partitions are numbered apart, then shifted by a table of one row per partition."""
-    part = nodes(edges).repartitionByRange("node").withColumn("part", F.spark_partition_id())
-    part = part.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("node")))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"), F.min("node").alias("low"))
-    shift = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    return part.join(F.broadcast(shift), "part").select("node", (F.col("base") + F.col("nth") - 1).cast("bigint").alias("idx"))  # a row per partition
+    """node, idx: ids compacted in ascending order."""
+    return numbered(nodes(edges), ["node"], "idx")
+
+
+def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """edges with compacted ids; an end that ids (node, idx) doesn't have becomes -1."""
+    a, b = (ids.select(F.col("node").alias(end), F.col("idx").alias(f"{end}_idx")) for end in ("src", "dst"))
+    out = edges.join(a, "src", "left").join(b, "dst", "left")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return out.select(*[F.coalesce(f"{end}_idx", F.lit(-1)).alias(end) for end in ("src", "dst")], *rest)
+
+
+def unseen_nodes(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """node: ends of edges that known (node) doesn't have."""
+    return nodes(edges).join(known.select("node"), "node", "left_anti")
+
+
+def check_contained(test_pos: DataFrame, test_neg: DataFrame, known: DataFrame) -> None:
+    """Raise if positives or negatives have nodes beyond the known ones."""
+    for name, part in (("positive", test_pos), ("negative", test_neg)):
+        n = unseen_nodes(part, known).count()
+        if n:
+            raise ValueError(f"{n} nodes of {name} test edges are not in train")
+
+
+def check_edges(edges: DataFrame) -> DataFrame:
+    """edges, if src and dst are there and are whole numbers."""
+    types = dict(edges.dtypes)
+    for end in ("src", "dst"):
+        if types.get(end) not in ("bigint", "int", "smallint", "tinyint"):
+            raise ValueError(f"an edge table needs a whole-number column {end}, not {types.get(end)}")
+    return edges
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    """src, dst, row: the edges' number in the order of both ends; equal edges get numbers in any order."""
+    return numbered(edges.select("src", "dst"), ["src", "dst"], "row")
+
+
+def valid_stub(train: DataFrame, n: int = 2) -> DataFrame:
+    """The first train edges, as a stand-in for a validation part."""
+    return train.select("src", "dst").orderBy("src", "dst").limit(n)
+
+
+def gather_features(ids: DataFrame, features: DataFrame) -> DataFrame:
+    """idx and the columns of features (node, ...) for the nodes of ids (node, idx); nodes without features get nulls."""
+    return ids.join(features, "node", "left").drop("node")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -54,6 +101,17 @@ def degree_of_sets(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
+def degree_total(edges: DataFrame) -> DataFrame:
+    """Out-degree plus in-degree: reciprocal edges count twice."""
+    return degree(edges)
+
+
+def active_nodes(all_nodes: DataFrame, deg: DataFrame) -> DataFrame:
+    """node: those of all_nodes with an edge, by any of the degree columns of deg."""
+    some = sum((F.col(c) for c in deg.columns if c != "node"), F.lit(0))
+    return all_nodes.join(deg.filter(some > 0), "node", "left_semi").select("node")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Long form: node, nbr, distinct. Long rows keep hubs spread over partitions; collect them only where degrees are bounded."""
     return both_ways(edges).distinct().select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
@@ -82,25 +140,43 @@ def temporal_split(timed: DataFrame, threshold: float) -> DataFrame:
 def random_split(edges: DataFrame, ratio: float, seed: int = 1, rounding: str = "round") -> DataFrame:
     """src, dst, part: exactly round(n r) (half to even) or floor(n r) edges are train, those with the smallest draws.
 
-    The cut is found by counting draws in 4096 ranges and ordering only the range that holds it.
+    The cut is found by counting draws in 4096 ranges, then in 4096 ranges of the one that holds it, until that is small. Equal edges
+    share their draw and end up in one part.
     """
-    e = edges.select("src", "dst").withColumn("r", draw(seed, F.col("src"), F.col("dst"))).withColumn("bin", F.shiftright("r", 40))
-    counts = {r["bin"]: r["count"] for r in e.groupBy("bin").count().collect()}  # at most 4096 rows
-    n = sum(counts.values())
-    want = int(round(n * ratio)) if rounding == "round" else int(n * ratio)
-    before, cut = 0, 0
-    for cut in range(4097):
-        if before + counts.get(cut, 0) > want:
+    e = edges.select("src", "dst").withColumn("r", draw(seed, F.col("src"), F.col("dst")))
+    e = Scratch(edges.sparkSession, "split").save(e, "draws")
+    want, prefix, shift = None, 0, 0
+    for shift in (40, 28, 16, 4):
+        inside = e.filter(F.shiftright("r", shift + 12) == prefix)
+        counts = {r["bin"]: r["count"] for r in inside.groupBy((F.shiftright("r", shift) % 4096).alias("bin")).count().collect()}  # at most 4096 rows
+        if want is None:
+            n = sum(counts.values())
+            want = int(round(n * ratio)) if rounding == "round" else int(n * ratio)
+            if want >= n:
+                return e.select("src", "dst", F.lit("train").alias("part"))
+        cut = 0
+        while want >= counts.get(cut, 0):
+            want -= counts.get(cut, 0)
+            cut += 1
+        prefix = prefix << 12 | cut
+        if counts[cut] <= 4096:
             break
-        before += counts.get(cut, 0)
-    edge = e.filter(F.col("bin") == cut).withColumn("nth", F.row_number().over(Window.orderBy("r", "src", "dst"))).filter(F.col("nth") <= want - before)
-    last = edge.agg(F.max(F.struct("r", "src", "dst")).alias("m")).first()["m"]
-    train = F.col("bin") < cut
-    if last is not None:
-        train = train | ((F.col("bin") == cut) & (F.struct("r", "src", "dst") <= F.struct(F.lit(last["r"]), F.lit(last["src"]).cast("bigint"), F.lit(last["dst"]).cast("bigint"))))
+    train = F.shiftright("r", shift) < prefix
+    if want:
+        order = F.struct("r", "src", "dst")
+        last = e.filter(F.shiftright("r", shift) == prefix).orderBy("r", "src", "dst").limit(want).agg(F.max(order).alias("m")).first()["m"]
+        train = train | ((F.shiftright("r", shift) == prefix) & (order <= F.struct(*[F.lit(x).cast("bigint") for x in last])))
     return e.select("src", "dst", F.when(train, "train").otherwise("test").alias("part"))
 
 
+def split_stats(split: DataFrame) -> DataFrame:
+    """One row for a table with part: edges of train and test, their ratio, distinct train nodes and train edges per node."""
+    per = split.groupBy().agg(F.sum((F.col("part") == "train").cast("bigint")).alias("n_train"), F.sum((F.col("part") == "test").cast("bigint")).alias("n_test"))
+    count = nodes(split.filter("part = 'train'")).agg(F.count("*").alias("n_nodes"))
+    both = per.crossJoin(F.broadcast(count))  # one row each
+    return both.select("n_train", "n_test", "n_nodes", F.round(F.col("n_test") / F.col("n_train").cast("double"), 9).alias("test_per_train"), F.round(F.col("n_train") / F.col("n_nodes").cast("double"), 9).alias("edges_per_node"))
+
+
 def transductive(test: DataFrame, train: DataFrame) -> DataFrame:
     """Test edges with both ends in train."""
     known = nodes(train)
@@ -108,26 +184,79 @@ def transductive(test: DataFrame, train: DataFrame) -> DataFrame:
     return out.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def negatives(edges: DataFrame, num: int, seed: int = 1, strict: bool = True, oversample: float = 2.0, rounds: int = 20) -> DataFrame:
+def negatives(edges: DataFrame, num: int, seed: int = 1, strict: bool = True, oversample: float = 2.0, loops: bool = False, pool: DataFrame | None = None) -> DataFrame:
     """src, dst: num distinct pairs of known nodes that are no edges; strict also rejects the other orientation and loops.
 
-    Draws come from counters, doubled until there are enough or `rounds` are over, as where few pairs are free.
+    Not strict, ordered pairs count apart, and loops are rejected unless asked for. Ends are drawn from the nodes of pool (of edges by
+    default). Draws come from counters, doubled until there are enough or 64 times as many were made; where few pairs are free, fewer
+    come back and the shortfall is logged.
     """
-    spark, ids = edges.sparkSession, node_map(edges).persist()
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "negatives")
+    ids = scratch.save(node_map(edges if pool is None else pool), "ids")
     n = ids.count()
-    taken = undirected(edges) if strict else directed(edges)
-    k = int(num * oversample) + 16
-    for _ in range(rounds):
-        c = spark.range(k).select("id", (draw(seed, "x", F.col("id")) % n).alias("i"), (draw(seed, "y", F.col("id")) % n).alias("j")).filter("i <> j")
+    taken = scratch.save(undirected(edges) if strict else directed(edges), "taken")
+    k, found = int(num * oversample) + 16, 0
+    for turn in range(7):
+        c = spark.range(k).select("id", (draw(seed, "x", F.col("id")) % n).alias("i"), (draw(seed, "y", F.col("id")) % n).alias("j"))
+        c = c if loops and not strict else c.filter("i <> j")
         c = c.join(ids.select(F.col("idx").alias("i"), F.col("node").alias("a")), "i").join(ids.select(F.col("idx").alias("j"), F.col("node").alias("b")), "j")
         src, dst = (F.least("a", "b"), F.greatest("a", "b")) if strict else (F.col("a"), F.col("b"))
         c = c.select("id", src.alias("src"), dst.alias("dst")).groupBy("src", "dst").agg(F.min("id").alias("id")).join(taken, ["src", "dst"], "left_anti")
-        if c.count() >= num or k > 64 * (num + 16):
+        c = scratch.save(c, f"free-{turn}")
+        found = c.count()
+        if found >= num or not n:
             break
         k *= 2
+    if found < num:
+        log.warning("%d of %d negatives found", found, num)
     return c.orderBy("id").limit(num).select("src", "dst")
 
 
+def negatives_for(train: DataFrame, test: DataFrame, ratio: float = 5, seed: int = 1, strict: bool = True) -> DataFrame:
+    """As many negatives as ratio times the test edges, among train nodes, that are in neither part."""
+    return negatives(train.select("src", "dst").unionByName(test.select("src", "dst")), int(test.count() * ratio), seed, strict, pool=train)
+
+
+def negatives_per_node(edges: DataFrame, sources: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """src, dst, row: for each of the sources (node) its first k of 4 k draws that are no edges, loops or repeats, in the order of both ends.
+
+    A source with nearly all nodes for neighbours may get fewer; contract() tells.
+    """
+    ids = Scratch(edges.sparkSession, "per-node").save(node_map(edges), "ids")
+    n = ids.count()
+    c = sources.select(F.col("node").alias("src")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4 * k - 1))))
+    c = c.withColumn("idx", draw(seed, "pn", F.col("src"), F.col("i")) % n).join(ids.withColumnRenamed("node", "dst"), "idx").filter("src <> dst")
+    c = c.groupBy("src", "dst").agg(F.min("i").alias("i")).join(directed(edges), ["src", "dst"], "left_anti")
+    c = c.withColumn("nth", F.row_number().over(Window.partitionBy("src").orderBy("i"))).filter(F.col("nth") <= k)
+    return sorted_edges(c)
+
+
+def contract(pos: DataFrame, neg: DataFrame, test_deg: DataFrame, k: int) -> DataFrame:
+    """One row for rows (src, dst, row): whether there are k negatives for each active source, each source has just k in ascending
+    blocks, positives are sorted, and test_deg (node, test_degree) counts the positives of each source."""
+
+    def unsorted(rows: DataFrame, key: Column) -> DataFrame:
+        a, b = rows.select("row", key.alias("k")), rows.select((F.col("row") - 1).alias("row"), key.alias("following"))
+        return a.join(b, "row").agg(F.count(F.when(F.col("k") > F.col("following"), 1)).alias("bad"))
+
+    per_pos = pos.groupBy("src").agg(F.count("*").alias("p"))
+    per_neg = neg.groupBy("src").agg(F.count("*").alias("q"))
+    deg = test_deg.filter("test_degree > 0").select(F.col("node").alias("src"), F.col("test_degree").alias("d"))
+    j = per_pos.join(per_neg, "src", "full").join(deg, "src", "full")
+    per = j.agg(F.sum(F.coalesce("q", F.lit(0))).alias("negs"), F.count("p").alias("active"), F.count(F.when(F.col("p").isNotNull() & ~F.col("q").eqNullSafe(F.lit(k)), 1)).alias("uneven"), F.count(F.when(~F.col("p").eqNullSafe(F.col("d")), 1)).alias("off"))
+    out = per.crossJoin(unsorted(neg, F.col("src")).withColumnRenamed("bad", "bad_neg")).crossJoin(unsorted(pos, F.struct("src", "dst")).withColumnRenamed("bad", "bad_pos"))  # one row each
+    return out.select((F.col("negs") == F.col("active") * k).alias("sizes"), ((F.col("uneven") == 0) & (F.col("bad_neg") == 0)).alias("blocks"), (F.col("bad_pos") == 0).alias("positives_sorted"), (F.col("off") == 0).alias("degrees"))
+
+
+def directed_split(edges: DataFrame, ratio: float, neg_ratio: float = 5, seed: int = 1) -> dict[str, DataFrame]:
+    """train, test_pos, test_neg of ordered pairs: random split, transductive filter, ordered negatives."""
+    scratch = Scratch(edges.sparkSession, "directed-split")
+    s = scratch.save(random_split(directed(edges), ratio, seed), "split")
+    train = s.filter("part = 'train'").select("src", "dst")
+    test = scratch.save(transductive(s.filter("part = 'test'"), train), "test")
+    return {"train": train, "test_pos": test, "test_neg": negatives_for(train, test, neg_ratio, seed, strict=False)}
+
+
 def test_degree(all_nodes: DataFrame, test: DataFrame) -> DataFrame:
     per = test.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("c"))
     return all_nodes.join(per, "node", "left").select("node", F.coalesce("c", F.lit(0)).cast("bigint").alias("test_degree"))

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import draw
+from ..scratch import Scratch
+from .order import prefix_sums
 
-def by_score(scored: DataFrame) -> DataFrame:
-    """score, p, n, cp, cn: positives and negatives at and down to each distinct score.
 
-    Score ranges are summed apart and shifted by totals of one row per partition, so no task holds all scores.
-    """
+def by_score(scored: DataFrame) -> DataFrame:
+    """score, p, n, cp, cn: positives and negatives at and down to each distinct score."""
     per = scored.groupBy("score").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("n"))
-    part = per.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
-    total = part.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.max("score").alias("top"))
-    before = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
-    shift = total.select("part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("bn"))
-    run = Window.partitionBy("part").orderBy(F.desc("score"))
-    out = part.withColumn("rp", F.sum("p").over(run)).withColumn("rn", F.sum("n").over(run)).join(F.broadcast(shift), "part")  # a row per partition
-    return out.select("score", "p", "n", (F.col("rp") + F.col("bp")).alias("cp"), (F.col("rn") + F.col("bn")).alias("cn"))
+    run = prefix_sums(per, [F.desc("score")], {"ap": F.col("p"), "an": F.col("n")})
+    return run.select("score", "p", "n", (F.col("ap") + F.col("p")).alias("cp"), (F.col("an") + F.col("n")).alias("cn"))
 
 
 def ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
     """One row: roc_auc, average_precision, mrr_opt, mrr_pess, f1 and hits at each k; ties count one half in AUC and hits."""
-    s = by_score(scored)
+    s = Scratch(scored.sparkSession, "metrics").save(by_score(scored), "by-score")
     t = s.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     j = s.crossJoin(F.broadcast(t))  # one row of totals
     p, n, cp, cn, P, N = (F.col(c).cast("double") for c in ("p", "n", "cp", "cn", "all_p", "all_n"))
@@ -42,13 +38,38 @@ def ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (20, 50, 100)) -> D
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
-def node_mrr(ranked: DataFrame) -> DataFrame:
-    """For rows (edge, score, negative scores in long form as neg): optimistic and pessimistic mean reciprocal rank."""
-    per = ranked.groupBy("edge").agg(F.sum((F.col("neg") > F.col("score")).cast("int")).alias("above"), F.sum((F.col("neg") >= F.col("score")).cast("int")).alias("upto"))
+def node_negatives(edges: DataFrame, ids: DataFrame, n: int, ratio: int, seed: int = 1) -> DataFrame:
+    """src, dst, neg: for each edge `ratio` uniform nodes in place of its target, edges and repeats included. ids: node, idx of n nodes."""
+    drawn = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))).alias("i"))
+    drawn = drawn.withColumn("idx", draw(seed, "nm", F.col("src"), F.col("dst"), F.col("i")) % n)
+    return drawn.join(ids.select("idx", F.col("node").alias("neg")), "idx").select("src", "dst", "neg")
+
+
+def node_mrr(edges: DataFrame, score, ids: DataFrame, n: int, ratio: int = 100, seed: int = 1) -> DataFrame:
+    """One row: optimistic and pessimistic mean reciprocal rank of each edge among its own negatives.
+
+    score: adds column score to pairs src, dst. Edges that score() leaves out have no rank.
+    """
+    own = score(edges.select("src", "dst")).withColumnRenamed("score", "own")
+    drawn = node_negatives(edges, ids, n, ratio, seed).withColumnRenamed("dst", "target")
+    other = score(drawn.withColumnRenamed("neg", "dst")).select("src", F.col("target").alias("dst"), "score")
+    per = own.join(other, ["src", "dst"]).groupBy("src", "dst").agg(F.sum((F.col("score") > F.col("own")).cast("int")).alias("above"), F.sum((F.col("score") >= F.col("own")).cast("int")).alias("upto"))
     return per.agg(F.round(F.avg(F.lit(1.0) / (F.col("above") + 1)), 9).alias("mrr_opt"), F.round(F.avg(F.lit(1.0) / (F.col("upto") + 1)), 9).alias("mrr_pess"))
 
 
-def run_summary(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """Mean and population standard deviation of each metric in percent, as text."""
-    text = lambda m: F.format_string("%.2f±%.2f", F.avg(F.col(m)) * 100, F.stddev_pop(F.col(m)) * 100)
+def all_metrics(scored: DataFrame, by_node: DataFrame | None = None, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """ranking_metrics, with the mean reciprocal ranks of by_node (a row of node_mrr) in place of those over all negatives where it is given."""
+    out = ranking_metrics(scored, ks)
+    return out if by_node is None else out.drop("mrr_opt", "mrr_pess").crossJoin(by_node)  # one row each
+
+
+def run_summary(runs: DataFrame, by: list[str], metrics: list[str], missing_as_zero: bool = False) -> DataFrame:
+    """Mean and population standard deviation of each metric in percent, as text. Runs without a value are left out, or count as 0 if asked for."""
+    value = lambda m: F.coalesce(F.col(m), F.lit(0.0)) if missing_as_zero else F.col(m)
+    text = lambda m: F.format_string("%.2f±%.2f", F.avg(value(m)) * 100, F.stddev_pop(value(m)) * 100)
     return runs.groupBy(*by).agg(*[text(m).alias(m) for m in metrics])
+
+
+def run_statistics(runs: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """The numbers of run_summary for one metric: mean and std."""
+    return runs.groupBy(*by).agg(F.round(F.avg(metric), 9).alias("mean"), F.round(F.stddev_pop(metric), 9).alias("std"))

@@ -1,22 +1,41 @@
-"""Coordinate training: each node moves to the candidate coordinates that lose least against its neighbours and sampled negatives."""
+"""Coordinate training: each node moves to the candidate coordinates that lose least against its neighbours and sampled negatives.
 
-from __future__ import annotations
+Three variants: "undir" (one vector, undirected), "sr" (one vector, directed) and "dr" (a head and a tail vector). Links, samples and
+losses are relational; only the sums over candidates are numpy, in tasks that hold a bounded number of links.
+"""
 
+from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import logging
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, link_probability, pair_distance
-from .graph import degree, degree_out_in
+from ..functions.columns import draw, link_probability, log_loss, pair_distance, selected
+from ..scratch import Scratch
+from . import graph as g
+from .metrics import ranking_metrics
+from .order import prefix_sums
+
+log = logging.getLogger(__name__)
+#: Links of a node that one task sums; the sums of larger nodes are added up afterwards.
+HUB = 4096
+#: Links whose candidates are compared at a time.
+LINKS = 64
 
 
 @dataclass(frozen=True)
 class TrainConfig:
-    """height: bits of a coordinate; dims: coordinates per node; c: candidates per level and height; weight: of the positive loss."""
+    """height: bits of a coordinate; dims: coordinates per node; c: candidates per level and height; weight: of the positive loss.
+
+    convergence: share of the epochs in which nodes are masked; mask_share: share of nodes that keep all their links then; oi: for
+    "dr", 1 takes out- and in-degrees, 0 the total; eval_step: epochs between evaluations; edge_cap: links per synchronous batch (None:
+    all); portable: candidates from MD5 counters, which SQL can repeat, instead of numpy's generator.
+    """
 
     height: int = 12
     dims: int = 16
@@ -28,74 +47,308 @@ class TrainConfig:
     epochs: int = 10
     mask_share: float = 0.8
     seed: int = 1
+    convergence: float = 0.8
+    oi: int = 1
+    eval_step: int = 10
+    edge_cap: int | None = None
+    portable: bool = False
+
+    @property
+    def per_level(self) -> int:
+        return max(1, int(self.c * self.height))
+
+    @property
+    def candidates(self) -> int:
+        return self.height * self.per_level + 1
+
 
+#: Defaults of the three variants.
+DEFAULTS = {
+    "undir": TrainConfig(height=17, c=1, alpha=24.0, gamma=3.0, epochs=50, seed=0, edge_cap=512),
+    "sr": TrainConfig(height=15, c=2, alpha=3.0, gamma=3.0, epochs=200, seed=0, eval_step=10, edge_cap=128),
+    "dr": TrainConfig(height=12, c=1, alpha=3.0, gamma=3.0, epochs=50, seed=0, eval_step=1, edge_cap=256),
+}
 
-def init_coordinates(nodes: DataFrame, cfg: TrainConfig) -> DataFrame:
+
+def init_coordinates(nodes: DataFrame, cfg: TrainConfig, name: str = "z") -> DataFrame:
     """node, z: uniform coordinates from counters."""
-    z = F.array(*[draw(cfg.seed, "z", F.col("node"), t) % (1 << cfg.height) for t in range(cfg.dims)])
+    z = F.array(*[draw(cfg.seed, name, F.col("node"), t) % (1 << cfg.height) for t in range(cfg.dims)])
     return nodes.select("node", z.alias("z"))
 
 
 def score_pairs(pairs: DataFrame, loc: DataFrame, deg: DataFrame, cfg: TrainConfig, tail: DataFrame | None = None) -> DataFrame:
-    """pairs with score. deg: node, d1 (as source), d2 (as target); tail: coordinates of targets where they differ from loc."""
+    """pairs with score. deg: node, d1 (as source), d2 (as target); tail: coordinates of targets where they differ from loc. Pairs with a node that has no coordinates go; see dropped_pairs."""
     a = loc.join(deg, "node", "left").select(F.col("node").alias("src"), F.col("z").alias("z1"), F.coalesce("d1", F.lit(0)).alias("d1"))
     b = (tail or loc).join(deg, "node", "left").select(F.col("node").alias("dst"), F.col("z").alias("z2"), F.coalesce("d2", F.lit(0)).alias("d2"))
     j = pairs.join(a, "src").join(b, "dst")
-    return j.withColumn("score", link_probability(pair_distance(F.col("z1"), F.col("z2")), F.col("d1"), F.col("d2"), cfg.alpha, cfg.gamma, cfg.eps)).drop("z1", "z2", "d1", "d2")
+    return j.withColumn("score", link_probability(pair_distance(F.col("z1"), F.col("z2"), cfg.dims), F.col("d1"), F.col("d2"), cfg.alpha, cfg.gamma, cfg.eps)).drop("z1", "z2", "d1", "d2")
+
+
+def dropped_pairs(pairs: DataFrame, loc: DataFrame, tail: DataFrame | None = None) -> int:
+    """Number of pairs that score_pairs can't score."""
+    known = lambda of, end: of.select(F.col("node").alias(end))
+    return pairs.count() - pairs.join(known(loc, "src"), "src", "left_semi").join(known(tail or loc, "dst"), "dst", "left_semi").count()
+
+
+def degrees_for(edges: DataFrame, directed: bool, oi: int = 1) -> DataFrame:
+    """node, d1, d2: degrees that stand for a node as source and as target."""
+    if directed and oi:
+        return g.degree_out_in(edges).select("node", F.col("out_degree").alias("d1"), F.col("in_degree").alias("d2"))
+    return g.degree(edges).select("node", F.col("degree").alias("d1"), F.col("degree").alias("d2"))
+
+
+def links_of(edges: DataFrame, variant: str) -> dict[str, DataFrame]:
+    """Links (node, nbr) that a variant trains on, by the kind of link."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct()
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr")).distinct()
+    kinds = {"undir": ("all",), "sr": ("all", "out", "in"), "dr": ("out", "in")}
+    if variant not in kinds:
+        raise ValueError(f"undir, sr or dr, not {variant}")
+    made = {"all": g.adjacency(edges), "out": out, "in": back}
+    return {k: made[k] for k in kinds[variant]}
 
 
-def degrees_for(edges: DataFrame, directed: bool) -> DataFrame:
-    if directed:
-        return degree_out_in(edges).select("node", F.col("out_degree").alias("d1"), F.col("in_degree").alias("d2"))
-    return degree(edges).select("node", F.col("degree").alias("d1"), F.col("degree").alias("d2"))
+def choice_mask(nodes: DataFrame, cfg: TrainConfig, epoch: int) -> DataFrame:
+    """node, keep: whether the node uses all its links in this epoch."""
+    return nodes.select("node", _keep(cfg, epoch).alias("keep"))
 
 
-def candidate_masks(cfg: TrainConfig, rng: np.random.Generator) -> np.ndarray:
-    """Masks to XOR with a coordinate: a flip of bit i and random bits below it, c*height times for each i, and 0 at the end."""
-    flips = np.repeat(1 << np.arange(cfg.height), max(1, int(cfg.c * cfg.height)))
-    return np.append(flips ^ (rng.integers(0, 1 << 62, len(flips)) % flips), 0)
+def _keep(cfg: TrainConfig, epoch: int) -> Column:
+    masked = epoch <= cfg.convergence * cfg.epochs
+    return (draw(cfg.seed, "mask", epoch, F.col("node")) % 1000 < int(cfg.mask_share * 1000)) if masked else F.lit(True)
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1]
+def neighbour_sample(links: DataFrame, cfg: TrainConfig, epoch: int, kind: str = "all") -> DataFrame:
+    """node, nbr: all links of a node that keeps them, one uniform link of any other."""
+    one = links.groupBy("node").agg(F.min_by("nbr", draw(cfg.seed, "one", kind, epoch, F.col("node"), F.col("nbr"))).alias("only"))
+    return links.join(one, "node").filter(_keep(cfg, epoch) | (F.col("nbr") == F.col("only"))).select("node", "nbr")
 
 
-def train_epoch(loc: DataFrame, links: DataFrame, deg: DataFrame, ids: DataFrame, n: int, cfg: TrainConfig, epoch: int, tail: DataFrame | None = None, reverse: bool = False) -> DataFrame:
-    """One synchronous epoch: node, z, loss. links: node, nbr, with which a node is compared; negatives are uniform nodes.
+def drawn_negatives(used: DataFrame, ids: DataFrame, n: int, cfg: TrainConfig, epoch: int, kind: str = "all") -> DataFrame:
+    """node, nbr: a uniform node for each used link, neighbours and the node itself included. ids: node, idx."""
+    at = used.select("node", (draw(cfg.seed, "neg", kind, epoch, F.col("node"), F.col("nbr")) % n).alias("idx"))
+    return at.join(ids.select("idx", F.col("node").alias("nbr")), "idx").select("node", "nbr")
 
-    Each link carries both coordinate arrays to the node's group, so traffic is proportional to links; a node's links are summed in
-    one task, which bounds memory by the largest degree.
+
+def candidates(loc: DataFrame, cfg: TrainConfig, epoch: int, name: str = "z") -> DataFrame:
+    """node, t, l, cand: for each coordinate all flips of bit i with random bits below it, per_level of each, and itself as the last."""
+    k, last = cfg.per_level, cfg.candidates - 1
+    rows = loc.select("node", F.posexplode("z").alias("t", "z")).withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    level = (F.col("l") / k).cast("int")
+    flip = F.call_function("shiftleft", F.expr("1L"), level)
+    mask = draw(cfg.seed, "m", name, epoch, F.col("node"), F.col("l"), F.col("t")) % flip
+    return rows.select("node", "t", "l", F.when(F.col("l") == last, F.col("z")).otherwise(F.col("z").bitwiseXOR(flip).bitwiseXOR(mask)).alias("cand"))
+
+
+def batch_assign(nodes: DataFrame, links: DataFrame, cfg: TrainConfig, epoch: int, cap: int) -> DataFrame:
+    """node, cost, batch: nodes with links in a random order, cut where the running sum of their costs passes a multiple of cap.
+
+    A cost is the number of links, or 1 for a masked node. A batch holds less than cap plus its last node's cost; packing them to the
+    brim one after the other would need one task for all nodes.
     """
-    masked = epoch <= 0.8 * cfg.epochs
-    keep = (draw(cfg.seed, "mask", epoch, F.col("node")) % 1000 < int(cfg.mask_share * 1000)) if masked else F.lit(True)
-    one = links.groupBy("node").agg(F.min_by("nbr", draw(cfg.seed, "one", epoch, F.col("node"), F.col("nbr"))).alias("only"))
-    used = links.join(one, "node").filter(keep | (F.col("nbr") == F.col("only"))).select("node", "nbr")
-    negative = used.select("node", (draw(cfg.seed, "neg", epoch, F.col("node"), F.col("nbr")) % n).alias("idx")).join(ids, "idx").select(F.col("node"), F.col("other").alias("nbr"), F.lit(0).alias("y"))
-    both = used.withColumn("y", F.lit(1)).unionByName(negative)
-    da, db = ("d2", "d1") if reverse else ("d1", "d2")
-    own = loc.join(deg, "node", "left").select("node", F.col("z").alias("z1"), F.coalesce(da, F.lit(0)).alias("da"))
-    other = (tail or loc).join(deg, "node", "left").select(F.col("node").alias("nbr"), F.col("z").alias("z2"), F.coalesce(db, F.lit(0)).alias("db"))
-    rows = both.join(other, "nbr").join(own, "node").select("node", "y", "z1", "z2", F.log((F.col("da") + 1.0) * (F.col("db") + 1.0)).alias("norm"))
-
-    def move(group: pd.DataFrame) -> pd.DataFrame:
-        node = int(group["node"].iloc[0])
-        z = np.array(group["z1"].iloc[0], np.int64)
-        order = np.lexsort((group["norm"], group["y"]))
-        other, y, norm = np.array(group["z2"].tolist(), np.int64)[order], group["y"].to_numpy()[order], group["norm"].to_numpy()[order]
-        rng = np.random.default_rng([cfg.seed, epoch, abs(node)])
-        cand = z[None, :] ^ candidate_masks(cfg, rng)[:, None]
-        now = _bits(z ^ other)
-        total, cnt = now.sum(axis=1), max(1, int((y == 1).sum()))
-        loss = np.zeros(cand.shape)
-        grid = np.arange(cfg.height * cfg.dims + 1) / cfg.dims + cfg.eps
-        for e in range(len(y)):
-            with np.errstate(divide="ignore", over="ignore"):
-                p = 1 / (1 + (grid / norm[e]) ** cfg.gamma / cfg.alpha) if norm[e] > 0 else np.zeros(len(grid))
-            cost = -cfg.weight * np.log(cfg.eps + p) if y[e] == 1 else -np.log(1 + cfg.eps - p)
-            loss += cost[_bits(cand ^ other[e]) - now[e] + total[e]]
-        best = loss.argmin(axis=0)
-        return pd.DataFrame({"node": [node], "z": [cand[best, np.arange(len(z))].tolist()], "loss": [float(loss.min(axis=0).mean() / cnt)]})
-
-
-    moved = rows.groupBy("node").applyInPandas(move, "node long, z array<long>, loss double")
-    return loc.join(moved.withColumnRenamed("z", "new"), "node", "left").select("node", F.coalesce("new", "z").alias("z"), "loss")
+    per = links.groupBy("node").agg(F.count("*").alias("links"))
+    cost = nodes.select("node").join(per, "node").select("node", F.when(_keep(cfg, epoch), F.col("links")).otherwise(F.lit(1)).cast("bigint").alias("cost"))
+    run = prefix_sums(cost.withColumn("r", draw(cfg.seed, "batch", epoch, F.col("node"))), ["r", "node"], {"before": F.col("cost")})
+    return run.select("node", "cost", F.floor(F.col("before") / cap).cast("bigint").alias("batch"))
+
+
+def branches(links: dict[str, DataFrame], ids: DataFrame, n: int, cfg: TrainConfig, epoch: int, variant: str) -> dict[str, DataFrame]:
+    """For each vector that moves (z, or head and tail): node, nbr, key (of SELECTORS), y (1 link, 0 negative), cnt (by which the node's sums are divided)."""
+    used = {k: neighbour_sample(v, cfg, epoch, k) for k, v in links.items()}
+    count = lambda k: used[k].groupBy("node").agg(F.count("*").alias("cnt"))
+    row = lambda d, key, y: d.select("node", "nbr", F.lit(key).alias("key"), F.lit(y).alias("y"))
+    drawn = lambda k: drawn_negatives(used[k], ids, n, cfg, epoch, k)
+    if variant == "undir":
+        return {"z": row(used["all"], "out", 1).unionByName(row(drawn("all"), "not_out", 0)).join(count("all"), "node")}
+    if variant == "sr":
+        rows = row(used["out"], "out", 1).unionByName(row(used["in"], "in", 1)).unionByName(row(drawn("all"), "neither", 0))
+        return {"z": rows.join(count("all"), "node")}
+    out = row(used["out"], "out", 1).unionByName(row(drawn("out"), "not_out", 0)).join(count("out"), "node")
+    back = row(used["in"], "in", 1).unionByName(row(drawn("in"), "not_in", 0)).join(count("in"), "node")
+    return {"head": out, "tail": back}
+
+
+def with_ends(rows: DataFrame, own: DataFrame, other: DataFrame, deg: DataFrame) -> DataFrame:
+    """rows with z1 of node, z2 of nbr and the normalisers n12 and n21 of the pair as an edge and as the opposite edge."""
+    a = own.join(deg, "node", "left").select("node", F.col("z").alias("z1"), F.coalesce("d1", F.lit(0)).alias("a1"), F.coalesce("d2", F.lit(0)).alias("a2"))
+    b = other.join(deg, "node", "left").select(F.col("node").alias("nbr"), F.col("z").alias("z2"), F.coalesce("d1", F.lit(0)).alias("b1"), F.coalesce("d2", F.lit(0)).alias("b2"))
+    norm = lambda x, y: F.log((F.col(x) + 1.0) * (F.col(y) + 1.0))
+    return rows.join(b, "nbr").join(a, "node").withColumn("n12", norm("a1", "b2")).withColumn("n21", norm("b1", "a2"))
+
+
+def losses(rows: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """node, pos, neg: a node's mean losses where it stands, for rows of with_ends."""
+    from_norm = lambda n: F.when(F.col(n) > 0, F.lit(1.0) / (F.lit(1.0) + F.pow((pair_distance(F.col("z1"), F.col("z2"), cfg.dims) + F.lit(cfg.eps)) / F.col(n), F.lit(float(cfg.gamma))) / F.lit(float(cfg.alpha)))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("p12", from_norm("n12")).withColumn("p21", from_norm("n21"))
+    p = F.lit(None).cast("double")
+    for key in ("out", "in", "not_out", "not_in", "neither"):
+        p = F.when(F.col("key") == key, selected(key, F.col("p12"), F.col("p21"))).otherwise(p)
+    cost = log_loss(p, cfg.eps) / F.col("cnt")
+    return rows.groupBy("node").agg(F.sum(F.when(F.col("y") == 1, cost).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, cost).otherwise(0.0)).alias("neg"))
+
+
+def _counter(*parts) -> int:
+    """The twin of draw() in Python."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def candidate_table(node: int, z: np.ndarray, cfg: TrainConfig, epoch: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (L, dims) of a node, the node's own place last, and the order in which equal losses are settled."""
+    k, n = cfg.per_level, cfg.candidates
+    flips = np.repeat(1 << np.arange(cfg.height), k)
+    if cfg.portable:
+        masks = np.array([[_counter(cfg.seed, "m", name, epoch, node, i, t) % int(f) for t in range(len(z))] for i, f in enumerate(flips)], np.int64)
+        rank = np.array([_counter(cfg.seed, "tie", epoch, node, i) for i in range(n)])
+    else:
+        rng = np.random.default_rng([cfg.seed, epoch, sum(map(ord, name)), node & (2**63 - 1)])
+        masks = rng.integers(0, flips[:, None], (len(flips), len(z)))
+        rank = rng.permutation(n)
+    return np.vstack([z ^ flips[:, None] ^ masks, z]), np.argsort(rank)
+
+
+def candidate_losses(cand: np.ndarray, z: np.ndarray, links: pd.DataFrame, cfg: TrainConfig) -> np.ndarray:
+    """Summed losses (2, L, dims) of links y, key, z2, n12, n21: at 0 those of negatives, at 1 those of links.
+
+    A distance takes at most height * dims + 1 values, so each link's losses are a short table that candidates look up.
+    """
+    bits = np.array([int(i).bit_length() for i in range(1 << min(cfg.height, 16))], np.int16)
+    length = lambda x: bits[x] if cfg.height <= 16 else np.where(x >> 16 > 0, 16 + bits[x >> 16], bits[x & 0xFFFF])
+    grid = np.arange(cfg.height * cfg.dims + 1) / cfg.dims + cfg.eps
+    sums = np.zeros((2, *cand.shape))
+    for key, part in links.groupby("key"):
+        other, y = np.array(part["z2"].tolist(), np.int64), part["y"].to_numpy()
+        tables = []
+        for n in ("n12", "n21"):
+            norm = part[n].to_numpy()[:, None]
+            with np.errstate(divide="ignore"):
+                tables.append(np.where(norm > 0, 1 / (1 + (grid / norm) ** cfg.gamma / cfg.alpha), 0.0))
+        cost = -np.log(cfg.eps + selected(key, *tables))
+        now = length(z ^ other)
+        rest = now.sum(axis=1)[:, None] - now
+        for i in range(0, len(other), LINKS):
+            s = slice(i, i + LINKS)
+            at = length(cand[None] ^ other[s, None, :]) + rest[s, None, :]
+            found = np.take_along_axis(cost[s], at.reshape(len(at), -1), axis=1).reshape(at.shape)
+            for label in (0, 1):
+                sums[label] += found[y[s] == label].sum(axis=0)
+    return sums
+
+
+def _settled(node: int, z: np.ndarray, sums: np.ndarray, cnt: int, cfg: TrainConfig, epoch: int, name: str) -> tuple:
+    cand, order = candidate_table(node, z, cfg, epoch, name)
+    neg, pos = sums / cnt
+    total = cfg.weight * pos + neg
+    best = order[np.round(total[order], 9).argmin(axis=0)]
+    dims = np.arange(len(z))
+    return node, cand[best, dims].tolist(), float(total[best, dims].mean()), float(pos[best, dims].mean()), float(neg[best, dims].mean())
+
+
+MOVED = "node long, z array<long>, loss double, pos double, neg double"
+
+
+def move(rows: DataFrame, cfg: TrainConfig, epoch: int, name: str = "z") -> DataFrame:
+    """node, z (where it moves), loss, pos, neg for rows of with_ends. Links of large nodes are summed by parts, so no task holds a hub's."""
+    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    rows = rows.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("nbr", "key"), F.col("parts")).cast("int"))
+    rows = rows.select("node", "part", "parts", "key", "y", "cnt", "z1", "z2", "n12", "n21")
+
+    def part_of(group: pd.DataFrame) -> pd.DataFrame:
+        node, cnt, z = int(group["node"].iloc[0]), int(group["cnt"].iloc[0]), np.array(group["z1"].iloc[0], np.int64)
+        group = group.sort_values(["key", "y", "n12", "n21"], kind="stable", ignore_index=True)
+        sums = candidate_losses(candidate_table(node, z, cfg, epoch, name)[0], z, group, cfg)
+        whole = int(group["parts"].iloc[0]) == 1
+        row = _settled(node, z, sums, cnt, cfg, epoch, name) if whole else (node, z.tolist(), None, None, None)
+        return pd.DataFrame([(*row, cnt, None if whole else sums.reshape(-1).tolist())], columns=["node", "z", "loss", "pos", "neg", "cnt", "sums"])
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        node, cnt, z = int(group["node"].iloc[0]), int(group["cnt"].iloc[0]), np.array(group["z"].iloc[0], np.int64)
+        sums = np.zeros(2 * cfg.candidates * cfg.dims)
+        for part in group["sums"]:
+            sums += np.asarray(part)
+        return pd.DataFrame([_settled(node, z, sums.reshape(2, cfg.candidates, cfg.dims), cnt, cfg, epoch, name)], columns=["node", "z", "loss", "pos", "neg"])
+
+    parts = rows.groupBy("node", "part").applyInPandas(part_of, MOVED + ", cnt long, sums array<double>")
+    parts = Scratch(rows.sparkSession, "moves").save(parts, "parts")
+    return parts.filter("sums is null").select("node", "z", "loss", "pos", "neg").unionByName(parts.filter("sums is not null").groupBy("node").applyInPandas(added, MOVED))
+
+
+@dataclass(frozen=True)
+class Model:
+    """vectors: node, z by name (z, or head and tail); deg: node, d1, d2."""
+
+    variant: str
+    vectors: dict[str, DataFrame]
+    deg: DataFrame
+    cfg: TrainConfig
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        head = self.vectors.get("z", self.vectors.get("head"))
+        return score_pairs(pairs, head, self.deg, self.cfg, self.vectors.get("tail"))
+
+
+def start(edges: DataFrame, cfg: TrainConfig, variant: str) -> Model:
+    """An untrained model of the nodes of edges (undirected or directed distinct pairs)."""
+    names = ("head", "tail") if variant == "dr" else ("z",)
+    nodes = g.nodes(edges)
+    return Model(variant, {n: init_coordinates(nodes, cfg, n) for n in names}, degrees_for(edges, variant != "undir", cfg.oi if variant == "dr" else 1), cfg)
+
+
+def step(model: Model, links: dict[str, DataFrame], ids: DataFrame, n: int, epoch: int, only: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One synchronous step: by vector, node, z, loss, pos, neg of the nodes that had links. only: nodes (node) that may move."""
+    out, opposite = {}, {"z": "z", "head": "tail", "tail": "head"}
+    for name, rows in branches(links, ids, n, model.cfg, epoch, model.variant).items():
+        rows = rows if only is None else rows.join(only, "node", "left_semi")
+        out[name] = move(with_ends(rows, model.vectors[name], model.vectors[opposite[name]], model.deg), model.cfg, epoch, name)
+    return out
+
+
+def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: DataFrame | None = None) -> tuple[Model, list[dict]]:
+    """A model trained on edges, and a row of history for each epoch.
+
+    test: src, dst, label; every eval_step epochs and at the end its ranking metrics join the history. Each step's coordinates are
+    written to the shared folder, and those before are dropped. Within an epoch, batches of edge_cap links move one after the other.
+    """
+    scratch = Scratch(edges.sparkSession, "train")
+    e = scratch.save(g.undirected(edges) if variant == "undir" else g.directed(edges), "edges")
+    model = start(e, cfg, variant)
+    links = {k: scratch.save(v, f"links-{k}") for k, v in links_of(e, variant).items()}
+    ids = scratch.save(g.node_map(e), "ids")
+    n = ids.count()
+    model = replace(model, deg=scratch.save(model.deg, "deg"), vectors={k: scratch.save(v, f"{k}-start") for k, v in model.vectors.items()})
+    all_links = links["all"] if "all" in links else links["out"].unionByName(links["in"])
+    history, before = [], {k: f"{k}-start" for k in model.vectors}
+    for epoch in range(cfg.epochs):
+        batches, plan = 1, None
+        if cfg.edge_cap:
+            plan = scratch.save(batch_assign(ids, all_links, cfg, epoch, cfg.edge_cap), f"batches-{epoch}")
+            batches = (plan.agg(F.max("batch")).first()[0] or 0) + 1
+        sums = np.zeros(4)
+        for b in range(batches):
+            moved = step(model, links, ids, n, epoch, plan.filter(F.col("batch") == b).select("node") if batches > 1 else None)
+            vectors = {}
+            for k, m in moved.items():
+                label = f"{k}-{epoch}-{b}"
+                m = scratch.save(m, f"moved-{label}")
+                r = m.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("loss", "pos", "neg")]).first()
+                sums += np.array([float(x) for x in r])
+                put = model.vectors[k].join(m.select("node", F.col("z").alias("new")), "node", "left").select("node", F.coalesce("new", "z").alias("z"))
+                vectors[k] = scratch.save(put, label)
+            model = replace(model, vectors=vectors)
+            scratch.drop(*before.values(), *[f"moved-{k}-{epoch}-{b}" for k in moved])
+            before = {k: f"{k}-{epoch}-{b}" for k in moved}
+        row = {"epoch": epoch, **dict(zip(("loss", "pos", "neg"), (sums[1:] / max(1.0, sums[0])).tolist(), strict=True))}
+        if test is not None and ((epoch + 1) % cfg.eval_step == 0 or epoch + 1 == cfg.epochs):
+            row |= evaluate(model, test)
+        log.info("%s", row)
+        history.append(row)
+    return model, history
+
+
+def evaluate(model: Model, test: DataFrame) -> dict[str, float]:
+    """Ranking metrics of test (src, dst, label)."""
+    return ranking_metrics(model.score(test)).first().asDict()
+
+
+def sweep(runs: list[tuple[dict, DataFrame, DataFrame, TrainConfig, str]]) -> list[dict]:
+    """Train and evaluate each run (names, train edges, test pairs, config, variant); a row of names and metrics for each."""
+    return [names | evaluate(train(edges, cfg, variant)[0], test) for names, edges, test, cfg, variant in runs]

@@ -1,45 +1,35 @@
-"""Queries over fixture graphs that are derived from the tables, and their SQL.
-
-GE: transitions between users of consecutive events; GC: customers and parts of their orders; GP: suppliers and parts with times.
-"""
+"""Queries over fixture graphs, and their SQL; those of splits and of training are in modules of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import tree_distance
 from ..operators import graph as g
 from ..operators import metrics as m
 from ..operators import training as t
+from ..scratch import Scratch
 from ..sources.edges import random_graph
+from . import split_queries, train_queries
+from .fixtures import BITS as _BITS
+from .fixtures import GC as _GC
+from .fixtures import GE as _GE
+from .fixtures import GP as _GP
+from .fixtures import ND as _ND
+from .fixtures import draw_sql as _draw
+from .fixtures import gc, ge, gp
+from .fixtures import split_sql as _split_sql
+from .fixtures import table as _t
 
 FLAGSHIP = "ranking_metrics_sampled"
 CFG = t.TrainConfig(alpha=18.0)
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def ge(spark: SparkSession, d: str) -> DataFrame:
-    nxt = F.lead("user_id").over(Window.orderBy("ts", "event_id"))  # one sequence over all events is what the fixture is
-    return _t(spark, d, "events").select(F.col("user_id").alias("src"), nxt.alias("dst")).filter("dst is not null")
-
-
-def gc(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return e.select(F.col("o_custkey").cast("bigint").alias("src"), (F.col("l_partkey") + 1_000_000_000).cast("bigint").alias("dst"))
-
-
-def gp(spark: SparkSession, d: str) -> DataFrame:
-    days = F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date"))
-    return _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("src"), F.col("l_partkey").cast("bigint").alias("dst"), days.cast("bigint").alias("t"))
-
-
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Untrained scores of the edges of GE and of as many shifted pairs, whose targets are 15 nodes only and may be edges: no measure of ranking, see sampled()."""
-    e = g.directed(ge(spark, d))
+    scratch = Scratch(spark, "scored")
+    e = scratch.save(g.directed(ge(spark, d)), "edges")
     loc = t.init_coordinates(g.nodes(e), CFG)
     deg = t.degrees_for(e, True)
     pairs = e.withColumn("label", F.lit(1)).unionByName(e.select("src", F.expr("(dst * 7 + src * 3 + 1) % 15").cast("bigint").alias("dst"), F.lit(0).alias("label")))
@@ -48,7 +38,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
     """Untrained scores of the edges of GE and of as many pairs drawn over all its nodes that are no edges, or all free pairs the draws find if there are fewer."""
-    e = g.directed(ge(spark, d))
+    scratch = Scratch(spark, "sampled")
+    e = scratch.save(g.directed(ge(spark, d)), "edges")
     loc = t.init_coordinates(g.nodes(e), CFG)
     deg = t.degrees_for(e, True)
     drawn = g.negatives(e, e.count(), seed=2, strict=False)
@@ -57,15 +48,9 @@ def sampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_epochs(spark: SparkSession, d: str) -> DataFrame:
-    e = g.undirected(ge(spark, d)).filter("src <> dst").persist()
-    cfg = t.TrainConfig(height=8, dims=4, epochs=2)
-    loc, deg = t.init_coordinates(g.nodes(e), cfg), t.degrees_for(e, False)
-    ids = g.node_map(e).select("idx", F.col("node").alias("other"))
-    n = ids.count()
-    for epoch in range(cfg.epochs):
-        loc = t.train_epoch(loc.select("node", "z"), g.adjacency(e).select("node", "nbr"), deg, ids, n, cfg, epoch)
-        loc = loc.checkpoint() if spark.sparkContext.getCheckpointDir() else loc.persist()
-    return loc.select("node", "z", "loss")
+    """Coordinates after training on GE with the general defaults."""
+    model, _ = t.train(ge(spark, d), t.TrainConfig(), "undir")
+    return model.vectors["z"]
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +58,20 @@ def split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transductive(spark: SparkSession, d: str) -> DataFrame:
-    s = g.random_split(g.directed(gc(spark, d)), 0.5, seed=1)
+    s = Scratch(spark, "transductive").save(g.random_split(g.directed(gc(spark, d)), 0.5, seed=1), "split")
     return g.transductive(s.filter("part = 'test'"), s.filter("part = 'train'").select("src", "dst"))
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
     runs = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("dataset"), (F.col("l_discount") * 1.0).cast("double").alias("roc_auc"))
-    return runs.groupBy("dataset").agg(F.round(F.avg("roc_auc"), 9).alias("mean"), F.round(F.stddev_pop("roc_auc"), 9).alias("std"))
+    return m.run_statistics(runs, ["dataset"], "roc_auc")
+
+
+def summary_text(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics as 1 in 128ths, which both engines add without rounding."""
+    part = lambda c: (F.col(c).cast("bigint") % 128) / F.lit(128.0)
+    runs = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("dataset"), part("l_partkey").alias("roc_auc"), F.when(F.col("l_linenumber") < 5, part("l_orderkey")).alias("f1"))
+    return m.run_summary(runs, ["dataset"], ["roc_auc", "f1"])
 
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
@@ -114,22 +106,8 @@ QUERIES = {
     "er_undirected": lambda s, d: random_graph(s, 1024, 5120, 42, False),
     "negatives_strict": lambda s, d: g.negatives(g.directed(gc(s, d)), 2000, seed=3),
     "train_epochs": train_epochs,
-}
-
-_GE = "ge AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL), e AS (SELECT DISTINCT src, dst FROM ge)"
-_GC = "gc AS (SELECT DISTINCT o_custkey::bigint AS src, (l_partkey + 1000000000)::bigint AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
-_GP = "gp AS (SELECT l_suppkey::bigint AS src, l_partkey::bigint AS dst, datediff('day', date '1995-01-01', l_shipdate::date) AS t FROM lineitem)"
-_ND = "nd AS (SELECT src AS node FROM ge UNION SELECT dst FROM ge)"
-_BITS = "CASE WHEN xor({a}, {b}) = 0 THEN 0 ELSE length(bin(xor({a}, {b}))) END"
-
-
-def _draw(*parts: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::bigint"
-
-
-def _split_sql(table: str) -> str:
-    return f"s AS (SELECT src, dst, CASE WHEN row_number() OVER (ORDER BY {_draw('1', 'src', 'dst')}, src, dst) <= (SELECT round_even(count(*) * 0.5::double, 0) FROM {table}) THEN 'train' ELSE 'test' END AS part FROM {table})"
-
+    "run_summary": summary_text,
+} | split_queries.QUERIES | train_queries.QUERIES
 
 _SCORED = f"""
 loc AS (SELECT node, i, {_draw("1", "'z'", "node", "i")} % 4096 AS z FROM nd, (SELECT unnest(range(16)) AS i)),
@@ -178,4 +156,5 @@ SQL = {
     "run_statistics": "SELECT l_suppkey::bigint AS dataset, round(avg(l_discount::double), 9) AS mean, round(stddev_pop(l_discount::double), 9) AS std FROM lineitem GROUP BY 1",
     "er_directed": f"WITH {_ER} SELECT DISTINCT a AS src, b AS dst FROM c WHERE a <> b",
     "er_undirected": f"WITH {_ER} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM c WHERE a <> b",
-}
+    "run_summary": "SELECT l_suppkey::bigint AS dataset, " + ", ".join(f"printf('%.2f±%.2f', avg({v}) * 100, stddev_pop({v}) * 100) AS {n}" for n, v in (("roc_auc", "(l_partkey % 128) / 128.0::double"), ("f1", "CASE WHEN l_linenumber < 5 THEN (l_orderkey % 128) / 128.0::double END"))) + " FROM lineitem GROUP BY 1",
+} | split_queries.SQL | train_queries.SQL
