@@ -1,92 +1,13 @@
-"""Shared helpers: the shared scratch folder, lineage cuts, size checks and row keys."""
+"""Shared helpers of the operators: tables, row keys and words; with those of the library for scratch tables and size checks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session.
-
-    Only a local master without that setting (tests) gets a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="treelink-")
-    return _own_dirs[sc.applicationId]
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-#: Spark's setting that drops an execution's shuffle files at its end instead of when the driver's garbage is collected.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and lost executors cost only their tasks."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, let Spark delete the shuffle files that the write needed, and read it back."""
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete_path(self.spark, self.path(name))
-
-    def size(self, name: str) -> int:
-        """Bytes of a saved table."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.getContentSummary(p).getLength()
-
-    def _end(self) -> None:
-        try:
-            delete_path(self.spark, self.root)
-        except Exception:  # the session has ended before the interpreter
-            pass
-
-
-#: A side of a join is broadcast only if the rows that were counted, times their width, stay below this.
-BROADCAST_BYTES = 32 << 20
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint if the counted size allows it, else the plain frame for a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+from ..scratch import Scratch, broadcast_if_small
 
+__all__ = ["Scratch", "broadcast_if_small", "free_name", "lower_ascii", "table", "text_key", "words_of"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,3 +30,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words_of(text: Column) -> Column:
     """The words of a text; a null text has none."""
     return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A name that no column of df has."""
+    name, taken = f"_{base}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

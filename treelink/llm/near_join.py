@@ -1,14 +1,15 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 Texts with equal sets of five-word shingles are one class. Classes that share a band of MinHash values form candidate components
-(42 bands of 6 values; a pair of similarity 0.8 shares none with probability 3e-6). Inside a component, pairs are compared in
-blocks: MinHash values are matched a few at a time, a pair goes once the posterior probability of reaching the threshold, under a
-uniform prior, falls below `tolerance`, and the sets of the rest are intersected exactly. Blocks return counts and spanning edges,
-never pairs, so a large group makes no rows beyond its members times its number of blocks.
+(42 bands of 6 values; a pair of similarity 0.8 shares none with probability 3e-6). Inside a component, pairs are compared in blocks:
+MinHash values are matched a few at a time, and a pair goes once the posterior probability of reaching the threshold, under a uniform
+prior, falls below `tolerance`. Only signatures travel for that. Texts are fetched for classes with a pair left, and the sets of these
+pairs are intersected exactly. Blocks return counts and spanning edges, never pairs, so a large group makes no rows beyond its members
+times its number of blocks.
 
 Defined results: words are lower-cased A-Z runs of letters and digits; a text of one to four words has one shingle; null, empty and
 wordless texts have no links and are groups of their own; repeated rows are copies; an empty table gives no rows; other columns are
-ignored. A null doc_id takes part, but never names a group that has another id.
+ignored, whatever their names. A null doc_id takes part, but never names a group that has another id.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small, free_name, text_key
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
-#: Members of a block; a task holds two blocks.
-BLOCK = 1024
+#: Members of a block and shingles of its texts, on average; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: MinHash values compared before each look at the posterior.
 STEP = 12
 
@@ -85,9 +86,8 @@ def least_matches(values: int, threshold: float, tolerance: float) -> tuple[int,
     return tuple(out)
 
 
-def links_between(sig_a, sets_a, sig_b, sets_b, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with exact Jaccard of at least threshold; of one block with itself, each pair once."""
-    na, nb = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
+def likely_pairs(sig_a, na, sig_b, nb, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that sizes and MinHash values leave; of one block with itself, each pair once. na, nb: sizes of the sets."""
     kept_x, kept_y = [], []
     least = least_matches(sig_a.shape[1], threshold, tolerance)
     for x0 in range(0, len(na), 128):
@@ -108,7 +108,13 @@ def links_between(sig_a, sets_a, sig_b, sets_b, same: bool, threshold: float, to
             x, y, matched = x[go], y[go], matched[go]
         kept_x.append(x)
         kept_y.append(y)
-    x, y = np.concatenate(kept_x or [np.empty(0, int)]), np.concatenate(kept_y or [np.empty(0, int)])
+    return np.concatenate(kept_x or [np.empty(0, int)]), np.concatenate(kept_y or [np.empty(0, int)])
+
+
+def links_between(sig_a, sets_a, sig_b, sets_b, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with exact Jaccard of at least threshold; of one block with itself, each pair once."""
+    na, nb = np.array([len(s) for s in sets_a], np.int64), np.array([len(s) for s in sets_b], np.int64)
+    x, y = likely_pairs(sig_a, na, sig_b, nb, same, threshold, tolerance)
     if not len(x):
         return x, y
     common = np.zeros(len(x), np.int64)
@@ -177,50 +183,57 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, n = [], []
+            digest, n, sigs = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), shingle)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sigs.append(minhash(s, values).tobytes() if len(s) else None)
                 n.append(len(s))
-            yield pa.record_batch({"doc_id": batch.column(0), "tk": batch.column(2), "v": pa.array(digest, pa.binary()), "n": pa.array(n, pa.int64())})
+            yield pa.record_batch({"doc_id": batch.column(0), "tk": batch.column(2), "v": pa.array(digest, pa.binary()), "n": pa.array(n, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(7), F.col("text")).alias("tk"))
-    marked = scratch.save(src.mapInArrow(read, "doc_id long, tk long, v binary, n long"), "marked")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("tk"))
+    marked = scratch.save(src.mapInArrow(read, "doc_id long, tk long, v binary, n long, sig binary"), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    classes = marked.filter("v is not null").groupBy("v").agg(F.min(order).alias("rep"), F.count("*").alias("n_copies"))
+    classes = marked.filter("v is not null").groupBy("v").agg(F.min(order).alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
+    marked = marked.select("doc_id", "tk", "v")
 
-    # One text of each class is read again, so copies are hashed once and sets are never stored for all rows.
-    reps = classes.select("v", F.col("rep.doc_id").alias("r"), F.col("rep.tk").alias("rt"))
-    texts = src.join(reps, src["doc_id"].eqNullSafe(reps["r"]) & (src["tk"] == reps["rt"])).select("v", "text")
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
-            sigs = [minhash(s, values) for s in sets]
-            keys = [[int.from_bytes(hashlib.blake2b(x[b * rows : (b + 1) * rows].tobytes() + bytes([b]), digest_size=8).digest(), "little", signed=True) for b in range(bands)] for x in sigs]
-            for i in range(0, len(sets), 64):
-                part = slice(i, i + 64)
-                yield pa.record_batch({"v": batch.column("v")[part], "sig": pa.array([x.tobytes() for x in sigs[part]], pa.binary()), "bands": pa.array(keys[part], pa.list_(pa.int64()))})
-
-    signed = scratch.save(texts.mapInArrow(sign, "v binary, sig binary, bands array<long>").dropDuplicates(["v"]), "signed")
-    spread = signed.select("v", F.explode("bands").alias("hub"))
+    width = 4 * rows
+    band = lambda b: F.xxhash64(F.substring(F.col("sig"), b * width + 1, F.lit(width)), b)
+    spread = classes.select("v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("hub"))
     shared = spread.groupBy("hub").agg(F.count("*").alias("c")).filter("c > 1").select("hub")
-    comp = scratch.save(components(scratch, spread.join(shared, "hub"), "candidate"), "comp")
+    member = scratch.save(spread.join(shared, "hub"), "member")
+    comp = scratch.save(components(scratch, member, "candidate"), "comp")
+    scratch.drop("member")
 
     # Components in blocks: a member goes to every pair of blocks that its own block is in.
-    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    comp = comp.join(classes.select("v", "n", "sig"), "v")
+    sizes = comp.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = comp.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("v", "comp", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine")
-    loaded = placed.join(texts.dropDuplicates(["v"]), "v").join(signed.select("v", "sig"), "v")
-
-    def compare(key, group: pd.DataFrame) -> pd.DataFrame:
+    placed = placed.select("v", "comp", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "n", "sig")
+
+    def sides(key: tuple, group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = group["mine"].to_numpy()
+        return np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), values), np.nonzero(mine == key[1])[0], np.nonzero(mine == key[2])[0]
+
+    def prune(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """The members that have a likely pair in these blocks."""
+        sig, left, right = sides(key, group)
+        n = group["n"].to_numpy()
+        x, y = likely_pairs(sig[left], n[left], sig[right], n[right], key[1] == key[2], threshold, tolerance)
+        return group.iloc[np.union1d(left[x], right[y]).astype(int)]
+
+    likely = scratch.save(placed.groupBy("comp", "a", "b").applyInPandas(prune, placed.schema), "likely")
+    wanted = scratch.save(likely.select("v").distinct().join(classes.select("v", "rep"), "v").select("v", F.col("rep.doc_id").alias("r"), F.col("rep.tk").alias("rt")), "wanted")
+    few = broadcast_if_small(wanted, wanted.count(), 40)
+    texts = scratch.save(src.join(few, src["doc_id"].eqNullSafe(few["r"]) & (src["tk"] == few["rt"])).select("v", "text").dropDuplicates(["v"]), "texts")
+    loaded = likely.join(texts, "v")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v", ignore_index=True)
         sets = [shingle_set(t, shingle) for t in group["text"]]
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), values)
-        left = np.nonzero((group["mine"] == key[1]).to_numpy())[0]
-        right = np.nonzero((group["mine"] == key[2]).to_numpy())[0]
+        sig, left, right = sides(key, group)
         x, y = links_between(sig[left], [sets[i] for i in left], sig[right], [sets[i] for i in right], key[1] == key[2], threshold, tolerance)
         x, y = left[x], right[y]
         links = np.bincount(x, minlength=len(group)) + np.bincount(y, minlength=len(group))
@@ -232,7 +245,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
     linked = scratch.save(loaded.groupBy("comp", "a", "b").applyInPandas(compare, "v binary, hub binary, links long"), "linked")
     counts = linked.groupBy("v").agg(F.sum("links").alias("n_links"))
     group = scratch.save(components(scratch, linked.select("v", "hub").unionByName(linked.select(F.col("hub").alias("v"), "hub")).distinct(), "group"), "group")
-    full = classes.join(group, "v", "left").join(counts, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    scratch.drop("likely", "wanted", "texts", "comp")
+    full = classes.drop("sig", "n").join(group, "v", "left").join(counts, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     best = full.groupBy("comp").agg(F.min("rep").alias("best"))
     full = full.join(best, "comp").select("v", "best", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "rep")
     out = marked.join(full, "v", "left")
@@ -242,10 +256,19 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
 
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that are near copies of their group's first document. Of repeated rows of that one, one stays."""
-    gone = jaccard_groups(docs, **options).filter("not keeper").select(F.col("doc_id").alias("_nj_id"), F.col("tk").alias("_nj_tk")).distinct()
-    d = docs.withColumn("_nj_key", F.xxhash64(F.lit(7), F.col("text")))
-    d = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_nj_id"]) & (d["_nj_key"] == gone["_nj_tk"]), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_nj_key").orderBy("doc_id"))
-    wordless = F.coalesce(F.regexp_replace("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "") == "", F.lit(True))
-    return d.withColumn("_nj_n", nth).filter((F.col("_nj_n") == 1) | wordless).drop("_nj_key", "_nj_n")
+    """docs without the rows that are near copies of their group's first document.
+
+    Of rows that repeat that one's doc_id and text, the one stays whose columns are least as JSON.
+    """
+    gone = jaccard_groups(docs, **options).filter("not keeper").select(F.col("doc_id").alias("_gone_id"), F.col("tk").alias("_gone_tk")).distinct()
+    d = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (text_key(docs["text"]) == gone["_gone_tk"]), "left_anti")
+    tk, nth = free_name(docs, "tk"), free_name(docs, "nth")
+    worded = F.length(F.regexp_replace("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "")) > 0
+    again = docs.filter(worded).groupBy(F.col("doc_id").cast("long").alias("_id"), text_key("text").alias("_tk")).agg(F.count("*").alias("c")).filter("c > 1").select("_id", "_tk")
+    again = Scratch(docs.sparkSession, "jaccard-again").save(again, "again")
+    if not again.limit(1).count():
+        return d
+    same = d["doc_id"].cast("long").eqNullSafe(again["_id"]) & (text_key(d["text"]) == again["_tk"])
+    order = Window.partitionBy("doc_id", tk).orderBy(F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+    first = d.join(again, same, "left_semi").withColumn(tk, text_key("text")).withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return d.join(again, same, "left_anti").unionByName(first.select(*docs.columns))
