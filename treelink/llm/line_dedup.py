@@ -1,70 +1,107 @@
-"""Line dedup: repeated runs of lines, and repeated long lines, by doubling over line ids; later copies go. DataFrame functions only.
+"""Line dedup by a suffix array over the line ids of all documents. DataFrame functions only.
 
-Each line gets an id, and doubling names every run of 2, 4, ... lines from the names of its halves, up to `min_lines`; a last step
-with overlapping halves covers lengths that are no power of two. Suffixes with equal names form one interval whose common prefix
-has at least `min_lines` lines; its first member in the order of (doc_id, line) stays, and the lines that the others' runs cover
-go. A longer maximal run is the union of such runs, so doubling can end there. Names are two 64-bit hashes, not sorted ranks.
+A line's id is two 64-bit hashes of it without the blanks at its ends. Prefix doubling ranks the suffixes of all documents by their
+first 1, 2, 4, ... lines: a round sorts pairs of ranks by ranges and counts, so that a rank is the place in the suffix array where the
+suffixes that agree so far begin; only suffixes whose class can still be split take part in the next round, and rounds end when none
+is. Suffixes that agree in `min_lines` lines lie side by side and form a longest-common-prefix interval; their rank after that round
+names it. In each interval the first suffix in the order of (doc_id, line) is the copy that stays, and `min_lines` lines from each later
+one are deleted. A maximal repeated run is the union of the intervals' runs, so all of it but the first copy goes. A copy that overlaps
+the first one in the same document is no later copy: in `a a a b` nothing is deleted, and of `a a a a` the last two lines are.
 A single line of at least `min_words` words (separated by spaces and tabs) is a run too, whatever its neighbours are, so a passage
 on one line and a document of one line are found as well.
 
-Defined results: lines are compared without blanks at their ends, blank lines are no part of runs and stay between kept lines; a
-null text is kept as null and an empty one as empty; repeated rows are one document with the row-order of their key, and both keep
-their lines; an empty table gives no rows; other columns pass through, and names that begin with `_ld_` are reserved.
+Defined results: lines are compared without spaces at their ends, blank lines are no part of runs and stay between kept lines; a
+null text is kept as null and an empty one as empty; rows that repeat both doc_id and text are one document and lose the same lines;
+a document whose text another one has goes whole if it is later (a null doc_id is last) and holds a run; an empty table gives no rows;
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
+from ..operators.order import numbered, prefix_sums
+from .common import Scratch, free_name, text_key
 
 
-def _double(names: Column, step: int) -> Column:
-    """Names of runs that begin where two names `step` apart do."""
-    last = F.size(names) - step
-    starts = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    pick = lambda i, f: names[i][f]
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(pick(i, "a"), pick(i + step, "a")).alias("a"), F.xxhash64(pick(i + step, "b"), F.lit(3), pick(i, "b")).alias("b"), pick(i, "p").alias("p"), pick(i + step, "q").alias("q")))
-
-
-def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
-    """_ld_id, _ld_key, _ld_gone: for each document with deleted lines, numbers (from 0) of its lines; blank ones among them stay."""
-    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
+def document_lines(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """tk, dn, lines: for each distinct text its number in the order of its first document, and its lines (a, b, i: their number with blank ones, w: whether one is a run by itself)."""
+    full = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
     # Words are counted only where a line has room for so many.
     long = lambda t: (F.length(t) >= 2 * min_words - 1) & (F.regexp_count(t, F.lit(r"[^ \t]+")) >= min_words)
-    name = lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b"), x["i"].alias("p"), x["i"].alias("q"), long(x["t"]).alias("w"))
-    names = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_ld_id"), text_key("text").alias("_ld_key"), F.transform(lines, name).alias("n"))
-    run = lambda x: F.struct(*[x[f].alias(f) for f in "abpq"])
-    names = names.select("_ld_id", "_ld_key", F.transform("n", run).alias("r"), F.transform(F.filter("n", lambda x: x["w"]), run).alias("single"))
-    size = 1
-    while size < min_lines:
-        step = min(size, min_lines - size)
-        names = names.select("_ld_id", "_ld_key", _double(F.col("r"), step).alias("r"), "single")
-        size += step
-    if min_lines > 1:
-        names = names.select("_ld_id", "_ld_key", F.concat("r", "single").alias("r"))
-    # A plain explode infers a filter on the array's size, which would put the whole expression of r into each of its lambdas.
-    runs = names.select("_ld_id", "_ld_key", F.explode_outer("r").alias("r")).filter("r is not null").select("_ld_id", "_ld_key", F.col("r.p").alias("at"), F.col("r.q").alias("to"), "r.a", "r.b")
-    runs = Scratch(docs.sparkSession, "line-dedup").save(runs, "runs")
-    place = F.struct("_ld_id", "_ld_key", "at")
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last")).select("a", "b", "first")
-    later = runs.join(first, ["a", "b"]).filter(place > F.col("first"))
-    gone = later.groupBy("_ld_id", "_ld_key").agg(F.collect_set(F.struct("at", "to")).alias("at"))  # bounded by the document's own lines
-    return gone.select("_ld_id", "_ld_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["to"])))).alias("_ld_gone"))
+    name = lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b"), x["i"].alias("i"), long(x["t"]).alias("w"))
+    rows = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), text_key("text").alias("tk"), F.transform(full, name).alias("lines"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id")
+    texts = scratch.save(rows.groupBy("tk").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("lines").alias("lines")), "texts")
+    return scratch.save(numbered(texts, ["first", "tk"], "dn"), "documents")
+
+
+def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
+    """dn, k, rank, top for lines (dn, k, a, b): where in the suffix array the suffixes begin that equal this one to its end, and those that agree with it in `depth` lines (a power of two); top is null where fewer lines follow."""
+    classes = lines.groupBy("a", "b").agg(F.count("*").alias("c"))
+    classes = prefix_sums(classes, ["a", "b"], {"rank": F.col("c")})
+    state = lines.join(classes, ["a", "b"]).select("dn", "k", "rank", (F.col("c") > 1).alias("live"))
+    state = scratch.save(state.withColumn("top", F.lit(None).cast("bigint")), "ranks-1")
+    width = 1
+    while True:
+        following = F.lead("rank", width).over(Window.partitionBy("dn").orderBy("k"))
+        pairs = scratch.save(state.withColumn("then", F.coalesce(following, F.lit(-1))), f"pairs-{width}")  # a suffix that ends comes first
+        live = pairs.filter("live").groupBy("rank", "then").agg(F.count("*").alias("c"))
+        ranges = Scratch(lines.sparkSession, "line-ranges")
+        live = scratch.save(prefix_sums(live, ["rank", "then"], {"before": F.col("c")}, ranges), f"order-{width}")
+        ranges.end()
+        starts = live.groupBy("rank").agg(F.min("before").alias("start"), F.count("*").alias("parts"))
+        new = live.join(starts, "rank").select("rank", "then", (F.col("rank") + F.col("before") - F.col("start")).alias("new"), ((F.col("c") > 1) & (F.col("then") >= 0)).alias("again"))
+        moved = pairs.filter("live").join(new, ["rank", "then"]).select("dn", "k", F.col("new").alias("rank"), F.col("again").alias("live"), "top", "then")
+        state = moved.unionByName(pairs.filter("not live").select("dn", "k", "rank", "live", "top", "then"))
+        if 2 * width == depth:  # a suffix of fewer lines is in no interval of this depth
+            state = state.withColumn("top", F.when(F.col("then") >= 0, F.col("rank")))
+        state = scratch.save(state.drop("then"), f"ranks-{2 * width}")
+        split = starts.filter("parts > 1").limit(1).count()
+        scratch.drop(f"ranks-{width}", f"pairs-{width}", f"order-{width}")
+        width *= 2
+        if width >= depth and not split:
+            return state.drop("live")
+
+
+def deleted_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
+    """tk, first, gone, whole: for each distinct text with a run that is a later copy, or that several documents may have, its first doc_id, the numbers of its lines that go in that document, and those that go in the others."""
+    if min_lines < 2 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two from 2 on")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    texts = document_lines(docs, scratch, min_words)
+    lines = texts.select("dn", F.posexplode("lines").alias("k", "x")).select("dn", "k", "x.a", "x.b", "x.w")
+    lines = scratch.save(lines, "lines")
+    ranks = suffix_ranks(lines.select("dn", "k", "a", "b"), scratch, min_lines)
+    place = F.struct("dn", "k")
+    found = ranks.filter("top is not null").select("dn", "k", F.col("top").alias("run"))
+    first = found.groupBy("run").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l").select("run", "f")
+    later = found.join(first, "run").filter((F.col("dn") != F.col("f.dn")) | (F.col("k") >= F.col("f.k") + min_lines))
+    later = later.select("dn", F.explode(F.sequence(F.col("k"), F.col("k") + (min_lines - 1))).alias("k"))
+    single = lines.filter("w")
+    alone = single.groupBy("a", "b").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l").select("a", "b", "f")
+    later = later.unionByName(single.join(alone, ["a", "b"]).filter(place > F.col("f")).select("dn", "k"))
+    gone = scratch.save(later.groupBy("dn").agg(F.collect_set("k").alias("ks")), "gone")  # bounded by the document's own lines
+    at = lambda keep: F.transform(F.filter("lines", keep), lambda x: x["i"])
+    out = texts.join(gone, "dn", "left").filter("ks is not null or copies > 1").select("tk", F.col("first.id").alias("first"), F.when(F.col("ks").isNotNull(), at(lambda x, i: F.array_contains("ks", i))).alias("gone"), at(lambda x: x["w"] | (F.size("lines") >= min_lines)).alias("whole"))
+    out = scratch.save(out, "deleted")
+    scratch.drop("texts", "documents", "lines", "gone")
+    return out
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
-    """docs with the remaining text, n_lines (non-blank lines before) and n_removed; columns of these names are replaced."""
-    gone = repeated_lines(docs, min_lines, min_words)
-    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    d = docs.select(*kept, "text", text_key("text").alias("_ld_k"))
-    j = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_ld_id"]) & (d["_ld_k"] == gone["_ld_key"]), "left")
-    parts = F.split(F.col("text"), "\n")
-    filled = lambda x: (F.trim(x) != "").cast("int")
-    n_lines = F.aggregate(parts, F.lit(0), lambda s, x: s + filled(x))
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the remaining text and the numbers of non-blank lines before and of those removed, named by counts; columns of these names are replaced."""
+    gone = deleted_lines(docs, min_lines, min_words)
+    kept = [c for c in docs.columns if c not in ("text", *counts)]
+    key, parts, drop, id_ = (free_name(docs, x) for x in ("key", "parts", "drop", "id"))
+    d = docs.select(*kept, "text", text_key("text").alias(key), F.col("doc_id").cast("long").alias(id_))
+    g = gone.select(F.col("tk").alias(key), F.col("first").alias(free_name(docs, "first")), F.col("gone").alias(free_name(docs, "gone")), F.col("whole").alias(free_name(docs, "whole")))
+    first, some, whole = g.columns[1:]
+    j = d.join(g, key, "left")
     # Arrays that lambdas index are columns with several uses, which the optimizer doesn't inline: a split runs once a row, not once a line.
-    j = j.withColumn("_ld_parts", parts).withColumn("_ld_drop", F.filter("_ld_gone", lambda i: F.trim(F.col("_ld_parts")[i]) != ""))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_ld_parts") - 1), F.col("_ld_drop"))
-    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_ld_parts")[i]), "\n"))
-    return j.select(*kept, text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    j = j.withColumn(parts, F.split(F.col("text"), "\n")).withColumn(drop, F.when(F.col(id_).eqNullSafe(F.col(first)), F.col(some)).otherwise(F.col(whole)))
+    n_lines = F.aggregate(F.col(parts), F.lit(0), lambda s, x: s + (F.trim(x) != "").cast("int"))
+    stay: Column = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
+    text = F.when(F.coalesce(F.size(drop), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col(parts)[i]), "\n"))
+    return j.select(*kept, text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("long").alias(counts[0]), F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("long").alias(counts[1]))
