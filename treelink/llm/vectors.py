@@ -1,14 +1,16 @@
 """Maximum inner product search with score-aware (anisotropic) product quantisation and four-bit table scans.
 
-Vectors are coded by 16 centres in each subspace of two dimensions. Codes and centres minimise a loss in which residual error along
-the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres are fitted on at most
-`sample_rows` vectors picked by a hash; every vector is coded and searched. A block of queries meets each block of vectors: sums of
-table entries pick `shortlist` distinct codes and those that tie with the last; all vectors of these codes are scored exactly in double
-precision, equal ones once, and the best rows of all blocks are merged. So copies take one place however many they are.
+Vectors are coded as a length and 16 centres in each subspace of two dimensions of their direction. Codes and centres minimise a loss
+in which residual error along the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres
+are fitted on at most about 2 `sample_rows` directions picked by a hash; every vector is coded and searched. Lengths stay double numbers,
+so a few very long vectors spoil no centre. Equal vectors are one code with their smallest ids. A block of queries meets each block of
+codes, which is all that travels there: sums of table entries pick `shortlist` codes and those that tie with the last. The best of all
+blocks are joined with their vectors and scored exactly in double precision, and copies are put back by their ids.
 
 Defined results: null vectors and zero vectors, and those with null or non-finite components or another number of dimensions than
-most, take no part; equal scores go by smaller vec_id; repeated vec_ids are candidates each, but no row is a candidate of its own
-vec_id; an empty table gives no rows; other columns are ignored.
+most, take no part; equal scores go by smaller vec_id; rows are told apart by their place, so repeated vec_ids are candidates of each
+other and queries each, with their rows of results one after the other; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows in a block of vectors and in a block of queries.
-BLOCK, QUERY_BLOCK = 8192, 512
+#: Codes in a block, queries in a block, and queries of it that are scanned at a time.
+BLOCK, QUERY_BLOCK, SCAN = 1 << 15, 512, 64
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (single precision) and lengths (double), of rows of any finite size."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    y = x / most
+    length = np.sqrt((y * y).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return (y / length).astype(np.float32), (length * most)[:, 0]
 
 
 class AnisotropicCoder:
@@ -109,86 +120,87 @@ class AnisotropicCoder:
         return out.T
 
 
-def distinct(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For keys of one length: the place of the first of each distinct key, and for each key the number of its distinct one."""
-    raw = np.frombuffer(b"".join(keys), np.dtype((np.void, len(keys[0]))))
-    _, first, of = np.unique(raw, return_index=True, return_inverse=True)
-    return first, of.reshape(-1)
-
-
 def is_usable(v: Column, dims: int) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) == dims) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 200, sample_rows: int = 20_000, width: int = 2, eta: float = 4.0) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 100, sample_rows: int = 20_000, width: int = 2, eta: float = 4.0) -> DataFrame:
     """query_id, rank, vec_id, score for columns vec_id and embedding. is_query marks the rows to search for."""
-    out = "query_id long, vec_id long, score double"
-    scratch = Scratch(vectors.sparkSession, "vectors")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null and size(e) > 0")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
+    nothing = "query_id long, rank int, vec_id long, score double"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    v = v.filter("vec_id is not null and size(e) > 0")
     usual = v.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if usual is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], nothing)
     dims = usual["n"]
-    v = scratch.save(v.filter(is_usable(F.col("e"), dims)), "usable")
-    rows = v.count()
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = min(1.0, sample_rows / rows)
-    picked = v.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("e").limit(2 * sample_rows).toPandas()
-    sample = np.array(picked["e"].tolist() or v.select("e").limit(1).toPandas()["e"].tolist(), np.float32)
-    _, at = np.unique(sample, axis=0, return_index=True)  # copies would start several centres at one point
-    coder = AnisotropicCoder(dims, width, eta).fit(sample[np.sort(at)])
-
-    blocks, query_blocks = -(-rows // BLOCK), None
-    queries = v.withColumnRenamed("e", "embedding").filter(is_query)
+    v = v.filter(is_usable(F.col("e"), dims)).withColumn("uid", F.monotonically_increasing_id())  # written at once, so a row keeps its number
+    v = scratch.save(v.withColumn("x", F.xxhash64("e")).withColumn("y", F.xxhash64(F.lit(3), F.col("e"))), "usable")
+    # Of equal vectors only the k + 1 smallest ids can be among the nearest; the first row stands for all.
+    nth = F.row_number().over(Window.partitionBy("x", "y").orderBy("vec_id", "uid"))
+    members = v.select("x", "y", "vec_id", "uid").withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    members = members.withColumn("did", F.first("uid").over(Window.partitionBy("x", "y").orderBy("nth")))
+    members = scratch.save(members.select("did", "uid", "vec_id", "nth"), "members")
+    reps = members.filter("nth = 1").select(F.col("uid"))
+    n = reps.count()
+    if not n:
+        return spark.createDataFrame([], nothing)
+    reps = scratch.save(v.join(reps, "uid").select(F.col("uid").alias("did"), "e"), "distinct")
+    part = int(np.ceil(min(1.0, sample_rows / n) * 1_000_000))
+    picked = reps.filter(F.pmod(F.xxhash64("did"), F.lit(1_000_000)) < part).select("e").limit(2 * sample_rows).toPandas()
+    sample = np.array(picked["e"].tolist() or reps.select("e").limit(1).toPandas()["e"].tolist(), np.float64)
+    coder = AnisotropicCoder(dims, width, eta).fit(directions(sample)[0])
+
+    blocks = -(-n // BLOCK)
+    queries = v.filter("q").select("uid", "vec_id", "e")
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.asarray(b.column("e").flatten()).reshape(-1, dims)
-            codes = coder.pack(coder.encode(x.astype(np.float32)))
-            yield pa.record_batch({"block": b.column("block"), "vec_id": b.column("vec_id"), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "v": pa.array([r.tobytes() for r in x], pa.binary())})
+            unit, length = directions(np.asarray(b.column("e").flatten()).reshape(-1, dims))
+            packed = coder.pack(coder.encode(unit))
+            yield pa.record_batch({"block": b.column("block"), "did": b.column("did"), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "length": pa.array(length)})
 
-    data = v.select(F.pmod(F.xxhash64(F.lit(5), "vec_id", F.col("e")[0]), F.lit(blocks)).cast("int").alias("block"), "vec_id", "e")
-    coded = scratch.save(data.mapInArrow(code, "block int, vec_id long, code binary, v binary"), "coded")
+    data = reps.select(F.pmod(F.xxhash64(F.lit(5), "did"), F.lit(blocks)).cast("int").alias("block"), "did", "e")
+    coded = scratch.save(data.mapInArrow(code, "block int, did long, code binary, length double"), "coded")
 
-    # A block of queries goes once to each block of vectors; the grid is the stated query set against all rows.
-    whole = F.struct("vec_id", "code", "v")
-    grid = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    grid = grid.groupBy("qb").agg(F.collect_list(F.struct("query_id", "e")).alias("qs"))  # about QUERY_BLOCK rows
-    grid = grid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    packs = coded.groupBy("block").agg(F.collect_list(whole).alias("rows"))  # about BLOCK rows
+    # A block of queries goes once to each block of codes; the grid is the stated query set against all rows.
+    grid = scratch.save(queries.select(F.pmod(F.xxhash64("uid"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("uid").alias("quid"), F.col("vec_id").alias("query_id"), "e"), "queries")
+    packs = grid.groupBy("qb").agg(F.collect_list(F.struct("quid", "e")).alias("qs"))  # about QUERY_BLOCK rows
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    codes = coded.groupBy("block").agg(F.collect_list(F.struct("did", "code", "length")).alias("rows"))  # about BLOCK rows
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qs, rs in zip(b.column("qs"), b.column("rows"), strict=True):
-                qv, rv = qs.values, rs.values
-                qid, ids = np.asarray(qv.field("query_id")), np.asarray(rv.field("vec_id"))
-                q = np.asarray(qv.field("e").flatten()).reshape(-1, dims)
-                code, v = rv.field("code").to_pylist(), rv.field("v").to_pylist()
-                first, of_row = distinct([c + e for c, e in zip(code, v, strict=True)])
-                x = np.frombuffer(b"".join(v[j] for j in first), np.float64).reshape(-1, dims)
-                code_first, of_x = distinct([code[j] for j in first])
-                packed = np.frombuffer(b"".join(code[first[j]] for j in code_first), np.uint8).reshape(len(code_first), -1)
-                rough = coder.scan(q, packed)
-                found: list[pd.DataFrame] = []
-                for i in range(len(qid)):
-                    others = ids != qid[i]
-                    places = shortlist + len(ids) - int(others.sum())  # codes of the query's own rows take no places
-                    near = rough[i] >= (-np.partition(-rough[i], places - 1)[places - 1] if len(packed) > places else -np.inf)
-                    scored = near[of_x]
-                    exact = np.full(len(x), -np.inf)
-                    exact[scored] = (x[scored] * q[i]).sum(axis=1)
-                    rows = np.flatnonzero(scored[of_row] & others)
-                    score = exact[of_row[rows]]
-                    if len(rows) > k:
-                        best = score >= -np.partition(-score, k - 1)[k - 1]
-                        rows, score = rows[best], score[best]
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    found.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[rows][best], "score": score[best]}))
-                yield pa.RecordBatch.from_pandas(pd.concat(found), preserve_index=False)
-
-    hits = grid.join(packs, "block").select("qs", "rows").repartition(max(1, min(2000, blocks * query_blocks))).mapInArrow(meet, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for qb, qs, rs in zip(b.column("qb").to_pylist(), b.column("qs"), b.column("rows"), strict=True):
+                quid, did, length = np.asarray(qs.values.field("quid")), np.asarray(rs.values.field("did")), np.asarray(rs.values.field("length"))
+                q, _ = directions(np.asarray(qs.values.field("e").flatten()).reshape(-1, dims))
+                packed = np.frombuffer(b"".join(rs.values.field("code").to_pylist()), np.uint8).reshape(len(did), -1)
+                for i in range(0, len(q), SCAN):
+                    rough = coder.scan(q[i : i + SCAN], packed) * length
+                    for who, row in zip(quid[i : i + SCAN], rough, strict=True):
+                        near = np.arange(len(row)) if len(row) <= shortlist else np.flatnonzero(row >= -np.partition(-row, shortlist - 1)[shortlist - 1])
+                        yield pa.record_batch({"qb": pa.array(np.full(len(near), qb, np.int32)), "quid": pa.array(np.full(len(near), who)), "did": pa.array(did[near]), "rough": pa.array(row[near].astype(np.float64))})
+
+    near = packs.join(codes, "block").select("qb", "qs", "rows").repartition(max(1, min(2000, blocks * query_blocks))).mapInArrow(meet, "qb int, quid long, did long, rough double")
+    near = near.withColumn("place", F.rank().over(Window.partitionBy("quid").orderBy(F.desc("rough")))).filter(F.col("place") <= shortlist)
+    near = scratch.save(near.select("qb", "quid", "did"), "near")
+    loaded = near.join(reps, "did")
+
+    def exact(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Scores of the shortlist of one block of queries, a slice at a time."""
+        place = pd.Series(np.arange(len(own)), own["quid"])
+        q, at, score = np.array(own["e"].tolist(), np.float64).reshape(-1, dims), place.reindex(rows["quid"]).to_numpy(), np.empty(len(rows))
+        for i in range(0, len(rows), 8192):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score[i : i + 8192] = (np.array(rows["e"].iloc[i : i + 8192].tolist(), np.float64) * q[at[i : i + 8192]]).sum(axis=1)
+        return pd.DataFrame({"quid": rows["quid"], "did": rows["did"], "score": score})
+
+    scored = loaded.groupBy("qb").cogroup(grid.select("qb", "quid", "e").groupBy("qb")).applyInPandas(exact, "quid long, did long, score double")
+    lowest = members.filter("nth = 1").select("did", F.col("vec_id").alias("lowest"))
+    best = Window.partitionBy("quid").orderBy(F.desc("score"), "lowest")
+    scored = scored.join(lowest, "did").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    hits = scored.select("quid", "did", "score").join(members, "did").filter("uid <> quid").join(grid.select("quid", "query_id"), "quid")
+    order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
