@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import free_name
+
 # Letters of other scripts and signs that look like Latin letters, and digits that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ε": "e", "ı": "i"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
@@ -190,11 +192,21 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, ke
     """
     kept = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
     schema = StructType([*(docs.schema[c] for c in kept), StructField("score", DoubleType(), False)])
-    given = [*kept, F.col("text").alias("_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.score(t.as_py()) for t in batch.column("_text")]
+            found = [lexicon.score(t.as_py()) for t in batch.columns[-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*kept, "score"])
 
-    return docs.select(*given).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*kept, F.col("text").cast("string").alias(free_name(docs, "text"))).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with just their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
