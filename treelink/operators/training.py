@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, link_probability, log_loss, pair_distance, selected
-from ..scratch import Scratch
+from ..scratch import Scratch, temporary
 from . import graph as g
 from .metrics import ranking_metrics
 from .order import prefix_sums
@@ -320,19 +320,21 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
     for epoch in range(cfg.epochs):
         batches, plan = 1, None
         if cfg.edge_cap:
-            plan = scratch.save(batch_assign(ids, all_links, cfg, epoch, cfg.edge_cap), f"batches-{epoch}")
+            with temporary():
+                plan = scratch.save(batch_assign(ids, all_links, cfg, epoch, cfg.edge_cap), f"batches-{epoch}")
             batches = (plan.agg(F.max("batch")).first()[0] or 0) + 1
         sums = np.zeros(4)
         for b in range(batches):
-            moved = step(model, links, ids, n, epoch, plan.filter(F.col("batch") == b).select("node") if batches > 1 else None)
             vectors = {}
-            for k, m in moved.items():
-                label = f"{k}-{epoch}-{b}"
-                m = scratch.save(m, f"moved-{label}")
-                r = m.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("loss", "pos", "neg")]).first()
-                sums += np.array([float(x) for x in r])
-                put = model.vectors[k].join(m.select("node", F.col("z").alias("new")), "node", "left").select("node", F.coalesce("new", "z").alias("z"))
-                vectors[k] = scratch.save(put, label)
+            with temporary():
+                moved = step(model, links, ids, n, epoch, plan.filter(F.col("batch") == b).select("node") if batches > 1 else None)
+                for k, m in moved.items():
+                    label = f"{k}-{epoch}-{b}"
+                    m = scratch.save(m, f"moved-{label}")
+                    r = m.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("loss", "pos", "neg")]).first()
+                    sums += np.array([float(x) for x in r])
+                    put = model.vectors[k].join(m.select("node", F.col("z").alias("new")), "node", "left").select("node", F.coalesce("new", "z").alias("z"))
+                    vectors[k] = scratch.save(put, label)
             model = replace(model, vectors=vectors)
             scratch.drop(*before.values(), *[f"moved-{k}-{epoch}-{b}" for k in moved])
             before = {k: f"{k}-{epoch}-{b}" for k in moved}
@@ -346,7 +348,8 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
 
 def evaluate(model: Model, test: DataFrame) -> dict[str, float]:
     """Ranking metrics of test (src, dst, label)."""
-    return ranking_metrics(model.score(test)).first().asDict()
+    with temporary():
+        return ranking_metrics(model.score(test)).first().asDict()
 
 
 def sweep(runs: list[tuple[dict, DataFrame, DataFrame, TrainConfig, str]]) -> list[dict]:

@@ -10,7 +10,7 @@ from ..operators import graph as g
 from ..operators import metrics as m
 from ..operators import training as t
 from ..scratch import Scratch
-from ..sources.edges import random_graph
+from ..sources.edges import gnp_edges, gnp_graph, random_graph
 from . import split_queries, train_queries
 from .fixtures import BITS as _BITS
 from .fixtures import GC as _GC
@@ -104,6 +104,8 @@ QUERIES = {
     "run_statistics": summary,
     "er_directed": lambda s, d: random_graph(s, 1024, 5120, 42, True),
     "er_undirected": lambda s, d: random_graph(s, 1024, 5120, 42, False),
+    "er_gnp_directed": lambda s, d: gnp_graph(s, 1024, 5 / 1024, 42, True),
+    "er_gnp_undirected": lambda s, d: gnp_graph(s, 1024, 5 / 1024, 42, False),
     "negatives_strict": lambda s, d: g.negatives(g.directed(gc(s, d)), 2000, seed=3),
     "train_epochs": train_epochs,
     "run_summary": summary_text,
@@ -133,7 +135,16 @@ SELECT round(sum(n * (cp - p / 2) / (pp * nn)), 9) AS roc_auc, round(sum(p / pp
 
 _ER = f"c AS (SELECT {_draw('42', chr(39) + 'u' + chr(39), 'id')} % 1024 AS a, {_draw('42', chr(39) + 'v' + chr(39), 'id')} % 1024 AS b FROM (SELECT unnest(range(5120)) AS id))"
 
+
+
+def _gnp(pair: str, is_directed: bool) -> str:
+    want = gnp_edges(1024, 5 / 1024, 42, is_directed)
+    return f"WITH {_ER.replace('range(5120)', f'range({2 * want + 16})').replace('SELECT (', 'SELECT id, (', 1)} SELECT {pair} FROM c WHERE a <> b GROUP BY ALL ORDER BY min(id) LIMIT {want}"
+
+
 SQL = {
+    "er_gnp_directed": _gnp("a AS src, b AS dst", True),
+    "er_gnp_undirected": _gnp("least(a, b) AS src, greatest(a, b) AS dst", False),
     "edges_directed_dedup": f"WITH {_GE} SELECT src, dst FROM e",
     "edges_undirected_dedup": f"WITH {_GE} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e",
     "node_map": f"WITH {_GE}, {_ND} SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM nd",

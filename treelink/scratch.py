@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_live: list[Scratch] = []
 #: Spark's setting that drops an execution's shuffle files at its end instead of when the driver's garbage is collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side of a join is broadcast only if the rows that were counted, times their width, stay below this.
@@ -45,7 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._at_exit)
+        _live.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,13 +70,28 @@ class Scratch:
 
     def end(self) -> None:
         """Drop all tables; frames that read them are of no more use."""
-        delete_path(self.spark, self.root)
-
-    def _at_exit(self) -> None:
-        try:
-            self.end()
-        except Exception:  # the session has ended before the interpreter
-            pass
+        if self in _live:
+            _live.remove(self)
+            delete_path(self.spark, self.root)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that are saved for frames inside go at its end. Write or count what you want of these frames before that."""
+    before = set(map(id, _live))
+    try:
+        yield
+    finally:
+        for s in [s for s in _live if id(s) not in before]:
+            s.end()
+
+
+@atexit.register
+def release() -> None:
+    """Drop all tables that frames of this process still read, as a long-lived driver may do between queries."""
+    for s in list(_live):
+        with contextlib.suppress(Exception):  # the session may have ended before the interpreter
+            s.end()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -113,3 +113,21 @@ def random_graph(spark: SparkSession, n: int, edges: int, seed: int = 42, is_dir
     if is_directed:
         return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     return e.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def gnp_edges(n: int, p: float, seed: int, is_directed: bool) -> int:
+    """Number of edges of a graph in which each of the possible pairs without loops is an edge with probability p."""
+    return int(np.random.default_rng(seed).binomial(n * (n - 1) // (1 if is_directed else 2), p))
+
+
+def gnp_graph(spark: SparkSession, n: int, p: float, seed: int = 42, is_directed: bool = True) -> DataFrame:
+    """G(n, p): a binomial number of distinct uniform pairs without loops, the first that counters draw. Work grows with edges, not with pairs."""
+    scratch, want = Scratch(spark, "gnp"), gnp_edges(n, p, seed, is_directed)
+    draws = 2 * want + 16
+    while True:
+        e = spark.range(draws).select("id", (draw(seed, "u", F.col("id")) % n).alias("a"), (draw(seed, "v", F.col("id")) % n).alias("b")).filter("a <> b")
+        src, dst = (F.col("a"), F.col("b")) if is_directed else (F.least("a", "b"), F.greatest("a", "b"))
+        found = scratch.save(e.select("id", src.alias("src"), dst.alias("dst")).groupBy("src", "dst").agg(F.min("id").alias("id")), str(draws))
+        if found.count() >= want:
+            return found.orderBy("id").limit(want).select("src", "dst")
+        draws *= 2
