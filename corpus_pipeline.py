@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelink.llm.common import Scratch, free_name, table, text_key
+from treelink.llm.common import Scratch, free_name, table, temporary, text_key
 from treelink.llm.decontaminate import decontaminate
 from treelink.llm.line_dedup import dedup_lines
 from treelink.llm.near_join import keep_one_per_group
@@ -66,11 +66,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written as Parquet and read again."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages on documents; each stage's rows are written as Parquet and read again, and what it needed besides is dropped."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
 
 

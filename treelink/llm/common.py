@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, broadcast_if_small
+from ..scratch import Scratch, broadcast_if_small, temporary
+
+__all__ = ["Scratch", "broadcast_if_small", "free_name", "lower_ascii", "table", "temporary", "text_key", "words_of"]
 
-__all__ = ["Scratch", "broadcast_if_small", "free_name", "lower_ascii", "table", "text_key", "words_of"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
