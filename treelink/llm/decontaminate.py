@@ -4,7 +4,8 @@ Every window of an item (10 consecutive words, or the whole of a shorter item) i
 whole. With containment 1 the necessary prefix is one token, so each window is joined by its rarest shingle, counted over all
 documents. Length and position bounds drop candidates whose window would leave the document; the rest is compared word by word.
 
-Defined results: a null or empty text has no words and no hits; an item without words has no window; repeated rows each get their
+Defined results: a null or empty text has no words and no hits; an item without words has no window; the words of an item with a
+null item_id count as hit, but a null is in no list of item_ids; items that repeat both id and text are one; repeated rows each get their
 row; empty documents give no rows and an empty benchmark no hits; other columns are ignored, whatever their names.
 """
 

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from ..operators.order import prefix_sums
+from .common import Scratch, broadcast_if_small
 
 _encoders: dict[str, object] = {}
 
@@ -128,7 +129,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, max_len: int = 2048,
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, ddl), "pieces")
     counts = pieces.groupBy("bucket", "task").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("bucket"), "task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    joined = pieces.join(F.broadcast(offsets), ["bucket", "task"])  # a row for each task and bucket: at most 12 per task
+    # A row for each task and bucket.
+    offsets = scratch.save(prefix_sums(counts, [F.desc("bucket"), "task"], {"base": F.col("n")}).select("bucket", "task", "base"), "offsets")
+    joined = pieces.join(broadcast_if_small(offsets, offsets.count(), 24), ["bucket", "task"])
     return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *(["ids"] if with_ids else []))
