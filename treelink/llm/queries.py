@@ -94,8 +94,10 @@ WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM docu
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS spot FROM raw WHERE text IS NOT NULL),
 full_lines AS (SELECT doc_id, spot, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS k FROM lines WHERE trim(line, ' ') <> ''),
 runs AS (SELECT a.doc_id, a.k, a.t AS t1, b.t AS t2 FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
-later AS (SELECT doc_id, k FROM runs QUALIFY row_number() OVER (PARTITION BY t1, t2 ORDER BY doc_id, k) > 1),
-gone AS (SELECT DISTINCT f.doc_id, f.spot FROM later l JOIN full_lines f ON f.doc_id = l.doc_id AND f.k IN (l.k, l.k + 1)),
+firsts AS (SELECT doc_id, k, first_value(doc_id) OVER w AS d0, first_value(k) OVER w AS k0 FROM runs WINDOW w AS (PARTITION BY t1, t2 ORDER BY doc_id, k)),
+later AS (SELECT doc_id, k, k + 1 AS k2 FROM firsts WHERE d0 <> doc_id OR k0 + 2 <= k
+          UNION ALL SELECT doc_id, k, k FROM full_lines WHERE len(regexp_extract_all(t, '[^ \\t]+')) >= 50 QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.spot FROM later l JOIN full_lines f ON f.doc_id = l.doc_id AND f.k IN (l.k, l.k2)),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.spot) AS text FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.spot = l.spot GROUP BY l.doc_id)
 SELECT r.doc_id, (SELECT count(*) FROM full_lines f WHERE f.doc_id = r.doc_id) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = r.doc_id) AS n_removed,
        CASE WHEN r.text IS NULL THEN NULL ELSE sha256(coalesce(k.text, '')) END AS kept_sha256
