@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered, prefix_sums
-from .common import Scratch, free_name, text_key
+from .common import Scratch, broadcast_if_small, free_name, temporary, text_key
 
 
 def document_lines(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
@@ -40,17 +40,16 @@ def document_lines(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFra
 def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     """dn, k, rank, top for lines (dn, k, a, b): where in the suffix array the suffixes begin that equal this one to its end, and those that agree with it in `depth` lines (a power of two); top is null where fewer lines follow."""
     classes = lines.groupBy("a", "b").agg(F.count("*").alias("c"))
-    classes = prefix_sums(classes, ["a", "b"], {"rank": F.col("c")})
-    state = lines.join(classes, ["a", "b"]).select("dn", "k", "rank", (F.col("c") > 1).alias("live"))
-    state = scratch.save(state.withColumn("top", F.lit(None).cast("bigint")), "ranks-1")
+    with temporary():
+        state = lines.join(prefix_sums(classes, ["a", "b"], {"rank": F.col("c")}), ["a", "b"]).select("dn", "k", "rank", (F.col("c") > 1).alias("live"))
+        state = scratch.save(state.withColumn("top", F.lit(None).cast("bigint")), "ranks-1")
     width = 1
     while True:
         following = F.lead("rank", width).over(Window.partitionBy("dn").orderBy("k"))
         pairs = scratch.save(state.withColumn("then", F.coalesce(following, F.lit(-1))), f"pairs-{width}")  # a suffix that ends comes first
         live = pairs.filter("live").groupBy("rank", "then").agg(F.count("*").alias("c"))
-        ranges = Scratch(lines.sparkSession, "line-ranges")
-        live = scratch.save(prefix_sums(live, ["rank", "then"], {"before": F.col("c")}, ranges), f"order-{width}")
-        ranges.end()
+        with temporary():
+            live = scratch.save(prefix_sums(live, ["rank", "then"], {"before": F.col("c")}), f"order-{width}")
         starts = live.groupBy("rank").agg(F.min("before").alias("start"), F.count("*").alias("parts"))
         new = live.join(starts, "rank").select("rank", "then", (F.col("rank") + F.col("before") - F.col("start")).alias("new"), ((F.col("c") > 1) & (F.col("then") >= 0)).alias("again"))
         moved = pairs.filter("live").join(new, ["rank", "then"]).select("dn", "k", F.col("new").alias("rank"), F.col("again").alias("live"), "top", "then")
@@ -69,7 +68,13 @@ def deleted_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> D
     """tk, first, gone, whole: for each distinct text with a run that is a later copy, or that several documents may have, its first doc_id, the numbers of its lines that go in that document, and those that go in the others."""
     if min_lines < 2 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two from 2 on")
-    scratch = Scratch(docs.sparkSession, "line-dedup")
+    result = Scratch(docs.sparkSession, "line-dedup")
+    with temporary():
+        return result.save(_deleted(docs, min_lines, min_words), "deleted")
+
+
+def _deleted(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "line-suffixes")
     texts = document_lines(docs, scratch, min_words)
     lines = texts.select("dn", F.posexplode("lines").alias("k", "x")).select("dn", "k", "x.a", "x.b", "x.w")
     lines = scratch.save(lines, "lines")
@@ -84,10 +89,7 @@ def deleted_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> D
     later = later.unionByName(single.join(alone, ["a", "b"]).filter(place > F.col("f")).select("dn", "k"))
     gone = scratch.save(later.groupBy("dn").agg(F.collect_set("k").alias("ks")), "gone")  # bounded by the document's own lines
     at = lambda keep: F.transform(F.filter("lines", keep), lambda x: x["i"])
-    out = texts.join(gone, "dn", "left").filter("ks is not null or copies > 1").select("tk", F.col("first.id").alias("first"), F.when(F.col("ks").isNotNull(), at(lambda x, i: F.array_contains("ks", i))).alias("gone"), at(lambda x: x["w"] | (F.size("lines") >= min_lines)).alias("whole"))
-    out = scratch.save(out, "deleted")
-    scratch.drop("texts", "documents", "lines", "gone")
-    return out
+    return texts.join(gone, "dn", "left").filter("ks is not null or copies > 1").select("tk", F.col("first.id").alias("first"), F.when(F.col("ks").isNotNull(), at(lambda x, i: F.array_contains("ks", i))).alias("gone"), F.when(F.col("copies") > 1, at(lambda x: x["w"] | (F.size("lines") >= min_lines))).alias("whole"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
@@ -98,7 +100,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, counts
     d = docs.select(*kept, "text", text_key("text").alias(key), F.col("doc_id").cast("long").alias(id_))
     g = gone.select(F.col("tk").alias(key), F.col("first").alias(free_name(docs, "first")), F.col("gone").alias(free_name(docs, "gone")), F.col("whole").alias(free_name(docs, "whole")))
     first, some, whole = g.columns[1:]
-    j = d.join(g, key, "left")
+    width = lambda c: F.sum(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 4)
+    size = g.agg(F.coalesce(F.count("*") * 64 + F.coalesce(width(some), F.lit(0)) + F.coalesce(width(whole), F.lit(0)), F.lit(0))).first()[0]
+    # Texts stay where they are if what is to be deleted is few bytes.
+    j = d.join(broadcast_if_small(g, size, 1), key, "left")
     # Arrays that lambdas index are columns with several uses, which the optimizer doesn't inline: a split runs once a row, not once a line.
     j = j.withColumn(parts, F.split(F.col("text"), "\n")).withColumn(drop, F.when(F.col(id_).eqNullSafe(F.col(first)), F.col(some)).otherwise(F.col(whole)))
     n_lines = F.aggregate(F.col(parts), F.lit(0), lambda s, x: s + (F.trim(x) != "").cast("int"))
