@@ -45,18 +45,19 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
         state = scratch.save(state.withColumn("top", F.lit(None).cast("bigint")), "ranks-1")
     width = 1
     while True:
-        following = F.lead("rank", width).over(Window.partitionBy("dn").orderBy("k"))
-        pairs = scratch.save(state.withColumn("then", F.coalesce(following, F.lit(-1))), f"pairs-{width}")  # a suffix that ends comes first
+        ahead = Window.partitionBy("dn").orderBy("k")
+        then = F.coalesce(F.lead("rank", width).over(ahead), F.lit(-1))  # a suffix that ends comes first
+        pairs = scratch.save(state.withColumn("then", then).withColumn("full", F.lead("k", 2 * width - 1).over(ahead).isNotNull()), f"pairs-{width}")
         live = pairs.filter("live").groupBy("rank", "then").agg(F.count("*").alias("c"))
         with temporary():
             live = scratch.save(prefix_sums(live, ["rank", "then"], {"before": F.col("c")}), f"order-{width}")
         starts = live.groupBy("rank").agg(F.min("before").alias("start"), F.count("*").alias("parts"))
         new = live.join(starts, "rank").select("rank", "then", (F.col("rank") + F.col("before") - F.col("start")).alias("new"), ((F.col("c") > 1) & (F.col("then") >= 0)).alias("again"))
-        moved = pairs.filter("live").join(new, ["rank", "then"]).select("dn", "k", F.col("new").alias("rank"), F.col("again").alias("live"), "top", "then")
-        state = moved.unionByName(pairs.filter("not live").select("dn", "k", "rank", "live", "top", "then"))
+        moved = pairs.filter("live").join(new, ["rank", "then"]).select("dn", "k", F.col("new").alias("rank"), F.col("again").alias("live"), "top", "full")
+        state = moved.unionByName(pairs.filter("not live").select("dn", "k", "rank", "live", "top", "full"))
         if 2 * width == depth:  # a suffix of fewer lines is in no interval of this depth
-            state = state.withColumn("top", F.when(F.col("then") >= 0, F.col("rank")))
-        state = scratch.save(state.drop("then"), f"ranks-{2 * width}")
+            state = state.withColumn("top", F.when(F.col("full"), F.col("rank")))
+        state = scratch.save(state.drop("full"), f"ranks-{2 * width}")
         split = starts.filter("parts > 1").limit(1).count()
         scratch.drop(f"ranks-{width}", f"pairs-{width}", f"order-{width}")
         width *= 2
