@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, broadcast_if_small, temporary
 
-__all__ = ["Scratch", "broadcast_if_small", "free_name", "lower_ascii", "table", "temporary", "text_key", "words_of"]
+__all__ = ["Scratch", "broadcast_if_small", "busy_tasks", "free_name", "lower_ascii", "table", "temporary", "text_key", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def busy_tasks(spark: SparkSession) -> int:
+    """Number of tasks for rows that are few bytes but dear to work on; adaptive execution would put them together by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def text_key(text: str | Column = "text") -> Column:
     """A second key beside doc_id: rows that agree in doc_id and text are one document."""
     return F.xxhash64(F.lit(7), F.col(text) if isinstance(text, str) else text)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, free_name, text_key
+from .common import Scratch, broadcast_if_small, busy_tasks, free_name, text_key
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -224,11 +224,12 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, ba
         x, y = likely_pairs(sig[left], n[left], sig[right], n[right], key[1] == key[2], threshold, tolerance)
         return group.iloc[np.union1d(left[x], right[y]).astype(int)]
 
-    likely = scratch.save(placed.groupBy("comp", "a", "b").applyInPandas(prune, placed.schema), "likely")
+    tasks = busy_tasks(docs.sparkSession)
+    likely = scratch.save(placed.repartition(tasks, "comp", "a", "b").groupBy("comp", "a", "b").applyInPandas(prune, placed.schema), "likely")
     wanted = scratch.save(likely.select("v").distinct().join(classes.select("v", "rep"), "v").select("v", F.col("rep.doc_id").alias("r"), F.col("rep.tk").alias("rt")), "wanted")
     few = broadcast_if_small(wanted, wanted.count(), 40)
     texts = scratch.save(src.join(few, src["doc_id"].eqNullSafe(few["r"]) & (src["tk"] == few["rt"])).select("v", "text").dropDuplicates(["v"]), "texts")
-    loaded = likely.join(texts, "v")
+    loaded = likely.join(texts, "v").repartition(tasks, "comp", "a", "b")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v", ignore_index=True)

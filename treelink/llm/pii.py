@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
+from .common import Scratch, busy_tasks, text_key
 
 # Forms of address by gender, and first names by gender and script.
 HE, SHE = "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
@@ -170,7 +170,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     sign = F.col("text").contains("@")
     for pattern in SIGNS:
         sign = sign | F.col("text").rlike(pattern)
-    some = src.filter(sign).dropDuplicates(["doc_id", "tk"]).withColumn("es", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).filter(F.size("es") > 0)
+    some = src.filter(sign).repartition(busy_tasks(docs.sparkSession), "doc_id", "tk").dropDuplicates(["doc_id", "tk"]).withColumn("es", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).filter(F.size("es") > 0)
     # Words of names after a form of address are entities of the document wherever they stand alone.
     some = some.withColumn("ws", F.array_distinct(F.flatten(F.transform(F.filter("es", lambda e: ~e.rlike("[0-9@]")), words))))
     some = some.withColumn("bare", F.array_join(F.array_distinct(F.concat("ws", F.transform("ws", F.upper))), "|"))
