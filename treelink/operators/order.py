@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def _ranged(df: DataFrame, order: list[Column | str], scratch: Scratch | None = None) -> DataFrame:
+def _ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """df with _part, the number of its range of the order. It is saved, so that all that follows sees the same ranges."""
-    return (scratch or Scratch(df.sparkSession, "ranges")).save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    return Scratch(df.sparkSession, "ranges").save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def prefix_sums(df: DataFrame, order: list[Column | str], sums: dict[str, Column], scratch: Scratch | None = None) -> DataFrame:
-    """df with columns that hold the sum of a value over all rows before, in an order without ties. scratch: takes the table of ranges, for one call at a time."""
-    part = _ranged(df, order, scratch)
+def prefix_sums(df: DataFrame, order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """df with columns that hold the sum of a value over all rows before, in an order without ties."""
+    part = _ranged(df, order)
     totals = part.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     shift = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in sums])

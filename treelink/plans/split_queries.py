@@ -111,12 +111,12 @@ _K = "k AS (SELECT src AS node FROM s WHERE part = 'train' UNION SELECT dst FROM
 _TEST = "test AS (SELECT src, dst FROM s WHERE part = 'test' AND src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k))"
 
 
-def negatives_sql(nodes: str, taken: str, num: str, seed: int, strict: bool, loops: bool = False) -> str:
-    """CTEs ix, draws, free and neg: the first draws that are free. nodes and taken: queries of the nodes and of the pairs to avoid."""
+def negatives_sql(nodes: str, taken: str, num: str, seed: int, strict: bool, loops: bool = False, times: int = 64) -> str:
+    """CTEs ix, draws, free and neg: the first draws that are free. nodes and taken: queries of the nodes and of the pairs to avoid; times: how often the first number of draws is made, 64 where free pairs may be few."""
     pair = "least(a.node, b.node) AS src, greatest(a.node, b.node) AS dst" if strict else "a.node AS src, b.node AS dst"
     avoid = f"(SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM ({taken}))" if strict else f"({taken})"
     return f"""ix AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM ({nodes})), nn AS (SELECT count(*) AS n FROM ix),
-want AS MATERIALIZED ({num}), draws AS (SELECT id, {draw_sql(str(seed), "'x'", "id")} % n AS i, {draw_sql(str(seed), "'y'", "id")} % n AS j FROM (SELECT unnest(range((SELECT 64 * (2 * num + 16) FROM want))) AS id), nn),
+want AS MATERIALIZED ({num}), draws AS (SELECT id, {draw_sql(str(seed), "'x'", "id")} % n AS i, {draw_sql(str(seed), "'y'", "id")} % n AS j FROM (SELECT unnest(range((SELECT {times} * (2 * num + 16) FROM want))) AS id), nn),
 free AS (SELECT {pair}, min(id) AS id FROM draws JOIN ix a ON a.idx = i JOIN ix b ON b.idx = j {'' if loops else 'WHERE i <> j'} GROUP BY 1, 2),
 neg AS (SELECT src, dst FROM free ANTI JOIN {avoid} x USING (src, dst) ORDER BY id LIMIT (SELECT num FROM want))"""
 
@@ -139,7 +139,7 @@ SQL = {
     "edges_sorted": f"WITH {GE} SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS row FROM e",
     "valid_stub": f"{_S} SELECT src, dst FROM s WHERE part = 'train' ORDER BY src, dst LIMIT 2",
     "feature_gather": f"WITH {GE}, {ND}, m AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM nd) SELECT idx, embedding[1]::double AS x0, embedding[2]::double AS x1 FROM m LEFT JOIN embeddings ON vec_id = node",
-    "negatives_ratio": f"{_S}, {_K}, {_TEST}, {negatives_sql('SELECT node FROM k', 'SELECT src, dst FROM s WHERE part = $$train$$ UNION ALL SELECT src, dst FROM test'.replace('$$', chr(39)), 'SELECT count(*) * 5 AS num FROM test', 3, True)} SELECT src, dst FROM neg",
+    "negatives_ratio": f"{_S}, {_K}, {_TEST}, {negatives_sql('SELECT node FROM k', 'SELECT src, dst FROM s WHERE part = $$train$$ UNION ALL SELECT src, dst FROM test'.replace('$$', chr(39)), 'SELECT count(*) * 5 AS num FROM test', 3, True, times=4)} SELECT src, dst FROM neg",
     "negatives_ordered": f"WITH {GC}, {negatives_sql(_GCN, 'SELECT src, dst FROM gc', 'SELECT 2000 AS num', 3, False)} SELECT src, dst FROM neg",
     "negatives_with_loops": f"WITH {GC}, {negatives_sql(_GCN, 'SELECT src, dst FROM gc', 'SELECT 2000 AS num', 5, False, True)} SELECT src, dst FROM neg",
     "negatives_strict": f"WITH {GC}, {negatives_sql(_GCN, 'SELECT src, dst FROM gc', 'SELECT 2000 AS num', 3, True)} SELECT src, dst FROM neg",
