@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import damage, repair, with_lost
 from .decontaminate import decontaminate
+from .hard_negatives import mine
+from .knn_join import search_exactly
 from .language import identify, learn_trigrams
 from .line_dedup import dedup_lines
 from .near_join import jaccard_groups
@@ -75,6 +78,21 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_exactly(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = with_lost(repair(damage(rows)), rows)
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.col("repaired"), 256).alias("repaired_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -86,6 +104,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_vectors": op9_vectors,
     "op10_warc_zip": op10_warc_zip,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_conversations": op12_conversations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
