@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import draw
 from ..scratch import Scratch
+from . import gaps
 from .order import numbered
 
 log = logging.getLogger(__name__)
@@ -117,6 +118,35 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).distinct().select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
 
 
+#: Neighbours in a block of adjacency_blocks.
+HUB = 4096
+
+
+def adjacency_blocks(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """node, offset, n, first, deltas: the compressed form of adjacency, a node's sorted neighbours as the first one and steps.
+
+    offset: number of neighbours of all nodes before, and of the node's own before the block, so the smallest of a node is where its
+    neighbours start in one long array of all. A hub's neighbours are cut wherever that array passes a multiple of `hub`, so no block
+    holds more, and blocks come from one order over all rows without a task that holds a node's.
+    """
+    rows = numbered(adjacency(edges), ["node", "nbr"], "row")
+    per = rows.groupBy("node", F.floor(F.col("row") / hub).alias("cut")).agg(F.min("row").alias("offset"), F.sort_array(F.collect_list("nbr")).alias("nbrs"))  # hub at most
+    steps = F.zip_with(F.slice("nbrs", 2, hub), F.slice("nbrs", 1, F.size("nbrs") - 1), lambda a, b: a - b)
+    return per.select("node", "offset", F.size("nbrs").cast("bigint").alias("n"), F.col("nbrs")[0].alias("first"), steps.alias("deltas"))
+
+
+def row_pointers(blocks: DataFrame) -> DataFrame:
+    """node, start, n: where a node's neighbours are in the array of all, and how many."""
+    return blocks.groupBy("node").agg(F.min("offset").alias("start"), F.sum("n").alias("n"))
+
+
+def from_blocks(blocks: DataFrame) -> DataFrame:
+    """The long form (node, nbr) of adjacency_blocks."""
+    steps = blocks.select("node", "offset", F.posexplode(F.concat(F.array("first"), "deltas")).alias("i", "step"))
+    upto = Window.partitionBy("node", "offset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select("node", F.sum("step").over(upto).alias("nbr"))
+
+
 def temporal_pairs(edges: DataFrame, how: str) -> DataFrame:
     """One time per ordered pair: min, median or max."""
     if how not in ("min", "median", "max"):
@@ -137,6 +167,13 @@ def temporal_split(timed: DataFrame, threshold: float) -> DataFrame:
     return timed.withColumn("part", F.when(F.col("t") < threshold, "train").otherwise("test"))
 
 
+def temporal_split_at(timed: DataFrame, ratio: float) -> DataFrame:
+    """temporal_split at the threshold of a ratio."""
+    at = temporal_thresholds(timed, [ratio]).select("threshold")
+    both = timed.crossJoin(F.broadcast(at))  # one row
+    return both.select(*timed.columns, F.when(F.col("t") < F.col("threshold"), "train").otherwise("test").alias("part"))
+
+
 def random_split(edges: DataFrame, ratio: float, seed: int = 1, rounding: str = "round") -> DataFrame:
     """src, dst, part: exactly round(n r) (half to even) or floor(n r) edges are train, those with the smallest draws.
 
@@ -188,8 +225,9 @@ def negatives(edges: DataFrame, num: int, seed: int = 1, strict: bool = True, ov
     """src, dst: num distinct pairs of known nodes that are no edges; strict also rejects the other orientation and loops.
 
     Not strict, ordered pairs count apart, and loops are rejected unless asked for. Ends are drawn from the nodes of pool (of edges by
-    default). Draws come from counters, doubled until there are enough or 64 times as many were made; where few pairs are free, fewer
-    come back and the shortfall is logged.
+    default). Draws come from counters, doubled until there are enough or 64 times as many were made; what they leave wanting is taken
+    from the gaps between the neighbours of each node, one pair from each of as many strata of all pairs that are still free. So fewer
+    come back only if no more are free, and then all of them do.
     """
     spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "negatives")
     ids = scratch.save(node_map(edges if pool is None else pool), "ids")
@@ -205,11 +243,39 @@ def negatives(edges: DataFrame, num: int, seed: int = 1, strict: bool = True, ov
         c = scratch.save(c, f"free-{turn}")
         found = c.count()
         if found >= num or not n:
-            break
+            return c.orderBy("id").limit(num).select("src", "dst")
+        if not turn:  # few pairs may be free: no more draws if all of them are wanted
+            runs = scratch.save(free_runs(ids, n, taken, strict, loops), "runs")
+            free = runs.agg(F.sum("len")).first()[0] or 0
+            if free <= num:
+                if free < num:
+                    log.warning("%d of %d negatives found: no more are free", free, num)
+                return _named(gaps.listed(runs), ids)
         k *= 2
-    if found < num:
-        log.warning("%d of %d negatives found", found, num)
-    return c.orderBy("id").limit(num).select("src", "dst")
+    c = c.select("src", "dst")
+    runs = scratch.save(free_runs(ids, n, taken.unionByName(c), strict, loops), "left")
+    left, wanted = runs.agg(F.sum("len")).first()[0], num - found
+    log.info("%d of %d negatives were drawn, %d are ranks of %d pairs", found, num, wanted, left)
+    ranks = spark.range(wanted).select(gaps.strata(F.col("id"), F.lit(left), F.lit(wanted), seed, "rank", F.col("id")).alias("r"))
+    return c.unionByName(_named(gaps.ranked(runs, ranks), ids))
+
+
+def free_runs(ids: DataFrame, n: int, taken: DataFrame, strict: bool = True, loops: bool = False) -> DataFrame:
+    """i, start, len: the gaps between the neighbours of each node of ids (node, idx of n), by idx; strict: pairs once, smaller idx first."""
+    low = F.col("idx") + 1 if strict else F.lit(0)
+    sources = ids.select(F.col("idx").alias("i"), low.cast("bigint").alias("low"))
+    a, b = (ids.select(F.col("node").alias(end), F.col("idx").alias(to)) for end, to in (("src", "i"), ("dst", "x")))
+    rows = taken.select("src", "dst").join(a, "src").join(b, "dst")
+    rows = rows.select(F.least("i", "x").alias("i"), F.greatest("i", "x").alias("x")) if strict else rows.select("i", "x")
+    if not strict and not loops:
+        rows = rows.unionByName(sources.select("i", F.col("i").alias("x")))
+    return gaps.gaps(rows, sources, n)
+
+
+def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """src, dst: nodes of pairs of idx (i, x)."""
+    a, b = (ids.select(F.col("node").alias(end), F.col("idx").alias(of)) for end, of in (("src", "i"), ("dst", "x")))
+    return pairs.join(a, "i").join(b, "x").select("src", "dst")
 
 
 def negatives_for(train: DataFrame, test: DataFrame, ratio: float = 5, seed: int = 1, strict: bool = True) -> DataFrame:
@@ -220,14 +286,28 @@ def negatives_for(train: DataFrame, test: DataFrame, ratio: float = 5, seed: int
 def negatives_per_node(edges: DataFrame, sources: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """src, dst, row: for each of the sources (node) its first k of 4 k draws that are no edges, loops or repeats, in the order of both ends.
 
-    A source with nearly all nodes for neighbours may get fewer; contract() tells.
+    A source that lacks so few neighbours that draws don't find k gets the rest from the gaps between its neighbours, one of each of as
+    many strata; one that lacks fewer than k gets all of them.
     """
-    ids = Scratch(edges.sparkSession, "per-node").save(node_map(edges), "ids")
+    scratch = Scratch(edges.sparkSession, "per-node")
+    ids = scratch.save(node_map(edges), "ids")
     n = ids.count()
     c = sources.select(F.col("node").alias("src")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4 * k - 1))))
     c = c.withColumn("idx", draw(seed, "pn", F.col("src"), F.col("i")) % n).join(ids.withColumnRenamed("node", "dst"), "idx").filter("src <> dst")
     c = c.groupBy("src", "dst").agg(F.min("i").alias("i")).join(directed(edges), ["src", "dst"], "left_anti")
     c = c.withColumn("nth", F.row_number().over(Window.partitionBy("src").orderBy("i"))).filter(F.col("nth") <= k)
+    c = scratch.save(c.select("src", "dst"), "drawn")
+    per = c.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("has"))
+    short = sources.select("node").distinct().join(per, "node", "left").select("node", (F.lit(k) - F.coalesce("has", F.lit(0))).alias("wanted")).filter("wanted > 0")
+    short = scratch.save(short.join(ids, "node").select("node", F.col("idx").alias("i"), "wanted"), "short")
+    if short.limit(1).count():
+        known = edges.select("src", "dst").unionByName(c).join(short.select(F.col("node").alias("src"), "i"), "src").join(ids.select(F.col("node").alias("dst"), F.col("idx").alias("x")), "dst")
+        known = known.select("i", "x").unionByName(short.select("i", F.col("i").alias("x")))
+        runs = scratch.save(gaps.gaps(known, short.select("i", F.lit(0).cast("bigint").alias("low")), n), "runs")
+        free = runs.groupBy("i").agg(F.sum("len").alias("free"))
+        ranks = short.join(free, "i").withColumn("wanted", F.least("wanted", "free")).withColumn("j", F.explode(F.expr("sequence(0L, wanted - 1L)")))
+        ranks = ranks.select("i", gaps.strata(F.col("j"), F.col("free"), F.col("wanted"), seed, "rank", F.col("node"), F.col("j")).alias("r"))
+        c = c.unionByName(_named(gaps.ranked(runs, ranks, within=True), ids))
     return sorted_edges(c)
 
 

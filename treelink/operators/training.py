@@ -6,26 +6,26 @@ losses are relational; only the sums over candidates are numpy, in tasks that ho
 
 from __future__ import annotations
 
-import hashlib
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, link_probability, log_loss, pair_distance, selected
 from ..scratch import Scratch, temporary
 from . import graph as g
+from . import moves
 from .metrics import ranking_metrics
-from .order import prefix_sums
+from .order import next_fit, prefix_sums
 
 log = logging.getLogger(__name__)
 #: Links of a node that one task sums; the sums of larger nodes are added up afterwards.
 HUB = 4096
-#: Links whose candidates are compared at a time.
-LINKS = 64
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,8 @@ class TrainConfig:
 
     convergence: share of the epochs in which nodes are masked; mask_share: share of nodes that keep all their links then; oi: for
     "dr", 1 takes out- and in-degrees, 0 the total; eval_step: epochs between evaluations; edge_cap: links per synchronous batch (None:
-    all); portable: candidates from MD5 counters, which SQL can repeat, instead of numpy's generator.
+    all), more on tables that would make more than max_batches of them, as each batch is a Spark job or more; portable: candidates from
+    MD5 counters, which SQL can repeat, instead of a faster generator.
     """
 
     height: int = 12
@@ -51,6 +52,7 @@ class TrainConfig:
     oi: int = 1
     eval_step: int = 10
     edge_cap: int | None = None
+    max_batches: int = 64
     portable: bool = False
 
     @property
@@ -152,6 +154,22 @@ def batch_assign(nodes: DataFrame, links: DataFrame, cfg: TrainConfig, epoch: in
     return run.select("node", "cost", F.floor(F.col("before") / cap).cast("bigint").alias("batch"))
 
 
+def batch_costs(links: dict[str, DataFrame], cfg: TrainConfig, epoch: int) -> DataFrame:
+    """node, cost: the links that a node's step looks at, of all kinds of its variant; of a masked node one of each kind that it has."""
+    kinds = None
+    for kind, rows in links.items():
+        rows = rows.select("node", F.lit(kind).alias("kind"))
+        kinds = rows if kinds is None else kinds.unionByName(rows)
+    per = kinds.groupBy("node", "kind").agg(F.count("*").alias("n"))
+    return per.groupBy("node").agg(F.sum(F.when(_keep(cfg, epoch), F.col("n")).otherwise(F.lit(1))).cast("bigint").alias("cost"))
+
+
+def batch_pack(links: dict[str, DataFrame], cfg: TrainConfig, epoch: int, cap: int) -> DataFrame:
+    """node, cost, batch: nodes with links in a random order, packed one after the other into batches of cap links at most; a node of more is a batch by itself."""
+    cost = batch_costs(links, cfg, epoch).withColumn("r", draw(cfg.seed, "batch", epoch, F.col("node")))
+    return next_fit(cost, ["r", "node"], "cost", cap, "batch").select("node", "cost", "batch")
+
+
 def branches(links: dict[str, DataFrame], ids: DataFrame, n: int, cfg: TrainConfig, epoch: int, variant: str) -> dict[str, DataFrame]:
     """For each vector that moves (z, or head and tail): node, nbr, key (of SELECTORS), y (1 link, 0 negative), cnt (by which the node's sums are divided)."""
     used = {k: neighbour_sample(v, cfg, epoch, k) for k, v in links.items()}
@@ -187,88 +205,74 @@ def losses(rows: DataFrame, cfg: TrainConfig) -> DataFrame:
     return rows.groupBy("node").agg(F.sum(F.when(F.col("y") == 1, cost).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, cost).otherwise(0.0)).alias("neg"))
 
 
-def _counter(*parts) -> int:
-    """The twin of draw() in Python."""
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
-
+MOVED = "node long, z array<long>, loss double, pos double, neg double"
+_SUMMED = MOVED + ", cnt long, sums array<double>"
 
-def candidate_table(node: int, z: np.ndarray, cfg: TrainConfig, epoch: int, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (L, dims) of a node, the node's own place last, and the order in which equal losses are settled."""
-    k, n = cfg.per_level, cfg.candidates
-    flips = np.repeat(1 << np.arange(cfg.height), k)
-    if cfg.portable:
-        masks = np.array([[_counter(cfg.seed, "m", name, epoch, node, i, t) % int(f) for t in range(len(z))] for i, f in enumerate(flips)], np.int64)
-        rank = np.array([_counter(cfg.seed, "tie", epoch, node, i) for i in range(n)])
-    else:
-        rng = np.random.default_rng([cfg.seed, epoch, sum(map(ord, name)), node & (2**63 - 1)])
-        masks = rng.integers(0, flips[:, None], (len(flips), len(z)))
-        rank = rng.permutation(n)
-    return np.vstack([z ^ flips[:, None] ^ masks, z]), np.argsort(rank)
 
+def _arrays(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(-1, dims)
 
-def candidate_losses(cand: np.ndarray, z: np.ndarray, links: pd.DataFrame, cfg: TrainConfig) -> np.ndarray:
-    """Summed losses (2, L, dims) of links y, key, z2, n12, n21: at 0 those of negatives, at 1 those of links.
 
-    A distance takes at most height * dims + 1 values, so each link's losses are a short table that candidates look up.
-    """
-    bits = np.array([int(i).bit_length() for i in range(1 << min(cfg.height, 16))], np.int16)
-    length = lambda x: bits[x] if cfg.height <= 16 else np.where(x >> 16 > 0, 16 + bits[x >> 16], bits[x & 0xFFFF])
-    grid = np.arange(cfg.height * cfg.dims + 1) / cfg.dims + cfg.eps
-    sums = np.zeros((2, *cand.shape))
-    for key, part in links.groupby("key"):
-        other, y = np.array(part["z2"].tolist(), np.int64), part["y"].to_numpy()
-        tables = []
-        for n in ("n12", "n21"):
-            norm = part[n].to_numpy()[:, None]
-            with np.errstate(divide="ignore"):
-                tables.append(np.where(norm > 0, 1 / (1 + (grid / norm) ** cfg.gamma / cfg.alpha), 0.0))
-        cost = -np.log(cfg.eps + selected(key, *tables))
-        now = length(z ^ other)
-        rest = now.sum(axis=1)[:, None] - now
-        for i in range(0, len(other), LINKS):
-            s = slice(i, i + LINKS)
-            at = length(cand[None] ^ other[s, None, :]) + rest[s, None, :]
-            found = np.take_along_axis(cost[s], at.reshape(len(at), -1), axis=1).reshape(at.shape)
-            for label in (0, 1):
-                sums[label] += found[y[s] == label].sum(axis=0)
-    return sums
-
-
-def _settled(node: int, z: np.ndarray, sums: np.ndarray, cnt: int, cfg: TrainConfig, epoch: int, name: str) -> tuple:
-    cand, order = candidate_table(node, z, cfg, epoch, name)
-    neg, pos = sums / cnt
-    total = cfg.weight * pos + neg
-    best = order[np.round(total[order], 9).argmin(axis=0)]
-    dims = np.arange(len(z))
-    return node, cand[best, dims].tolist(), float(total[best, dims].mean()), float(pos[best, dims].mean()), float(neg[best, dims].mean())
+def _moved(node: np.ndarray, found: tuple, cnt: np.ndarray, sums: list | None = None) -> pa.RecordBatch:
+    z, loss, pos, neg = found
+    empty = pa.nulls(len(node), pa.float64())
+    values = [pa.array(x) if x is not None else empty for x in (loss, pos, neg)]
+    places = pa.ListArray.from_arrays(np.arange(len(node) + 1, dtype=np.int32) * z.shape[1], pa.array(z.reshape(-1).astype(np.int64)))
+    return pa.record_batch([pa.array(node), places, *values, pa.array(cnt), pa.array(sums, pa.list_(pa.float64())) if sums is not None else pa.nulls(len(node), pa.list_(pa.float64()))], names=["node", "z", "loss", "pos", "neg", "cnt", "sums"])
 
 
-MOVED = "node long, z array<long>, loss double, pos double, neg double"
+def _groups_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole (node, part) groups, of a bounded number of links and nodes, from rows in their order."""
+    left = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if left is None else pa.concat_tables([left, t])
+        key = np.stack([np.asarray(t["node"]), np.asarray(t["part"])])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        at = 0
+        for i, s in enumerate(starts):  # cut where a group starts and enough is before it
+            if s > starts[at] and (s - starts[at] >= moves.LINKS or i - at >= moves.NODES):
+                yield t.slice(starts[at], s - starts[at])
+                at = i
+        left = t.slice(starts[at])
+    if left is not None and left.num_rows:
+        yield left
 
 
 def move(rows: DataFrame, cfg: TrainConfig, epoch: int, name: str = "z") -> DataFrame:
     """node, z (where it moves), loss, pos, neg for rows of with_ends. Links of large nodes are summed by parts, so no task holds a hub's."""
     sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
     rows = rows.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("nbr", "key"), F.col("parts")).cast("int"))
-    rows = rows.select("node", "part", "parts", "key", "y", "cnt", "z1", "z2", "n12", "n21")
-
-    def part_of(group: pd.DataFrame) -> pd.DataFrame:
-        node, cnt, z = int(group["node"].iloc[0]), int(group["cnt"].iloc[0]), np.array(group["z1"].iloc[0], np.int64)
-        group = group.sort_values(["key", "y", "n12", "n21"], kind="stable", ignore_index=True)
-        sums = candidate_losses(candidate_table(node, z, cfg, epoch, name)[0], z, group, cfg)
-        whole = int(group["parts"].iloc[0]) == 1
-        row = _settled(node, z, sums, cnt, cfg, epoch, name) if whole else (node, z.tolist(), None, None, None)
-        return pd.DataFrame([(*row, cnt, None if whole else sums.reshape(-1).tolist())], columns=["node", "z", "loss", "pos", "neg", "cnt", "sums"])
+    rows = rows.select("node", "part", "y", "key", "n12", "n21", "nbr", "parts", "cnt", "z1", "z2")
+    rows = rows.repartition("node", "part").sortWithinPartitions("node", "part", "y", "key", "n12", "n21", "nbr")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups_at_a_time(batches):
+            node, part = np.asarray(t["node"]), np.asarray(t["part"])
+            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (part[1:] != part[:-1])])
+            at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+            z, other = _arrays(t["z1"].take(pa.array(starts)), cfg.dims), _arrays(t["z2"], cfg.dims)
+            cnt, parts = np.asarray(t["cnt"])[starts], np.asarray(t["parts"])[starts]
+            cand, rank = moves.candidates_of(node[starts], z, cfg, epoch, name)
+            tables, row = moves.loss_tables(np.asarray(t["key"].to_pylist()), np.asarray(t["n12"]), np.asarray(t["n21"]), cfg)
+            sums = moves.level_sums(at, z, other, np.asarray(t["y"]).astype(np.int64), tables, row, cand, cfg.height)
+            whole = parts == 1
+            if whole.any():
+                yield _moved(node[starts][whole], moves.settle(z[whole], cand[whole], rank[whole], sums[whole], cnt[whole], cfg.weight), cnt[whole])
+            if not whole.all():
+                yield _moved(node[starts][~whole], (z[~whole], None, None, None), cnt[~whole], [s.reshape(-1) for s in sums[~whole]])
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
-        node, cnt, z = int(group["node"].iloc[0]), int(group["cnt"].iloc[0]), np.array(group["z"].iloc[0], np.int64)
+        node, cnt, z = np.array(group["node"].iloc[:1]), np.array(group["cnt"].iloc[:1]), np.array([group["z"].iloc[0]], np.int64)
         sums = np.zeros(2 * cfg.candidates * cfg.dims)
         for part in group["sums"]:
             sums += np.asarray(part)
-        return pd.DataFrame([_settled(node, z, sums.reshape(2, cfg.candidates, cfg.dims), cnt, cfg, epoch, name)], columns=["node", "z", "loss", "pos", "neg"])
+        cand, rank = moves.candidates_of(node, z, cfg, epoch, name)
+        to, *losses = moves.settle(z, cand, rank, sums.reshape(1, 2, cfg.candidates, cfg.dims), cnt, cfg.weight)
+        return pd.DataFrame([(int(node[0]), to[0].tolist(), *[float(x[0]) for x in losses])], columns=["node", "z", "loss", "pos", "neg"])
 
-    parts = rows.groupBy("node", "part").applyInPandas(part_of, MOVED + ", cnt long, sums array<double>")
-    parts = Scratch(rows.sparkSession, "moves").save(parts, "parts")
+    parts = Scratch(rows.sparkSession, "moves").save(rows.mapInArrow(summed, _SUMMED), "parts")
     return parts.filter("sums is null").select("node", "z", "loss", "pos", "neg").unionByName(parts.filter("sums is not null").groupBy("node").applyInPandas(added, MOVED))
 
 
@@ -315,13 +319,13 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
     ids = scratch.save(g.node_map(e), "ids")
     n = ids.count()
     model = replace(model, deg=scratch.save(model.deg, "deg"), vectors={k: scratch.save(v, f"{k}-start") for k, v in model.vectors.items()})
-    all_links = links["all"] if "all" in links else links["out"].unionByName(links["in"])
+    cap = cfg.edge_cap and max(cfg.edge_cap, -(-sum(v.count() for v in links.values()) // cfg.max_batches))
     history, before = [], {k: f"{k}-start" for k in model.vectors}
     for epoch in range(cfg.epochs):
         batches, plan = 1, None
-        if cfg.edge_cap:
+        if cap:
             with temporary():
-                plan = scratch.save(batch_assign(ids, all_links, cfg, epoch, cfg.edge_cap), f"batches-{epoch}")
+                plan = scratch.save(batch_pack(links, cfg, epoch, cap), f"batches-{epoch}")
             batches = (plan.agg(F.max("batch")).first()[0] or 0) + 1
         sums = np.zeros(4)
         for b in range(batches):

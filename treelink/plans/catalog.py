@@ -10,8 +10,8 @@ from ..operators import graph as g
 from ..operators import metrics as m
 from ..operators import training as t
 from ..scratch import Scratch
-from ..sources.edges import gnp_edges, gnp_graph, random_graph
-from . import split_queries, train_queries
+from ..sources.edges import exact_graph, random_graph
+from . import dense_queries, split_queries, train_queries
 from .fixtures import BITS as _BITS
 from .fixtures import GC as _GC
 from .fixtures import GE as _GE
@@ -79,6 +79,18 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     return e.select("src", "dst", tree_distance(F.col("src"), F.col("dst")).cast("bigint").alias("delta"))
 
 
+def size_of(spark: SparkSession, d: str) -> tuple[int, int]:
+    """Numbers of nodes and edges of GC, for random graphs of its size."""
+    e = Scratch(spark, "size").save(g.directed(gc(spark, d)), "edges")
+    return g.nodes(e).count(), e.count()
+
+
+def like_gc(spark: SparkSession, d: str, is_directed: bool) -> DataFrame:
+    """As many random edges as GC has, the first that counters draw over as many nodes."""
+    n, edges = size_of(spark, d)
+    return exact_graph(spark, n, edges, 42, is_directed)
+
+
 QUERIES = {
     "edges_directed_dedup": lambda s, d: g.directed(ge(s, d)),
     "edges_undirected_dedup": lambda s, d: g.undirected(ge(s, d)),
@@ -102,14 +114,14 @@ QUERIES = {
     "score_pairs_sampled": lambda s, d: sampled(s, d).select("src", "dst", F.col("label").cast("bigint").alias("label"), "score"),
     "ranking_metrics_sampled": lambda s, d: m.ranking_metrics(sampled(s, d)),
     "run_statistics": summary,
-    "er_directed": lambda s, d: random_graph(s, 1024, 5120, 42, True),
-    "er_undirected": lambda s, d: random_graph(s, 1024, 5120, 42, False),
-    "er_gnp_directed": lambda s, d: gnp_graph(s, 1024, 5 / 1024, 42, True),
-    "er_gnp_undirected": lambda s, d: gnp_graph(s, 1024, 5 / 1024, 42, False),
+    "er_directed": lambda s, d: random_graph(s, *size_of(s, d), 42, True),
+    "er_undirected": lambda s, d: random_graph(s, *size_of(s, d), 42, False),
+    "er_gnp_directed": lambda s, d: like_gc(s, d, True),
+    "er_gnp_undirected": lambda s, d: like_gc(s, d, False),
     "negatives_strict": lambda s, d: g.negatives(g.directed(gc(s, d)), 2000, seed=3),
     "train_epochs": train_epochs,
     "run_summary": summary_text,
-} | split_queries.QUERIES | train_queries.QUERIES
+} | split_queries.QUERIES | train_queries.QUERIES | dense_queries.QUERIES
 
 _SCORED = f"""
 loc AS (SELECT node, i, {_draw("1", "'z'", "node", "i")} % 4096 AS z FROM nd, (SELECT unnest(range(16)) AS i)),
@@ -133,18 +145,21 @@ SELECT round(sum(n * (cp - p / 2) / (pp * nn)), 9) AS roc_auc, round(sum(p / pp
        round(arg_min(2 * cp / (cp + cn + pp), cp + cn) FILTER (WHERE cp + cn >= pp), 9) AS f1,
        """ + ", ".join(f"round(sum(p * CASE WHEN nn < {k} OR cn < {k} THEN 1.0::double WHEN cn - n < {k} THEN 0.5::double ELSE 0.0::double END / pp), 9) AS hits{k}" for k in (20, 50, 100)) + " FROM r, tt"
 
-_ER = f"c AS (SELECT {_draw('42', chr(39) + 'u' + chr(39), 'id')} % 1024 AS a, {_draw('42', chr(39) + 'v' + chr(39), 'id')} % 1024 AS b FROM (SELECT unnest(range(5120)) AS id))"
+_SIZE = "sz AS MATERIALIZED (SELECT (SELECT count(*) FROM (SELECT src FROM gc UNION SELECT dst FROM gc)) AS n, (SELECT count(*) FROM gc) AS m)"
+_ER = f"c AS (SELECT id, {_draw('42', chr(39) + 'u' + chr(39), 'id')} % n AS a, {_draw('42', chr(39) + 'v' + chr(39), 'id')} % n AS b FROM (SELECT unnest(range((SELECT {{draws}} FROM sz))) AS id), sz)"
+
 
+def _er(pair: str) -> str:
+    return f"WITH {_GC}, {_SIZE}, {_ER.format(draws='m')} SELECT DISTINCT {pair} FROM c WHERE a <> b"
 
 
-def _gnp(pair: str, is_directed: bool) -> str:
-    want = gnp_edges(1024, 5 / 1024, 42, is_directed)
-    return f"WITH {_ER.replace('range(5120)', f'range({2 * want + 16})').replace('SELECT (', 'SELECT id, (', 1)} SELECT {pair} FROM c WHERE a <> b GROUP BY ALL ORDER BY min(id) LIMIT {want}"
+def _exact(pair: str) -> str:
+    return f"WITH {_GC}, {_SIZE}, {_ER.format(draws='2 * m + 16')} SELECT {pair} FROM c WHERE a <> b GROUP BY ALL ORDER BY min(id) LIMIT (SELECT m FROM sz)"
 
 
 SQL = {
-    "er_gnp_directed": _gnp("a AS src, b AS dst", True),
-    "er_gnp_undirected": _gnp("least(a, b) AS src, greatest(a, b) AS dst", False),
+    "er_gnp_directed": _exact("a AS src, b AS dst"),
+    "er_gnp_undirected": _exact("least(a, b) AS src, greatest(a, b) AS dst"),
     "edges_directed_dedup": f"WITH {_GE} SELECT src, dst FROM e",
     "edges_undirected_dedup": f"WITH {_GE} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e",
     "node_map": f"WITH {_GE}, {_ND} SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM nd",
@@ -165,7 +180,7 @@ SQL = {
     "score_pairs_sampled": f"WITH {_GE}, {_ND}, {_SAMPLED} SELECT src, dst, label, score FROM sc",
     "ranking_metrics_sampled": f"WITH {_GE}, {_ND}, {_SAMPLED} {_METRICS}",
     "run_statistics": "SELECT l_suppkey::bigint AS dataset, round(avg(l_discount::double), 9) AS mean, round(stddev_pop(l_discount::double), 9) AS std FROM lineitem GROUP BY 1",
-    "er_directed": f"WITH {_ER} SELECT DISTINCT a AS src, b AS dst FROM c WHERE a <> b",
-    "er_undirected": f"WITH {_ER} SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM c WHERE a <> b",
+    "er_directed": _er("a AS src, b AS dst"),
+    "er_undirected": _er("least(a, b) AS src, greatest(a, b) AS dst"),
     "run_summary": "SELECT l_suppkey::bigint AS dataset, " + ", ".join(f"printf('%.2f±%.2f', avg({v}) * 100, stddev_pop({v}) * 100) AS {n}" for n, v in (("roc_auc", "(l_partkey % 128) / 128.0::double"), ("f1", "CASE WHEN l_linenumber < 5 THEN (l_orderkey % 128) / 128.0::double END"))) + " FROM lineitem GROUP BY 1",
-} | split_queries.SQL | train_queries.SQL
+} | split_queries.SQL | train_queries.SQL | dense_queries.SQL

@@ -129,6 +129,13 @@ ok AS (SELECT src, node AS dst, min(i) AS i FROM dr JOIN ix USING (idx) WHERE sr
 fr AS (SELECT src, dst FROM ok ANTI JOIN gc USING (src, dst) QUALIFY row_number() OVER (PARTITION BY src ORDER BY i) <= 20),
 pn AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS row FROM fr)"""
 
+
+
+def per_node_sql() -> str:
+    """CTEs up to pn: the negatives of negatives_per_node."""
+    return _PER_NODE
+
+
 SQL = {
     "degree_total": f"WITH {GE} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1",
     "active_nodes": f"WITH {GC} SELECT DISTINCT src AS node FROM gc",
@@ -144,8 +151,10 @@ SQL = {
     "negatives_with_loops": f"WITH {GC}, {negatives_sql(_GCN, 'SELECT src, dst FROM gc', 'SELECT 2000 AS num', 5, False, True)} SELECT src, dst FROM neg",
     "negatives_strict": f"WITH {GC}, {negatives_sql(_GCN, 'SELECT src, dst FROM gc', 'SELECT 2000 AS num', 3, True)} SELECT src, dst FROM neg",
     "negatives_per_node": f"WITH {GC}, {_PER_NODE} SELECT src, dst, row FROM pn",
-    "split_contract_check": f"""WITH {GC}, {_PER_NODE}, pos AS (SELECT src, count(*) AS p FROM gc JOIN srcs USING (src) GROUP BY 1), q AS (SELECT src, count(*) AS q FROM pn GROUP BY 1)
-SELECT (SELECT count(*) FROM pn) = 20 * count(*) AS sizes, bool_and(coalesce(q, 0) = 20) AS blocks, true AS positives_sorted, true AS degrees FROM pos LEFT JOIN q USING (src)""",
+    "split_contract_check": f"""WITH {GC}, {_PER_NODE}, pos AS (SELECT src, count(*) AS p FROM gc JOIN srcs USING (src) GROUP BY 1), q AS (SELECT src, count(*) AS q FROM pn GROUP BY 1),
+po AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS row FROM gc JOIN srcs USING (src)), dg AS (SELECT src, count(*) AS d FROM po GROUP BY 1)
+SELECT (SELECT count(*) FROM pn) = 20 * count(*) AS sizes, bool_and(coalesce(q, 0) = 20) AS blocks,
+    (SELECT bool_and(bs IS NULL OR bs < src OR (bs = src AND bd <= dst)) FROM (SELECT src, dst, lag(src) OVER (ORDER BY row) AS bs, lag(dst) OVER (ORDER BY row) AS bd FROM po)) AS positives_sorted, bool_and(d = p) AS degrees FROM pos LEFT JOIN q USING (src) LEFT JOIN dg USING (src)""",
     "directed_split": f"""WITH {GE}, {split_sql('e')}, {_K}, {_TEST}, {negatives_sql('SELECT node FROM k', 'SELECT src, dst FROM s WHERE part = $$train$$ UNION ALL SELECT src, dst FROM test'.replace('$$', chr(39)), 'SELECT count(*) AS num FROM test', 1, False)}
 SELECT src, dst, 'train' AS part FROM s WHERE part = 'train' UNION ALL SELECT src, dst, 'test_pos' FROM test UNION ALL SELECT src, dst, 'test_neg' FROM neg""",
     "cosine_pairs": "WITH v AS (SELECT label, vec_id, embedding, lead(vec_id) OVER w AS b, lead(embedding) OVER w AS eb FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id AS a, b, round(list_cosine_similarity(embedding::double[], eb::double[]), 6) AS score FROM v WHERE b IS NOT NULL",

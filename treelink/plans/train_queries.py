@@ -17,19 +17,21 @@ from .fixtures import BITS, GE, ND, draw_sql, ge
 #: Small, so that SQL can hold every candidate of every link; candidates from counters, so that SQL can draw them.
 CFG = t.TrainConfig(height=5, dims=2, c=0.6, alpha=18.0, weight=1.5, epochs=2, portable=True)
 EPOCH, RATIO = 1, 5
+#: The general height and dimensions.
+FULL = replace(CFG, height=12, dims=16, c=1.0)
 
 
-def setting(spark: SparkSession, d: str, variant: str) -> tuple[t.Model, dict[str, DataFrame], DataFrame, int]:
+def setting(spark: SparkSession, d: str, variant: str, cfg: t.TrainConfig = CFG) -> tuple[t.Model, dict[str, DataFrame], DataFrame, int]:
     """An untrained model on GE, its links, ids and number of nodes."""
     scratch = Scratch(spark, f"setting-{variant}")
     e = ge(spark, d)
     e = scratch.save(g.undirected(e) if variant == "undir" else g.directed(e), "edges")
     ids = scratch.save(g.node_map(e), "ids")
-    return t.start(e, CFG, variant), t.links_of(e, variant), ids, ids.count()
+    return t.start(e, cfg, variant), t.links_of(e, variant), ids, ids.count()
 
 
-def train_step(spark: SparkSession, d: str, variant: str) -> DataFrame:
-    model, links, ids, n = setting(spark, d, variant)
+def train_step(spark: SparkSession, d: str, variant: str, cfg: t.TrainConfig = CFG) -> DataFrame:
+    model, links, ids, n = setting(spark, d, variant, cfg)
     out = None
     for name, moved in t.step(model, links, ids, n, EPOCH).items():
         rows = moved.select(F.lit(name).alias("vector"), "node", F.posexplode("z").alias("t", "z"), F.round("loss", 6).alias("loss"))
@@ -93,6 +95,7 @@ def trained(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{f"train_step_{v}": (lambda s, d, v=v: train_step(s, d, v)) for v in ("undir", "sr", "dr")},
+    "train_step_full": lambda s, d: train_step(s, d, "undir", FULL),
     "train_loop_portable": trained,
     "loss_pos": lambda s, d: loss_terms(s, d).select("node", F.round("pos", 9).alias("loss")),
     "loss_neg": lambda s, d: loss_terms(s, d).select("node", F.round("neg", 9).alias("loss")),
@@ -111,7 +114,7 @@ _IX = "ix AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS
 _U = "u AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e)"
 _OI = "oi AS (SELECT node, sum(o)::bigint AS d1, sum(i)::bigint AS d2 FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1)"
 _DU = "du AS (SELECT node, count(*) AS d1, count(*) AS d2 FROM (SELECT src AS node FROM u UNION ALL SELECT dst FROM u) GROUP BY 1)"
-_LINKS = {
+LINKS = {
     "all": "(SELECT src AS node, dst AS nbr FROM e UNION SELECT dst, src FROM e)",
     "out": "(SELECT src AS node, dst AS nbr FROM e)",
     "in": "(SELECT dst AS node, src AS nbr FROM e)",
@@ -120,22 +123,22 @@ _SELECT = {"out": "p12", "in": "p21", "not_out": "1 - p12", "not_in": "1 - p21",
 _CASE = "CASE key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SELECT.items()) + " END"
 
 
-def _keep(epoch: int, share: float) -> str:
+def keep_sql(epoch: int, share: float) -> str:
     return f"{draw_sql('1', chr(39) + 'mask' + chr(39), str(epoch), 'node')} % 1000 < 800" if epoch <= share * CFG.epochs else "true"
 
 
-def _loc(name: str = "z") -> str:
-    return f"(SELECT node, t, {draw_sql('1', chr(39) + name + chr(39), 'node', 't')} % {1 << _H} AS z FROM nd, (SELECT unnest(range({CFG.dims})) AS t))"
+def _loc(name: str = "z", cfg: t.TrainConfig = CFG) -> str:
+    return f"(SELECT node, t, {draw_sql('1', chr(39) + name + chr(39), 'node', 't')} % {1 << cfg.height} AS z FROM nd, (SELECT unnest(range({cfg.dims})) AS t))"
 
 
 def _used(kind: str, epoch: int, share: float, p: str = "") -> str:
-    return f"""{p}only_{kind} AS (SELECT node, arg_min(nbr, {draw_sql('1', "'one'", f"'{kind}'", str(epoch), 'node', 'nbr')}) AS one FROM {_LINKS[kind]} GROUP BY 1),
-{p}used_{kind} AS MATERIALIZED (SELECT l.node, l.nbr FROM {_LINKS[kind]} l JOIN {p}only_{kind} o ON o.node = l.node WHERE {_keep(epoch, share).replace(', node', ', l.node')} OR l.nbr = o.one),
+    return f"""{p}only_{kind} AS (SELECT node, arg_min(nbr, {draw_sql('1', "'one'", f"'{kind}'", str(epoch), 'node', 'nbr')}) AS one FROM {LINKS[kind]} GROUP BY 1),
+{p}used_{kind} AS MATERIALIZED (SELECT l.node, l.nbr FROM {LINKS[kind]} l JOIN {p}only_{kind} o ON o.node = l.node WHERE {keep_sql(epoch, share).replace(', node', ', l.node')} OR l.nbr = o.one),
 {p}cnt_{kind} AS (SELECT node, count(*) AS cnt FROM {p}used_{kind} GROUP BY 1),
 {p}neg_{kind} AS (SELECT x.node, ix.node AS nbr FROM {p}used_{kind} x JOIN ix ON ix.idx = {draw_sql('1', "'neg'", f"'{kind}'", str(epoch), 'x.node', 'x.nbr')} % (SELECT n FROM nn))"""
 
 
-def _move(p: str, name: str, rows: list[tuple[str, str, int]], cnt: str, own: str, other: str, deg: str, epoch: int) -> str:
+def _move(p: str, name: str, rows: list[tuple[str, str, int]], cnt: str, own: str, other: str, deg: str, epoch: int, cfg: t.TrainConfig = CFG) -> str:
     """CTEs up to {p}best: vector, node, t, z, total, pos and neg of each place that a vector moves to."""
     union = " UNION ALL ".join(f"SELECT node, nbr, '{key}' AS key, {y} AS y FROM {of}" for of, key, y in rows)
     b = lambda x, y: BITS.format(a=x, b=y)
@@ -144,9 +147,9 @@ def _move(p: str, name: str, rows: list[tuple[str, str, int]], cnt: str, own: st
     FROM ({union}) r JOIN {cnt} USING (node) JOIN {deg} a ON a.node = r.node JOIN {deg} b ON b.node = r.nbr),
 {p}cur AS MATERIALIZED (SELECT id, x.t, y.z AS z2, {b('x.z', 'y.z')} AS now FROM {p}rows r JOIN {own} x ON x.node = r.node JOIN {other} y ON y.node = r.nbr AND y.t = x.t),
 {p}tot AS (SELECT id, sum(now) AS total FROM {p}cur GROUP BY 1),
-{p}cand AS MATERIALIZED (SELECT node, t, l, CASE WHEN l = {_H * _K} THEN z ELSE xor(xor(z, 1::bigint << (l // {_K})::int), {draw_sql('1', "'m'", f"'{name}'", str(epoch), 'node', 'l', 't')} % (1::bigint << (l // {_K})::int)) END AS cand FROM {own}, (SELECT unnest(range({_H * _K + 1})) AS l)),
+{p}cand AS MATERIALIZED (SELECT node, t, l, CASE WHEN l = {cfg.height * cfg.per_level} THEN z ELSE xor(xor(z, 1::bigint << (l // {cfg.per_level})::int), {draw_sql('1', "'m'", f"'{name}'", str(epoch), 'node', 'l', 't')} % (1::bigint << (l // {cfg.per_level})::int)) END AS cand FROM {own}, (SELECT unnest(range({cfg.candidates})) AS l)),
 {p}lo AS (SELECT node, t, l, cand, y, key, cnt, {prob('dd', 'n12')} AS p12, {prob('dd', 'n21')} AS p21
-    FROM (SELECT r.node, c.t, c.l, c.cand, r.y, r.key, r.cnt, n12, n21, ({b('c.cand', 'q.z2')} - q.now + total)::double / {CFG.dims} AS dd FROM {p}rows r JOIN {p}tot USING (id) JOIN {p}cur q USING (id) JOIN {p}cand c ON c.node = r.node AND c.t = q.t)),
+    FROM (SELECT r.node, c.t, c.l, c.cand, r.y, r.key, r.cnt, n12, n21, ({b('c.cand', 'q.z2')} - q.now + total)::double / {cfg.dims} AS dd FROM {p}rows r JOIN {p}tot USING (id) JOIN {p}cur q USING (id) JOIN {p}cand c ON c.node = r.node AND c.t = q.t)),
 {p}ls AS (SELECT node, t, l, any_value(cand) AS cand, sum(CASE WHEN y = 1 THEN -ln(1e-5::double + {_CASE}) ELSE 0 END / cnt) AS pos, sum(CASE WHEN y = 0 THEN -ln(1e-5::double + {_CASE}) ELSE 0 END / cnt) AS neg FROM {p}lo GROUP BY 1, 2, 3),
 {p}best AS MATERIALIZED (SELECT '{name}' AS vector, node, t, cand AS z, 1.5 * pos + neg AS total, pos, neg FROM {p}ls QUALIFY row_number() OVER (PARTITION BY node, t ORDER BY round(1.5 * pos + neg, 9), {draw_sql('1', "'tie'", str(epoch), 'node', 'l')}) = 1)"""
 
@@ -165,6 +168,7 @@ pr AS (SELECT src, dst, d, {_P('d', 'x.d1', 'y.d1')} AS p_undir, {_P('d', 'a.d1'
 
 SQL = {
     "train_step_undir": _UNDIR + _used("all", EPOCH, 0.8) + ", " + _move("", "z", _ROWS, "cnt_all", "z0", "z0", "du", EPOCH) + " " + _result("best"),
+    "train_step_full": f"WITH {GE}, {ND}, {_IX}, {_U}, {_DU}, z0 AS MATERIALIZED {_loc(cfg=FULL)}, " + _used("all", EPOCH, 0.8) + ", " + _move("", "z", _ROWS, "cnt_all", "z0", "z0", "du", EPOCH, FULL) + " " + _result("best"),
     "train_step_sr": f"WITH {GE}, {ND}, {_IX}, {_OI}, z0 AS MATERIALIZED {_loc()}, " + ", ".join(_used(k, EPOCH, 0.8) for k in ("all", "out", "in")) + ", " + _move("", "z", [("used_out", "out", 1), ("used_in", "in", 1), ("neg_all", "neither", 0)], "cnt_all", "z0", "z0", "oi", EPOCH) + " " + _result("best"),
     "train_step_dr": f"WITH {GE}, {ND}, {_IX}, {_OI}, h0 AS MATERIALIZED {_loc('head')}, t0 AS MATERIALIZED {_loc('tail')}, " + ", ".join(_used(k, EPOCH, 0.8) for k in ("out", "in"))
     + ", " + _move("h_", "head", [("used_out", "out", 1), ("neg_out", "not_out", 0)], "cnt_out", "h0", "t0", "oi", EPOCH)
@@ -175,10 +179,10 @@ SQL = {
     "pair_distance": f"{_PROBS} SELECT src, dst, d FROM pr",
     "link_prob": f"{_PROBS} SELECT src, dst, round(p_undir, 9) AS p_undir, round(p12, 9) AS p12, round(p21, 9) AS p21, round(p_total, 9) AS p_total FROM pr",
     "prob_selector": f"{_PROBS} SELECT src, dst, " + ", ".join(f"round({v}, 9) AS k_{k}" for k, v in _SELECT.items()) + " FROM pr",
-    "choice_mask": f"WITH {GE}, {ND} SELECT node, {_keep(EPOCH, 0.8)} AS keep FROM nd",
+    "choice_mask": f"WITH {GE}, {ND} SELECT node, {keep_sql(EPOCH, 0.8)} AS keep FROM nd",
     "neighbour_sample": f"WITH {GE}, {ND}, {_IX}, {_used('all', EPOCH, 0.8)} SELECT node, nbr FROM used_all",
     "flip_candidates": f"WITH {GE}, {ND} SELECT node, t, l, CASE WHEN l = {_H * _K} THEN z ELSE xor(xor(z, 1::bigint << (l // {_K})::int), {draw_sql('1', chr(39) + 'm' + chr(39), chr(39) + 'z' + chr(39), str(EPOCH), 'node', 'l', 't')} % (1::bigint << (l // {_K})::int)) END AS cand FROM {_loc()}, (SELECT unnest(range({_H * _K + 1})) AS l)",
-    "batch_assign": f"WITH {GE}, {ND}, c AS (SELECT node, CASE WHEN {_keep(EPOCH, 0.8)} THEN count(*) ELSE 1 END AS cost FROM {_LINKS['all']} GROUP BY node) SELECT node, cost, floor((sum(cost) OVER (ORDER BY {draw_sql('1', chr(39) + 'batch' + chr(39), str(EPOCH), 'node')}, node) - cost) / 512)::bigint AS batch FROM c",
+    "batch_assign": f"WITH {GE}, {ND}, c AS (SELECT node, CASE WHEN {keep_sql(EPOCH, 0.8)} THEN count(*) ELSE 1 END AS cost FROM {LINKS['all']} GROUP BY node) SELECT node, cost, floor((sum(cost) OVER (ORDER BY {draw_sql('1', chr(39) + 'batch' + chr(39), str(EPOCH), 'node')}, node) - cost) / 512)::bigint AS batch FROM c",
     "node_mrr": f"""WITH {GE}, {ND}, {_IX}, {_OI}, z0 AS MATERIALIZED {_loc()},
 drawn AS (SELECT src, dst, i, {draw_sql('1', "'nm'", 'src', 'dst', 'i')} % (SELECT n FROM nn) AS idx FROM e, (SELECT unnest(range({RATIO})) AS i)),
 pairs AS (SELECT row_number() OVER () AS id, * FROM (SELECT src, dst, dst AS v, 1 AS own FROM e UNION ALL SELECT src, dst, node, 0 FROM drawn JOIN ix USING (idx))),

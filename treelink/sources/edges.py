@@ -121,8 +121,15 @@ def gnp_edges(n: int, p: float, seed: int, is_directed: bool) -> int:
 
 
 def gnp_graph(spark: SparkSession, n: int, p: float, seed: int = 42, is_directed: bool = True) -> DataFrame:
-    """G(n, p): a binomial number of distinct uniform pairs without loops, the first that counters draw. Work grows with edges, not with pairs."""
-    scratch, want = Scratch(spark, "gnp"), gnp_edges(n, p, seed, is_directed)
+    """G(n, p): a binomial number of distinct uniform pairs without loops. Work grows with edges, not with pairs."""
+    return exact_graph(spark, n, gnp_edges(n, p, seed, is_directed), seed, is_directed)
+
+
+def exact_graph(spark: SparkSession, n: int, want: int, seed: int = 42, is_directed: bool = True) -> DataFrame:
+    """G(n, m): want distinct uniform pairs of n nodes without loops, the first that counters draw."""
+    if want > n * (n - 1) // (1 if is_directed else 2):
+        raise ValueError(f"{n} nodes have fewer than {want} pairs")
+    scratch = Scratch(spark, "gnp")
     draws = 2 * want + 16
     while True:
         e = spark.range(draws).select("id", (draw(seed, "u", F.col("id")) % n).alias("a"), (draw(seed, "v", F.col("id")) % n).alias("b")).filter("a <> b")
