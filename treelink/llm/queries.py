@@ -28,8 +28,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Setting of the session that holds the secret key of surrogates; without it a key for tests is used.
+PII_KEY = "spark.treelink.pii.key"
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = replace_pii(table(spark, sf_dir, "documents"), key="corpus-key")
+    new = replace_pii(table(spark, sf_dir, "documents"), key=spark.conf.get(PII_KEY, "corpus-key"))
     return new.select("doc_id", "n_entities", F.array_join("kinds", ",").alias("kinds"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 

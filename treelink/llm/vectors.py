@@ -1,6 +1,6 @@
 """Maximum inner product search with score-aware (anisotropic) product quantisation and four-bit table scans.
 
-Vectors are coded as a length and 16 centres in each subspace of two dimensions of their direction. Codes and centres minimise a loss
+Vectors are coded as a length and, for each dimension of their direction (or subspace of `width` dimensions), one of 16 centres. Codes and centres minimise a loss
 in which residual error along the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres
 are fitted on at most about 2 `sample_rows` directions picked by a hash; every vector is coded and searched. Lengths stay double numbers,
 so a few very long vectors spoil no centre. Equal vectors are one code with their smallest ids. A block of queries meets each block of
@@ -125,7 +125,7 @@ def is_usable(v: Column, dims: int) -> Column:
     return v.isNotNull() & (F.size(v) == dims) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 100, sample_rows: int = 20_000, width: int = 2, eta: float = 4.0) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 200, sample_rows: int = 20_000, width: int = 1, eta: float = 4.0) -> DataFrame:
     """query_id, rank, vec_id, score for columns vec_id and embedding. is_query marks the rows to search for."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     nothing = "query_id long, rank int, vec_id long, score double"
@@ -148,8 +148,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 1
         return spark.createDataFrame([], nothing)
     reps = scratch.save(v.join(reps, "uid").select(F.col("uid").alias("did"), "e"), "distinct")
     part = int(np.ceil(min(1.0, sample_rows / n) * 1_000_000))
-    picked = reps.filter(F.pmod(F.xxhash64("did"), F.lit(1_000_000)) < part).select("e").limit(2 * sample_rows).toPandas()
-    sample = np.array(picked["e"].tolist() or reps.select("e").limit(1).toPandas()["e"].tolist(), np.float64)
+    # By a hash of the vector and in an order, so that centres don't depend on how rows are dealt out.
+    picked = reps.filter(F.pmod(F.xxhash64(F.lit(11), "e"), F.lit(1_000_000)) < part).select("e").limit(2 * sample_rows).toPandas()
+    sample = np.array(picked["e"].tolist() or reps.orderBy(F.xxhash64("e"), "e").select("e").limit(1).toPandas()["e"].tolist(), np.float64)
+    sample = sample[np.lexsort(sample.T)]
     coder = AnisotropicCoder(dims, width, eta).fit(directions(sample)[0])
 
     blocks = -(-n // BLOCK)
