@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
 from ..scratch import Scratch
+from .moves import lengths
 from .order import prefix_sums
 
 
@@ -57,14 +60,75 @@ def node_mrr(edges: DataFrame, score, ids: DataFrame, n: int, ratio: int = 100,
     return per.agg(F.round(F.avg(F.lit(1.0) / (F.col("above") + 1)), 9).alias("mrr_opt"), F.round(F.avg(F.lit(1.0) / (F.col("upto") + 1)), 9).alias("mrr_pess"))
 
 
+def node_mrr_blocks(edges: DataFrame, model, ids: DataFrame, n: int, ratio: int = 1000, seed: int = 1, block: int = 1 << 17, rows: int = 1 << 14) -> DataFrame:
+    """node_mrr of a model (of operators.training), without a row for each negative.
+
+    An edge's negatives are drawn as one array, cut by blocks of `block` nodes. The places and degrees of a block's nodes meet the cut
+    arrays of a slice of about `rows` edges in one task, which looks them up there and counts those that rank above; counts of blocks add up.
+    Shuffled are 4 bytes a negative, and the nodes once for each slice.
+    """
+    cfg, scratch = model.cfg, Scratch(edges.sparkSession, "node-mrr")
+    head, tail = (model.vectors.get("z", model.vectors.get(x)) for x in ("head", "tail"))
+    place = lambda of, d, z, deg: of.join(model.deg, "node", "left").select("node", F.col("z").alias(z), F.coalesce(d, F.lit(0)).cast("double").alias(deg))
+    e = edges.select("src", "dst").join(place(head, "d1", "z1", "deg1").withColumnRenamed("node", "src"), "src").join(place(tail, "d2", "z2", "deg2").withColumnRenamed("node", "dst"), "dst")
+    blocks, slices = -(-n // block), max(1, -(-edges.count() // rows))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(ratio - 1)), lambda i: draw(seed, "nm", F.col("src"), F.col("dst"), i) % n)
+    e = e.withColumn("drawn", drawn).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("slice", F.pmod(F.xxhash64("src", "dst"), F.lit(slices)).cast("int"))
+    own = F.filter("drawn", lambda x: (x >= F.col("block") * block) & (x < (F.col("block") + 1) * block)) if blocks > 1 else F.col("drawn")
+    e = e.select("block", "slice", "src", "dst", "z1", "deg1", "z2", "deg2", F.transform(own, lambda x: (x - F.col("block") * block).cast("int")).alias("drawn"))
+    nodes = ids.join(place(tail, "d2", "z", "deg"), "node").select(F.floor(F.col("idx") / block).cast("int").alias("block"), (F.col("idx") % block).cast("int").alias("at"), "z", "deg")
+    nodes = nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def score(total: np.ndarray, deg1: np.ndarray, deg2: np.ndarray) -> np.ndarray:
+        """link_probability, rounded as ranks compare it."""
+        norm = np.log((deg1 + 1) * (deg2 + 1))
+        with np.errstate(divide="ignore"):
+            p = 1 / (1 + ((total / cfg.dims + cfg.eps) / norm) ** cfg.gamma / cfg.alpha)
+        return np.round(np.where(norm > 0, p, 0.0), 9)
+
+    def counted(asks: pa.Table, near: pa.Table) -> pa.Table:
+        out = {c: np.zeros(0, np.int64) for c in ("src", "dst", "above", "upto")}
+        if asks.num_rows:
+            matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(-1, cfg.dims)
+            z, deg = np.zeros((block, cfg.dims), np.int64), np.zeros(block)
+            if near.num_rows:
+                at = np.asarray(near["at"])
+                z[at], deg[at] = matrix(near["z"]), np.asarray(near["deg"])
+            z1, deg1 = matrix(asks["z1"]), np.asarray(asks["deg1"])
+            mine = score(lengths(z1 ^ matrix(asks["z2"]), cfg.height).sum(axis=1, dtype=np.int64), deg1, np.asarray(asks["deg2"]))
+            lists = asks["drawn"].combine_chunks()
+            offsets, values = np.asarray(lists.offsets), np.asarray(lists.flatten())
+            offsets = offsets - offsets[0]
+            out = {"src": np.asarray(asks["src"]), "dst": np.asarray(asks["dst"]), "above": np.zeros(len(z1), np.int64), "upto": np.zeros(len(z1), np.int64)}
+            step = max(1, (1 << 20) // max(1, ratio * cfg.dims))
+            for i in range(0, len(z1), step):
+                j = min(len(z1), i + step)
+                who = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]))
+                at = values[offsets[i] : offsets[j]]
+                other = score(lengths(z1[who] ^ z[at], cfg.height).sum(axis=1, dtype=np.int64), deg1[who], deg[at])
+                out["above"][i:j] = np.bincount(who - i, other > mine[who], j - i)
+                out["upto"][i:j] = np.bincount(who - i, other >= mine[who], j - i)
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    per = e.groupBy("block", "slice").cogroup(nodes.groupBy("block", "slice")).applyInArrow(counted, "src long, dst long, above long, upto long")
+    per = scratch.save(per, "counts").groupBy("src", "dst").agg(F.sum("above").alias("above"), F.sum("upto").alias("upto"))
+    return per.agg(F.round(F.avg(F.lit(1.0) / (F.col("above") + 1)), 9).alias("mrr_opt"), F.round(F.avg(F.lit(1.0) / (F.col("upto") + 1)), 9).alias("mrr_pess"))
+
+
 def all_metrics(scored: DataFrame, by_node: DataFrame | None = None, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
     """ranking_metrics, with the mean reciprocal ranks of by_node (a row of node_mrr) in place of those over all negatives where it is given."""
     out = ranking_metrics(scored, ks)
     return out if by_node is None else out.drop("mrr_opt", "mrr_pess").crossJoin(by_node)  # one row each
 
 
+def run_grid(runs: DataFrame, by: list[str], turn: str, turns: list[int]) -> DataFrame:
+    """runs with a row of nulls for each of the expected turns that a group has no run of."""
+    expected = runs.select(*by).distinct().withColumn(turn, F.explode(F.array(*[F.lit(t) for t in turns])))
+    return expected.join(runs, [*by, turn], "left")
+
+
 def run_summary(runs: DataFrame, by: list[str], metrics: list[str], missing_as_zero: bool = False) -> DataFrame:
-    """Mean and population standard deviation of each metric in percent, as text. Runs without a value are left out, or count as 0 if asked for."""
+    """Mean and population standard deviation of each metric in percent, as text. Runs without a value are left out, or count as 0 if asked for; run_grid adds those without a row."""
     value = lambda m: F.coalesce(F.col(m), F.lit(0.0)) if missing_as_zero else F.col(m)
     text = lambda m: F.format_string("%.2f±%.2f", F.avg(value(m)) * 100, F.stddev_pop(value(m)) * 100)
     return runs.groupBy(*by).agg(*[text(m).alias(m) for m in metrics])

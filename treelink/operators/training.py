@@ -6,18 +6,21 @@ losses are relational; only the sums over candidates are numpy, in tasks that ho
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import logging
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, link_probability, log_loss, pair_distance, selected
-from ..scratch import Scratch, temporary
+from ..scratch import Scratch, delete_path, read_file, temporary, write_text
 from . import graph as g
 from . import moves
 from .metrics import ranking_metrics
@@ -306,13 +309,43 @@ def step(model: Model, links: dict[str, DataFrame], ids: DataFrame, n: int, epoc
     return out
 
 
-def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: DataFrame | None = None) -> tuple[Model, list[dict]]:
+class Progress:
+    """Coordinates after each epoch in a folder, and a manifest that is written last, from which a lost run goes on.
+
+    The manifest names the epoch and holds the history and what the run is of; the epoch before the last stays until it is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run: dict):
+        self.spark, self.path, self.run = spark, path, run
+
+    def found(self) -> dict | None:
+        """The last manifest, if it is of the same run."""
+        text = read_file(self.spark, f"{self.path}/manifest.json")
+        state = json.loads(text) if text else None
+        if state and state["run"] != self.run:
+            raise ValueError(f"{self.path} holds another run: {state['run']}")
+        return state
+
+    def vectors(self, state: dict) -> dict[str, DataFrame]:
+        return {k: self.spark.read.parquet(f"{self.path}/epoch-{state['epoch']}/{k}") for k in state["vectors"]}
+
+    def put(self, epoch: int, vectors: dict[str, DataFrame], history: list[dict]) -> None:
+        for k, v in vectors.items():
+            v.write.mode("overwrite").parquet(f"{self.path}/epoch-{epoch}/{k}")
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"run": self.run, "epoch": epoch, "vectors": list(vectors), "history": history}))
+        delete_path(self.spark, f"{self.path}/epoch-{epoch - 1}")
+
+
+def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: DataFrame | None = None, resume: str | None = None, until: int | None = None) -> tuple[Model, list[dict]]:
     """A model trained on edges, and a row of history for each epoch.
 
     test: src, dst, label; every eval_step epochs and at the end its ranking metrics join the history. Each step's coordinates are
     written to the shared folder, and those before are dropped. Within an epoch, batches of edge_cap links move one after the other.
+    resume: a folder in which epochs are kept; a run whose driver was lost goes on after the last one there and ends with the same
+    coordinates, as all that is drawn depends on epoch and node alone. until: the epoch to stop before, for a run in several parts.
     """
-    scratch = Scratch(edges.sparkSession, "train")
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "train")
+    progress = resume and Progress(spark, resume, {"variant": variant, "config": json.loads(json.dumps(dataclasses.asdict(cfg)))})
     e = scratch.save(g.undirected(edges) if variant == "undir" else g.directed(edges), "edges")
     model = start(e, cfg, variant)
     links = {k: scratch.save(v, f"links-{k}") for k, v in links_of(e, variant).items()}
@@ -320,8 +353,11 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
     n = ids.count()
     model = replace(model, deg=scratch.save(model.deg, "deg"), vectors={k: scratch.save(v, f"{k}-start") for k, v in model.vectors.items()})
     cap = cfg.edge_cap and max(cfg.edge_cap, -(-sum(v.count() for v in links.values()) // cfg.max_batches))
-    history, before = [], {k: f"{k}-start" for k in model.vectors}
-    for epoch in range(cfg.epochs):
+    history, before, first = [], {k: f"{k}-start" for k in model.vectors}, 0
+    state = progress.found() if progress else None
+    if state:
+        model, history, first = replace(model, vectors=progress.vectors(state)), state["history"], state["epoch"] + 1
+    for epoch in range(first, cfg.epochs if until is None else min(until, cfg.epochs)):
         batches, plan = 1, None
         if cap:
             with temporary():
@@ -333,10 +369,10 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
             with temporary():
                 moved = step(model, links, ids, n, epoch, plan.filter(F.col("batch") == b).select("node") if batches > 1 else None)
                 for k, m in moved.items():
-                    label = f"{k}-{epoch}-{b}"
-                    m = scratch.save(m, f"moved-{label}")
-                    r = m.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("loss", "pos", "neg")]).first()
-                    sums += np.array([float(x) for x in r])
+                    label, seen = f"{k}-{epoch}-{b}", Observation()
+                    of_write = [F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("loss", "pos", "neg")]]
+                    m = scratch.save(m.observe(seen, *of_write), f"moved-{label}")
+                    sums += np.array([float(seen.get[c]) for c in ("n", "loss", "pos", "neg")])
                     put = model.vectors[k].join(m.select("node", F.col("z").alias("new")), "node", "left").select("node", F.coalesce("new", "z").alias("z"))
                     vectors[k] = scratch.save(put, label)
             model = replace(model, vectors=vectors)
@@ -347,6 +383,8 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
             row |= evaluate(model, test)
         log.info("%s", row)
         history.append(row)
+        if progress:
+            progress.put(epoch, model.vectors, history)
     return model, history
 
 
@@ -356,6 +394,36 @@ def evaluate(model: Model, test: DataFrame) -> dict[str, float]:
         return ranking_metrics(model.score(test)).first().asDict()
 
 
-def sweep(runs: list[tuple[dict, DataFrame, DataFrame, TrainConfig, str]]) -> list[dict]:
-    """Train and evaluate each run (names, train edges, test pairs, config, variant); a row of names and metrics for each."""
-    return [names | evaluate(train(edges, cfg, variant)[0], test) for names, edges, test, cfg, variant in runs]
+def sweep(runs: list[tuple[dict, DataFrame, DataFrame, TrainConfig, str]], at_once: int = 1) -> list[dict]:
+    """Train and evaluate each run (names, train edges, test pairs, config, variant); a row of names and metrics for each, in their order.
+
+    at_once: runs whose jobs share the cluster, each in a pool of its own; where the session's scheduler is FAIR they take turns by task.
+    """
+
+    def run(i: int, names: dict, edges: DataFrame, test: DataFrame, cfg: TrainConfig, variant: str) -> dict:
+        sc = edges.sparkSession.sparkContext
+        sc.setLocalProperty("spark.scheduler.pool", f"sweep-{i % at_once}")
+        try:
+            return names | evaluate(train(edges, cfg, variant)[0], test)
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return list(pool.map(lambda x: run(x[0], *x[1]), enumerate(runs)))
+
+
+def sweep_grid(edges: DataFrame, ratios: list[float], seeds: list[int], cfg: TrainConfig, variant: str = "undir", neg_ratio: float = 1, at_once: int = 2) -> DataFrame:
+    """ratio, seed and ranking metrics of a run for each ratio of a random split and each seed; a row a run."""
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "sweep")
+    e = scratch.save(g.undirected(edges) if variant == "undir" else g.directed(edges), "edges")
+    runs = []
+    for ratio in ratios:
+        for seed in seeds:
+            s = scratch.save(g.random_split(e, ratio, seed), f"split-{ratio}-{seed}")
+            own = s.filter("part = 'train'").select("src", "dst")
+            pos = scratch.save(g.transductive(s.filter("part = 'test'"), own), f"test-{ratio}-{seed}")
+            neg = g.negatives_for(own, pos, neg_ratio, seed, strict=variant == "undir")
+            test = scratch.save(pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))), f"pairs-{ratio}-{seed}")
+            runs.append(({"ratio": ratio, "seed": seed}, own, test, replace(cfg, seed=seed), variant))
+    rows = sweep(runs, at_once)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'bigint' if k == 'seed' else 'double'}" for k in rows[0]))

@@ -87,6 +87,19 @@ def node_mrr(spark: SparkSession, d: str) -> DataFrame:
     return m.node_mrr(e, lambda pairs: model.score(pairs).withColumn("score", F.round("score", 9)), ids, ids.count(), RATIO)
 
 
+def node_mrr_many(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand negatives an edge, looked up in blocks of 64 nodes."""
+    e = Scratch(spark, "node-mrr").save(g.directed(ge(spark, d)), "edges")
+    ids = Scratch(spark, "node-mrr").save(g.node_map(e), "ids")
+    return m.node_mrr_blocks(e, t.start(e, CFG, "sr"), ids, ids.count(), 1000, block=64)
+
+
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and standard deviation over two seeds for each of two splits of GE."""
+    rows = t.sweep_grid(ge(spark, d), [0.5, 0.8], [1, 2], replace(CFG, epochs=1))
+    return rows.groupBy("ratio").agg(*[f(c).alias(f"{c}_{n}") for c in ("roc_auc", "average_precision", "f1") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def trained(spark: SparkSession, d: str) -> DataFrame:
     """Two portable epochs of the undirected loop: what SQL repeats step by step."""
     model, _ = t.train(ge(spark, d), replace(CFG, convergence=0.5), "undir")
@@ -107,6 +120,8 @@ QUERIES = {
     "flip_candidates": flips,
     "batch_assign": batches,
     "node_mrr": node_mrr,
+    "node_mrr_1000": node_mrr_many,
+    "sweep_summary": swept,
 }
 
 _H, _K = CFG.height, CFG.per_level
@@ -183,11 +198,11 @@ SQL = {
     "neighbour_sample": f"WITH {GE}, {ND}, {_IX}, {_used('all', EPOCH, 0.8)} SELECT node, nbr FROM used_all",
     "flip_candidates": f"WITH {GE}, {ND} SELECT node, t, l, CASE WHEN l = {_H * _K} THEN z ELSE xor(xor(z, 1::bigint << (l // {_K})::int), {draw_sql('1', chr(39) + 'm' + chr(39), chr(39) + 'z' + chr(39), str(EPOCH), 'node', 'l', 't')} % (1::bigint << (l // {_K})::int)) END AS cand FROM {_loc()}, (SELECT unnest(range({_H * _K + 1})) AS l)",
     "batch_assign": f"WITH {GE}, {ND}, c AS (SELECT node, CASE WHEN {keep_sql(EPOCH, 0.8)} THEN count(*) ELSE 1 END AS cost FROM {LINKS['all']} GROUP BY node) SELECT node, cost, floor((sum(cost) OVER (ORDER BY {draw_sql('1', chr(39) + 'batch' + chr(39), str(EPOCH), 'node')}, node) - cost) / 512)::bigint AS batch FROM c",
-    "node_mrr": f"""WITH {GE}, {ND}, {_IX}, {_OI}, z0 AS MATERIALIZED {_loc()},
-drawn AS (SELECT src, dst, i, {draw_sql('1', "'nm'", 'src', 'dst', 'i')} % (SELECT n FROM nn) AS idx FROM e, (SELECT unnest(range({RATIO})) AS i)),
+    **{name: f"""WITH {GE}, {ND}, {_IX}, {_OI}, z0 AS MATERIALIZED {_loc()},
+drawn AS (SELECT src, dst, i, {draw_sql('1', "'nm'", 'src', 'dst', 'i')} % (SELECT n FROM nn) AS idx FROM e, (SELECT unnest(range({ratio})) AS i)),
 pairs AS (SELECT row_number() OVER () AS id, * FROM (SELECT src, dst, dst AS v, 1 AS own FROM e UNION ALL SELECT src, dst, node, 0 FROM drawn JOIN ix USING (idx))),
 dist AS (SELECT id, avg({BITS.format(a='a.z', b='b.z')})::double AS d FROM pairs JOIN z0 a ON a.node = src JOIN z0 b ON b.node = v AND b.t = a.t GROUP BY 1),
 sc AS (SELECT src, dst, own, round({_P('d', 'a.d1', 'b.d2')}, 9) AS s FROM pairs JOIN dist USING (id) JOIN oi a ON a.node = src JOIN oi b ON b.node = v),
 rk AS (SELECT src, dst, sum(CASE WHEN own = 0 AND s > o THEN 1 ELSE 0 END) AS above, sum(CASE WHEN own = 0 AND s >= o THEN 1 ELSE 0 END) AS upto FROM (SELECT *, max(CASE WHEN own = 1 THEN s END) OVER (PARTITION BY src, dst) AS o FROM sc) GROUP BY 1, 2)
-SELECT round(avg(1.0::double / (above + 1)), 9) AS mrr_opt, round(avg(1.0::double / (upto + 1)), 9) AS mrr_pess FROM rk""",
+SELECT round(avg(1.0::double / (above + 1)), 9) AS mrr_opt, round(avg(1.0::double / (upto + 1)), 9) AS mrr_pess FROM rk""" for name, ratio in (("node_mrr", RATIO), ("node_mrr_1000", 1000))},
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -42,12 +43,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_lock, _writes = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The session drops shuffle files at the end of executions as long as any thread writes."""
+    key = id(spark)
+    with _lock:
+        n, before = _writes.get(key, (0, spark.conf.get(CLEANUP, "false")))
+        _writes[key] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writes[key]
+            _writes[key] = (n - 1, before)
+            if n == 1:
+                del _writes[key]
+                spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and lost executors cost only their tasks."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.thread = threading.get_ident()
         _live.append(self)
 
     def path(self, name: str) -> str:
@@ -55,13 +79,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df, let Spark delete the shuffle files that the write needed, and read it back."""
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
+        with _cleaning(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -77,12 +96,12 @@ class Scratch:
 
 @contextlib.contextmanager
 def temporary() -> Iterator[None]:
-    """Tables that are saved for frames inside go at its end. Write or count what you want of these frames before that."""
+    """Tables that this thread saves for frames inside go at its end. Write or count what you want of these frames before that."""
     before = set(map(id, _live))
     try:
         yield
     finally:
-        for s in [s for s in _live if id(s) not in before]:
+        for s in [s for s in _live if id(s) not in before and s.thread == threading.get_ident()]:
             s.end()
 
 
@@ -94,6 +113,27 @@ def release() -> None:
             s.end()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside its place and renamed."""
+    jvm = spark.sparkContext._jvm
+    target, draft = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(draft, target)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if the counted size allows it, else the plain frame for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.metrics import run_summary
+from ..operators.metrics import run_grid, run_summary
 from ..operators.training import Model, TrainConfig
 
 
@@ -40,9 +40,10 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def write_summary(runs: DataFrame, by: list[str], metrics: list[str], path: str) -> None:
-    """run_summary as CSV with a header."""
-    run_summary(runs, by, metrics).coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row per dataset and ratio
+def write_summary(runs: DataFrame, by: list[str], metrics: list[str], path: str, turns: list[int] | None = None, missing_as_zero: bool = False) -> None:
+    """run_summary as CSV with a header; turns: those that every group should have a row of."""
+    runs = run_grid(runs, by, "turn", turns) if turns else runs
+    run_summary(runs, by, metrics, missing_as_zero).coalesce(1).write.mode("overwrite").csv(path, header=True)  # a row per dataset and ratio
 
 
 def write_history(spark: SparkSession, history: list[dict], path: str) -> None:
