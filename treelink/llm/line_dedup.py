@@ -4,9 +4,10 @@ A line's id is two 64-bit hashes of it without the blanks at its ends. Prefix do
 first 1, 2, 4, ... lines: a round sorts pairs of ranks by ranges and counts, so that a rank is the place in the suffix array where the
 suffixes that agree so far begin; only suffixes whose class can still be split take part in the next round, and rounds end when none
 is. Suffixes that agree in `min_lines` lines lie side by side and form a longest-common-prefix interval; their rank after that round
-names it. In each interval the first suffix in the order of (doc_id, line) is the copy that stays, and `min_lines` lines from each later
-one are deleted. A maximal repeated run is the union of the intervals' runs, so all of it but the first copy goes. A copy that overlaps
-the first one in the same document is no later copy: in `a a a b` nothing is deleted, and of `a a a a` the last two lines are.
+names it. In each interval the first suffix in the order of (doc_id, line) is the copy that stays. A later one begins a maximal run
+unless the line before it goes on from the line before that copy; its common prefix with the copy is found by comparing their ranks of
+1, 2, 4, ... lines from the widest down, and that many lines are deleted: the whole repeated run in one piece. A copy that overlaps the
+first one in the same document is no later copy: in `a a a b` nothing is deleted, and of `a a a a` the last two lines are.
 A single line of at least `min_words` words (separated by spaces and tabs) is a run too, whatever its neighbours are, so a passage
 on one line and a document of one line are found as well.
 
@@ -37,13 +38,17 @@ def document_lines(docs: DataFrame, scratch: Scratch, min_words: int) -> DataFra
     return scratch.save(numbered(texts, ["first", "tk"], "dn"), "documents")
 
 
-def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
-    """dn, k, rank, top for lines (dn, k, a, b): where in the suffix array the suffixes begin that equal this one to its end, and those that agree with it in `depth` lines (a power of two); top is null where fewer lines follow."""
+def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int, widths: dict[int, DataFrame] | None = None) -> DataFrame:
+    """dn, k, rank, top for lines (dn, k, a, b): where in the suffix array the suffixes begin that equal this one to its end, and those that agree with it in `depth` lines (a power of two); top is null where fewer lines follow.
+
+    widths gets, by number of lines (1, 2, 4, ...), dn, k and rank of the suffixes that agree in so many with another one.
+    """
     classes = lines.groupBy("a", "b").agg(F.count("*").alias("c"))
     with temporary():
         state = lines.join(prefix_sums(classes, ["a", "b"], {"rank": F.col("c")}), ["a", "b"]).select("dn", "k", "rank", (F.col("c") > 1).alias("live"))
         state = scratch.save(state.withColumn("top", F.lit(None).cast("bigint")), "ranks-1")
-    width = 1
+    width, widths = 1, {} if widths is None else widths
+    widths[1] = scratch.save(state.filter("live").select("dn", "k", "rank"), "shared-1")
     while True:
         ahead = Window.partitionBy("dn").orderBy("k")
         then = F.coalesce(F.lead("rank", width).over(ahead), F.lit(-1))  # a suffix that ends comes first
@@ -57,7 +62,9 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
         state = moved.unionByName(pairs.filter("not live").select("dn", "k", "rank", "live", "top", "full"))
         if 2 * width == depth:  # a suffix of fewer lines is in no interval of this depth
             state = state.withColumn("top", F.when(F.col("full"), F.col("rank")))
-        state = scratch.save(state.drop("full"), f"ranks-{2 * width}")
+        state = scratch.save(state, f"ranks-{2 * width}")
+        widths[2 * width] = scratch.save(state.filter("live and full").select("dn", "k", "rank"), f"shared-{2 * width}")
+        state = state.drop("full")
         split = starts.filter("parts > 1").limit(1).count()
         scratch.drop(f"ranks-{width}", f"pairs-{width}", f"order-{width}")
         width *= 2
@@ -65,6 +72,20 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
             return state.drop("live")
 
 
+def maximal_runs(later: DataFrame, widths: dict[int, DataFrame]) -> DataFrame:
+    """dn, k, n: runs of n lines that later copies (dn, k, f: dn and k of the first copy) begin, as long as they agree with the first copy."""
+    before = F.lag(F.struct("k", "f")).over(Window.partitionBy("dn").orderBy("k"))
+    goes_on = (before["k"] == F.col("k") - 1) & (before["f"]["dn"] == F.col("f")["dn"]) & (before["f"]["k"] == F.col("f")["k"] - 1)
+    runs = later.withColumn("inside", F.coalesce(goes_on, F.lit(False))).filter("not inside").select("dn", "k", F.col("f.dn").alias("fd"), F.col("f.k").alias("fk"), F.lit(0).alias("n"))
+    for width in sorted(widths, reverse=True):
+        own = widths[width].select(F.col("dn").alias("od"), F.col("k").alias("ok"), F.col("rank").alias("own"))
+        first = widths[width].select(F.col("dn").alias("pd"), F.col("k").alias("pk"), F.col("rank").alias("that"))
+        runs = runs.join(own, (F.col("dn") == F.col("od")) & (F.col("k") + F.col("n") == F.col("ok")), "left")
+        runs = runs.join(first, (F.col("fd") == F.col("pd")) & (F.col("fk") + F.col("n") == F.col("pk")), "left")
+        runs = runs.select("dn", "k", "fd", "fk", (F.col("n") + F.when(F.col("own") == F.col("that"), width).otherwise(0)).alias("n"))
+    return runs.select("dn", "k", "n")
+
+
 def deleted_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """tk, first, gone, whole: for each distinct text with a run that is a later copy, or that several documents may have, its first doc_id, the numbers of its lines that go in that document, and those that go in the others."""
     if min_lines < 2 or min_lines & (min_lines - 1):
@@ -79,12 +100,14 @@ def _deleted(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     texts = document_lines(docs, scratch, min_words)
     lines = texts.select("dn", F.posexplode("lines").alias("k", "x")).select("dn", "k", "x.a", "x.b", "x.w")
     lines = scratch.save(lines, "lines")
-    ranks = suffix_ranks(lines.select("dn", "k", "a", "b"), scratch, min_lines)
+    widths: dict[int, DataFrame] = {}
+    ranks = suffix_ranks(lines.select("dn", "k", "a", "b"), scratch, min_lines, widths)
     place = F.struct("dn", "k")
     found = ranks.filter("top is not null").select("dn", "k", F.col("top").alias("run"))
     first = found.groupBy("run").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l").select("run", "f")
     later = found.join(first, "run").filter((F.col("dn") != F.col("f.dn")) | (F.col("k") >= F.col("f.k") + min_lines))
-    later = later.select("dn", F.explode(F.sequence(F.col("k"), F.col("k") + (min_lines - 1))).alias("k"))
+    later = scratch.save(maximal_runs(scratch.save(later.select("dn", "k", "f"), "later"), widths), "runs")
+    later = later.select("dn", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k"))
     single = lines.filter("w")
     alone = single.groupBy("a", "b").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l").select("a", "b", "f")
     later = later.unionByName(single.join(alone, ["a", "b"]).filter(place > F.col("f")).select("dn", "k"))
