@@ -16,13 +16,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, link_probability, log_loss, pair_distance, selected
 from ..scratch import Scratch, delete_path, read_file, temporary, write_text
 from . import graph as g
 from . import moves
+from .layout import Laid, in_batches, kept, lay, messages
 from .metrics import ranking_metrics
 from .order import next_fit, prefix_sums
 
@@ -115,18 +116,13 @@ def links_of(edges: DataFrame, variant: str) -> dict[str, DataFrame]:
 
 def choice_mask(nodes: DataFrame, cfg: TrainConfig, epoch: int) -> DataFrame:
     """node, keep: whether the node uses all its links in this epoch."""
-    return nodes.select("node", _keep(cfg, epoch).alias("keep"))
-
-
-def _keep(cfg: TrainConfig, epoch: int) -> Column:
-    masked = epoch <= cfg.convergence * cfg.epochs
-    return (draw(cfg.seed, "mask", epoch, F.col("node")) % 1000 < int(cfg.mask_share * 1000)) if masked else F.lit(True)
+    return nodes.select("node", kept(cfg, epoch).alias("keep"))
 
 
 def neighbour_sample(links: DataFrame, cfg: TrainConfig, epoch: int, kind: str = "all") -> DataFrame:
     """node, nbr: all links of a node that keeps them, one uniform link of any other."""
     one = links.groupBy("node").agg(F.min_by("nbr", draw(cfg.seed, "one", kind, epoch, F.col("node"), F.col("nbr"))).alias("only"))
-    return links.join(one, "node").filter(_keep(cfg, epoch) | (F.col("nbr") == F.col("only"))).select("node", "nbr")
+    return links.join(one, "node").filter(kept(cfg, epoch) | (F.col("nbr") == F.col("only"))).select("node", "nbr")
 
 
 def drawn_negatives(used: DataFrame, ids: DataFrame, n: int, cfg: TrainConfig, epoch: int, kind: str = "all") -> DataFrame:
@@ -152,7 +148,7 @@ def batch_assign(nodes: DataFrame, links: DataFrame, cfg: TrainConfig, epoch: in
     brim one after the other would need one task for all nodes.
     """
     per = links.groupBy("node").agg(F.count("*").alias("links"))
-    cost = nodes.select("node").join(per, "node").select("node", F.when(_keep(cfg, epoch), F.col("links")).otherwise(F.lit(1)).cast("bigint").alias("cost"))
+    cost = nodes.select("node").join(per, "node").select("node", F.when(kept(cfg, epoch), F.col("links")).otherwise(F.lit(1)).cast("bigint").alias("cost"))
     run = prefix_sums(cost.withColumn("r", draw(cfg.seed, "batch", epoch, F.col("node"))), ["r", "node"], {"before": F.col("cost")})
     return run.select("node", "cost", F.floor(F.col("before") / cap).cast("bigint").alias("batch"))
 
@@ -164,7 +160,7 @@ def batch_costs(links: dict[str, DataFrame], cfg: TrainConfig, epoch: int) -> Da
         rows = rows.select("node", F.lit(kind).alias("kind"))
         kinds = rows if kinds is None else kinds.unionByName(rows)
     per = kinds.groupBy("node", "kind").agg(F.count("*").alias("n"))
-    return per.groupBy("node").agg(F.sum(F.when(_keep(cfg, epoch), F.col("n")).otherwise(F.lit(1))).cast("bigint").alias("cost"))
+    return per.groupBy("node").agg(F.sum(F.when(kept(cfg, epoch), F.col("n")).otherwise(F.lit(1))).cast("bigint").alias("cost"))
 
 
 def batch_pack(links: dict[str, DataFrame], cfg: TrainConfig, epoch: int, cap: int) -> DataFrame:
@@ -244,27 +240,26 @@ def _groups_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def move(rows: DataFrame, cfg: TrainConfig, epoch: int, name: str = "z") -> DataFrame:
-    """node, z (where it moves), loss, pos, neg for rows of with_ends. Links of large nodes are summed by parts, so no task holds a hub's."""
-    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    rows = rows.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("nbr", "key"), F.col("parts")).cast("int"))
-    rows = rows.select("node", "part", "y", "key", "n12", "n21", "nbr", "parts", "cnt", "z1", "z2")
+    """node, z (where it moves), loss, pos, neg for rows of messages. Links of large nodes are summed by parts, so no task holds a hub's."""
     rows = rows.repartition("node", "part").sortWithinPartitions("node", "part", "y", "key", "n12", "n21", "nbr")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups_at_a_time(batches):
-            node, part = np.asarray(t["node"]), np.asarray(t["part"])
-            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (part[1:] != part[:-1])])
-            at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
-            z, other = _arrays(t["z1"].take(pa.array(starts)), cfg.dims), _arrays(t["z2"], cfg.dims)
-            cnt, parts = np.asarray(t["cnt"])[starts], np.asarray(t["parts"])[starts]
-            cand, rank = moves.candidates_of(node[starts], z, cfg, epoch, name)
-            tables, row = moves.loss_tables(np.asarray(t["key"].to_pylist()), np.asarray(t["n12"]), np.asarray(t["n21"]), cfg)
-            sums = moves.level_sums(at, z, other, np.asarray(t["y"]).astype(np.int64), tables, row, cand, cfg.height)
+            y, every = np.asarray(t["y"]).astype(np.int64), _arrays(t["z"], cfg.dims)
+            own = y < 0  # the node itself, the first row of its group
+            at, z, node = (np.cumsum(own) - 1)[~own], every[own], np.asarray(t["node"])[own]
+            cnt, parts = np.asarray(t["cnt"])[own], np.asarray(t["parts"])[own]
+            cand, rank = moves.candidates_of(node, z, cfg, epoch, name)
+            sums = np.zeros((len(node), 2, cfg.candidates, cfg.dims))
+            if len(at):
+                link = t.filter(pa.array(~own))
+                tables, row = moves.loss_tables(np.asarray(link["key"].to_pylist()), np.asarray(link["n12"]), np.asarray(link["n21"]), cfg)
+                sums = moves.level_sums(at, z, every[~own], y[~own], tables, row, cand, cfg.height)
             whole = parts == 1
             if whole.any():
-                yield _moved(node[starts][whole], moves.settle(z[whole], cand[whole], rank[whole], sums[whole], cnt[whole], cfg.weight), cnt[whole])
+                yield _moved(node[whole], moves.settle(z[whole], cand[whole], rank[whole], sums[whole], cnt[whole], cfg.weight), cnt[whole])
             if not whole.all():
-                yield _moved(node[starts][~whole], (z[~whole], None, None, None), cnt[~whole], [s.reshape(-1) for s in sums[~whole]])
+                yield _moved(node[~whole], (z[~whole], None, None, None), cnt[~whole], [s.reshape(-1) for s in sums[~whole]])
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         node, cnt, z = np.array(group["node"].iloc[:1]), np.array(group["cnt"].iloc[:1]), np.array([group["z"].iloc[0]], np.int64)
@@ -300,13 +295,11 @@ def start(edges: DataFrame, cfg: TrainConfig, variant: str) -> Model:
     return Model(variant, {n: init_coordinates(nodes, cfg, n) for n in names}, degrees_for(edges, variant != "undir", cfg.oi if variant == "dr" else 1), cfg)
 
 
-def step(model: Model, links: dict[str, DataFrame], ids: DataFrame, n: int, epoch: int, only: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One synchronous step: by vector, node, z, loss, pos, neg of the nodes that had links. only: nodes (node) that may move."""
-    out, opposite = {}, {"z": "z", "head": "tail", "tail": "head"}
-    for name, rows in branches(links, ids, n, model.cfg, epoch, model.variant).items():
-        rows = rows if only is None else rows.join(only, "node", "left_semi")
-        out[name] = move(with_ends(rows, model.vectors[name], model.vectors[opposite[name]], model.deg), model.cfg, epoch, name)
-    return out
+def step(model: Model, links: dict[str, DataFrame] | Laid, ids: DataFrame, n: int, epoch: int, batch: int | None = None) -> dict[str, DataFrame]:
+    """One synchronous step: by vector, node, z, loss, pos, neg of the nodes that had links. batch: of links laid by batch, the nodes that move."""
+    laid = links if isinstance(links, Laid) else lay(links, ids, model.deg, model.variant, HUB)
+    opposite = {"z": "z", "head": "tail", "tail": "head"}
+    return {name: move(messages(laid, name, model.vectors[name], model.vectors[opposite[name]], n, model.cfg, epoch, batch), model.cfg, epoch, name) for name in model.vectors}
 
 
 class Progress:
@@ -339,8 +332,8 @@ class Progress:
 def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: DataFrame | None = None, resume: str | None = None, until: int | None = None) -> tuple[Model, list[dict]]:
     """A model trained on edges, and a row of history for each epoch.
 
-    test: src, dst, label; every eval_step epochs and at the end its ranking metrics join the history. Each step's coordinates are
-    written to the shared folder, and those before are dropped. Within an epoch, batches of edge_cap links move one after the other.
+    test: src, dst, label; every eval_step epochs and at the end its ranking metrics join the history. Links are laid out once
+    (see layout), so that no step shuffles them. Each step's coordinates are written to the shared folder, and those before are dropped. Within an epoch, batches of edge_cap links move one after the other.
     resume: a folder in which epochs are kept; a run whose driver was lost goes on after the last one there and ends with the same
     coordinates, as all that is drawn depends on epoch and node alone. until: the epoch to stop before, for a run in several parts.
     """
@@ -351,33 +344,39 @@ def train(edges: DataFrame, cfg: TrainConfig, variant: str = "undir", test: Data
     links = {k: scratch.save(v, f"links-{k}") for k, v in links_of(e, variant).items()}
     ids = scratch.save(g.node_map(e), "ids")
     n = ids.count()
-    model = replace(model, deg=scratch.save(model.deg, "deg"), vectors={k: scratch.save(v, f"{k}-start") for k, v in model.vectors.items()})
+    model = replace(model, deg=scratch.save(model.deg, "deg"), vectors={k: scratch.bucketed(v, f"{k}-start", ["node"]) for k, v in model.vectors.items()})
+    laid = lay(links, ids, model.deg, variant, HUB, scratch)
     cap = cfg.edge_cap and max(cfg.edge_cap, -(-sum(v.count() for v in links.values()) // cfg.max_batches))
     history, before, first = [], {k: f"{k}-start" for k in model.vectors}, 0
     state = progress.found() if progress else None
     if state:
-        model, history, first = replace(model, vectors=progress.vectors(state)), state["history"], state["epoch"] + 1
+        vectors = {k: scratch.bucketed(v, f"{k}-resumed", ["node"]) for k, v in progress.vectors(state).items()}
+        model, history, first = replace(model, vectors=vectors), state["history"], state["epoch"] + 1
     for epoch in range(first, cfg.epochs if until is None else min(until, cfg.epochs)):
-        batches, plan = 1, None
+        batches, now = 1, laid
         if cap:
             with temporary():
                 plan = scratch.save(batch_pack(links, cfg, epoch, cap), f"batches-{epoch}")
             batches = (plan.agg(F.max("batch")).first()[0] or 0) + 1
+        if batches > 1:
+            now = in_batches(laid, plan, epoch, scratch)
         sums = np.zeros(4)
         for b in range(batches):
             vectors = {}
             with temporary():
-                moved = step(model, links, ids, n, epoch, plan.filter(F.col("batch") == b).select("node") if batches > 1 else None)
+                moved = step(model, now, ids, n, epoch, b if batches > 1 else None)
                 for k, m in moved.items():
                     label, seen = f"{k}-{epoch}-{b}", Observation()
                     of_write = [F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("loss", "pos", "neg")]]
                     m = scratch.save(m.observe(seen, *of_write), f"moved-{label}")
                     sums += np.array([float(seen.get[c]) for c in ("n", "loss", "pos", "neg")])
                     put = model.vectors[k].join(m.select("node", F.col("z").alias("new")), "node", "left").select("node", F.coalesce("new", "z").alias("z"))
-                    vectors[k] = scratch.save(put, label)
+                    vectors[k] = scratch.bucketed(put, label, ["node"])
             model = replace(model, vectors=vectors)
             scratch.drop(*before.values(), *[f"moved-{k}-{epoch}-{b}" for k in moved])
             before = {k: f"{k}-{epoch}-{b}" for k in moved}
+        if now is not laid:
+            now.drop(scratch)
         row = {"epoch": epoch, **dict(zip(("loss", "pos", "neg"), (sums[1:] / max(1.0, sums[0])).tolist(), strict=True))}
         if test is not None and ((epoch + 1) % cfg.eval_step == 0 or epoch + 1 == cfg.epochs):
             row |= evaluate(model, test)

@@ -72,6 +72,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.thread = threading.get_ident()
+        self.tables: dict[str, str] = {}
         _live.append(self)
 
     def path(self, name: str) -> str:
@@ -83,14 +84,26 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, keys: list[str], by: str | None = None) -> DataFrame:
+        """As save, in as many buckets of keys as the session has shuffle partitions: joins and sums by keys need no shuffle of such a table. by: a column whose values get folders of their own, so that a filter on it reads only these."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables[name] = f"treelink_{uuid.uuid4().hex}"
+        with _cleaning(self.spark):
+            w = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+            (w.partitionBy(by) if by else w).option("path", self.path(name)).saveAsTable(self.tables[name], format="parquet")
+        return self.spark.table(self.tables[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             delete_path(self.spark, self.path(name))
 
     def end(self) -> None:
         """Drop all tables; frames that read them are of no more use."""
         if self in _live:
             _live.remove(self)
+            self.drop(*list(self.tables))
             delete_path(self.spark, self.root)
 
 
