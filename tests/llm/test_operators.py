@@ -19,7 +19,7 @@ from treelink.llm.packing import binary_lengths, pack_power_of_two
 from treelink.llm.pii import replace_pii, surrogates
 from treelink.llm.substring_dedup import remove_repeated
 from treelink.llm.toxicity import learn_lexicon, score_toxicity
-from treelink.llm.vectors import search
+from treelink.llm.vectors import coarse, search
 from treelink.llm.warc_zip import directory, round_trip
 
 SCHEMA = "doc_id long, text string, lang string, n long"
@@ -221,6 +221,31 @@ def test_vectors_with_copies(spark):
     assert with_copies >= 10 and hits >= 0.98 * len(got)
 
 
+def grouped(n, dims=16, groups=200):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, dims))
+    return x * np.exp(0.2 * rng.normal(size=(n, 1)))
+
+
+def test_cells_of_grouped_vectors(spark):
+    """Queries visit few cells where directions form groups, all rows where they don't, and get whole lists from tiny cells."""
+    x = grouped(40_000)
+    cells, visits = coarse(x[:20_000], x[::400], len(x), 20, 4.0, 0.995)
+    assert len(cells.centres) == 78 and 3 * visits <= 78
+    none, one = coarse(np.random.default_rng(7).normal(size=(20_000, 64)), x[:10, :1] * np.ones(64), len(x), 20, 4.0, 0.995)
+    assert len(none.centres) == 1 and one == 1
+    x[:40] = -5 * x[40] + 0.01 * np.random.default_rng(8).normal(size=(40, 16))  # a far group of few rows
+    got = search(spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 500 == 0).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 80
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        assert np.allclose(g["score"], s[g["vec_id"]]) and list(g.sort_values("rank")["vec_id"]) == list(g.sort_values(["score", "vec_id"], ascending=[False, True])["vec_id"])
+        s[q] = -9e9
+        hits += len(set(np.lexsort((np.arange(len(x)), -s))[:20]) & set(g["vec_id"]))
+    assert hits >= 0.98 * len(got)
+
+
 def test_vectors_of_other_layouts(spark):
     """The same lists however rows are dealt out."""
     rng = np.random.default_rng(6)

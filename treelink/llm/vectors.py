@@ -3,9 +3,14 @@
 Vectors are coded as a length and, for each dimension of their direction (or subspace of `width` dimensions), one of 16 centres. Codes and centres minimise a loss
 in which residual error along the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres
 are fitted on at most about 2 `sample_rows` directions picked by a hash; every vector is coded and searched. Lengths stay double numbers,
-so a few very long vectors spoil no centre. Equal vectors are one code with their smallest ids. A block of queries meets each block of
-codes, which is all that travels there: sums of table entries pick `shortlist` codes and those that tie with the last. The best of all
-blocks are joined with their vectors and scored exactly in double precision, and copies are put back by their ids.
+so a few very long vectors spoil no centre. Equal vectors are one code with their smallest ids.
+
+Directions are dealt to cells by the same loss. A query goes to the cells whose centres it agrees with most, to as many as hold
+`recall` of the nearest rows of sampled queries within the sample; these lie farther out than the nearest of all rows, so the number
+errs to the safe side. Where that is more than half of the cells, as with directions that form no groups, there is one cell that
+holds all rows. Blocks of a cell meet its queries, a slice at a time, and only codes travel there: sums of table entries pick
+`shortlist` codes and those that tie with the last. The best of all cells are joined with their vectors and scored exactly in double
+precision, and copies are put back by their ids.
 
 Defined results: null vectors and zero vectors, and those with null or non-finite components or another number of dimensions than
 most, take no part; equal scores go by smaller vec_id; rows are told apart by their place, so repeated vec_ids are candidates of each
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Codes in a block, queries in a block, and queries of it that are scanned at a time.
-BLOCK, QUERY_BLOCK, SCAN = 1 << 15, 512, 64
+#: Codes in a block, queries that meet it in a task, queries scanned at a time, and queries scored at a time.
+BLOCK, VISITORS, SCAN, QUERY_BLOCK = 1 << 15, 2048, 64, 512
+#: Codes a cell on average, cells at most, and queries that settle how many cells are visited.
+CELL, MAX_CELLS, ASKED = 1 << 9, 1024, 256
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +127,69 @@ class AnisotropicCoder:
         return out.T
 
 
+class Cells:
+    """Coarse cells of directions, with centres that minimise the anisotropic loss."""
+
+    def __init__(self, centres: np.ndarray, eta: float):
+        self.centres, self.eta = centres, eta
+
+    @classmethod
+    def fit(cls, unit: np.ndarray, cells: int, eta: float = 4.0, rounds: int = 8, seed: int = 1) -> Cells:
+        x, rng = unit.astype(np.float64), np.random.default_rng(seed)
+        found = cls(x[rng.choice(len(x), cells, replace=False)], eta)
+        for _ in range(rounds):
+            of = found.assign(x)
+            for c in range(cells):
+                own = x[of == c]
+                if len(own):  # the least of the loss of unit vectors, whose parallel error is 1 - x c
+                    found.centres[c] = np.linalg.solve(len(own) * np.eye(x.shape[1]) + (eta - 1) * own.T @ own, eta * own.sum(axis=0))
+        return found
+
+    def assign(self, unit: np.ndarray) -> np.ndarray:
+        """The cell of each direction."""
+        size, out = (self.centres**2).sum(axis=1), np.empty(len(unit), np.int32)
+        for i in range(0, len(unit), 4096):
+            s = unit[i : i + 4096] @ self.centres.T
+            out[i : i + 4096] = (size - 2 * s + (self.eta - 1) * (1 - s) ** 2).argmin(axis=1)
+        return out
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """All cells for each query, those it agrees with most first."""
+        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable").astype(np.int32)
+
+    def visits(self, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
+        """How many cells hold `recall` of the k nearest of a sample, on average over the queries."""
+        unit, length = directions(sample)
+        q, of = directions(queries)[0], self.assign(unit)
+        length = length / length.max()
+        held = np.zeros(len(self.centres))
+        for a in q:
+            s = unit @ a * length
+            s[(unit == a).all(axis=1)] = -np.inf
+            near = np.argsort(-s, kind="stable")[:k]
+            place = np.empty(len(self.centres), np.int64)
+            place[self.order(a[None])[0]] = np.arange(len(place))
+            np.add.at(held, place[of[near[np.isfinite(s[near])]]], 1)
+        return int(np.searchsorted(np.cumsum(held), recall * held.sum()) + 1)
+
+
 def is_usable(v: Column, dims: int) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.isNotNull() & (F.size(v) == dims) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 200, sample_rows: int = 20_000, width: int = 1, eta: float = 4.0) -> DataFrame:
+def coarse(sample: np.ndarray, queries: np.ndarray, rows: int, k: int, eta: float, recall: float) -> tuple[Cells, int]:
+    """Cells for so many rows, and how many of them a query visits; one cell for all if queries would visit more than half."""
+    unit, cells = directions(sample)[0], min(MAX_CELLS, rows // CELL, len(sample) // 16)
+    if cells > 2 and len(queries):
+        found = Cells.fit(unit, cells, eta)
+        visits = found.visits(sample, queries, k, recall)
+        if 2 * visits <= cells:
+            return found, visits
+    return Cells(np.zeros((1, sample.shape[1])), eta), 1
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 200, sample_rows: int = 20_000, width: int = 1, eta: float = 4.0, recall: float = 0.995) -> DataFrame:
     """query_id, rank, vec_id, score for columns vec_id and embedding. is_query marks the rows to search for."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     nothing = "query_id long, rank int, vec_id long, score double"
@@ -154,40 +218,64 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
     sample = sample[np.lexsort(sample.T)]
     coder = AnisotropicCoder(dims, width, eta).fit(directions(sample)[0])
 
-    blocks = -(-n // BLOCK)
     queries = v.filter("q").select("uid", "vec_id", "e")
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select("e").orderBy(F.xxhash64("e"), "e").limit(ASKED).toPandas()["e"].tolist()
+    cells, visits = coarse(sample, np.array(asked, np.float64).reshape(-1, dims), n, k, eta, recall)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit, length = directions(np.asarray(b.column("e").flatten()).reshape(-1, dims))
             packed = coder.pack(coder.encode(unit))
-            yield pa.record_batch({"block": b.column("block"), "did": b.column("did"), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "length": pa.array(length)})
+            yield pa.record_batch({"cell": pa.array(cells.assign(unit)), "did": b.column("did"), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "length": pa.array(length)})
 
-    data = reps.select(F.pmod(F.xxhash64(F.lit(5), "did"), F.lit(blocks)).cast("int").alias("block"), "did", "e")
-    coded = scratch.save(data.mapInArrow(code, "block int, did long, code binary, length double"), "coded")
+    coded = scratch.save(reps.select("did", "e").mapInArrow(code, "cell int, did long, code binary, length double"), "coded")
+    held = np.zeros(len(cells.centres), np.int64)  # MAX_CELLS at most
+    for row in coded.groupBy("cell").count().collect():
+        held[row["cell"]] = row["count"]
+    by_block = F.pmod(F.xxhash64("uid"), F.lit(query_blocks)).cast("int")
+    grid = scratch.save(queries.select(by_block.alias("qb"), F.col("uid").alias("quid"), F.col("vec_id").alias("query_id"), "e"), "queries")
 
-    # A block of queries goes once to each block of codes; the grid is the stated query set against all rows.
-    grid = scratch.save(queries.select(F.pmod(F.xxhash64("uid"), F.lit(query_blocks)).cast("int").alias("qb"), F.col("uid").alias("quid"), F.col("vec_id").alias("query_id"), "e"), "queries")
-    packs = grid.groupBy("qb").agg(F.collect_list(F.struct("quid", "e")).alias("qs"))  # about QUERY_BLOCK rows
-    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    codes = coded.groupBy("block").agg(F.collect_list(F.struct("did", "code", "length")).alias("rows"))  # about BLOCK rows
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qb, qs, rs in zip(b.column("qb").to_pylist(), b.column("qs"), b.column("rows"), strict=True):
-                quid, did, length = np.asarray(qs.values.field("quid")), np.asarray(rs.values.field("did")), np.asarray(rs.values.field("length"))
-                q, _ = directions(np.asarray(qs.values.field("e").flatten()).reshape(-1, dims))
-                packed = np.frombuffer(b"".join(rs.values.field("code").to_pylist()), np.uint8).reshape(len(did), -1)
-                for i in range(0, len(q), SCAN):
-                    rough = coder.scan(q[i : i + SCAN], packed) * length
-                    for who, row in zip(quid[i : i + SCAN], rough, strict=True):
-                        near = np.arange(len(row)) if len(row) <= shortlist else np.flatnonzero(row >= -np.partition(-row, shortlist - 1)[shortlist - 1])
-                        yield pa.record_batch({"qb": pa.array(np.full(len(near), qb, np.int32)), "quid": pa.array(np.full(len(near), who)), "did": pa.array(did[near]), "rough": pa.array(row[near].astype(np.float64))})
-
-    near = packs.join(codes, "block").select("qb", "qs", "rows").repartition(max(1, min(2000, blocks * query_blocks))).mapInArrow(meet, "qb int, quid long, did long, rough double")
+            q = directions(np.asarray(b.column("e").flatten()).reshape(-1, dims))[0]
+            order = cells.order(q)
+            short = (np.cumsum(held[order], axis=1) < min(shortlist, n)).sum(axis=1) + 1  # small cells are not enough by themselves
+            taken = [o[: max(visits, m)] for o, m in zip(order, short, strict=True)]
+            yield pa.record_batch({"quid": b.column("quid"), "e": b.column("e"), "cells": pa.array(taken, pa.list_(pa.int32()))})
+
+    visitors = grid.select("quid", "e").mapInArrow(visit, "quid long, e array<double>, cells array<int>").select("quid", "e", F.explode("cells").alias("cell"))
+    visitors = scratch.save(visitors, "visitors")
+
+    # At most MAX_CELLS rows: how many blocks a cell's codes make, and how many slices its visitors.
+    crowd = visitors.groupBy("cell").count().collect()
+    if not crowd:
+        return spark.createDataFrame([], nothing)
+    met = [(r["cell"], int(-(-held[r["cell"]] // BLOCK)), -(-r["count"] // VISITORS)) for r in crowd if held[r["cell"]]]
+    parts, tasks = F.broadcast(spark.createDataFrame(met, "cell int, blocks int, slices int")), min(20_000, sum(b * c for _, b, c in met))
+    keys = ["cell", "block", "slice"]
+    right = coded.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "did"), F.col("blocks")).cast("int"))
+    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*keys, "did", "code", "length").repartition(tasks, *keys)
+    left = visitors.join(parts, "cell").withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "quid"), F.col("slices")).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "quid", "e").repartition(tasks, *keys)
+
+    def meet(own: pa.Table, rows: pa.Table) -> pa.Table:
+        """The shortlist of each query of a slice among the codes of a block."""
+        parts = [pa.table({"quid": pa.array([], pa.int64()), "did": pa.array([], pa.int64()), "rough": pa.array([], pa.float64())})]
+        if own.num_rows and rows.num_rows:
+            quid, did, length = (t.column(c).to_numpy() for t, c in ((own, "quid"), (rows, "did"), (rows, "length")))
+            q, _ = directions(own.column("e").combine_chunks().flatten().to_numpy().reshape(-1, dims))
+            packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(did), -1)
+            for i in range(0, len(q), SCAN):
+                rough = coder.scan(q[i : i + SCAN], packed) * length
+                for who, row in zip(quid[i : i + SCAN], rough, strict=True):
+                    near = np.arange(len(row)) if len(row) <= shortlist else np.flatnonzero(row >= -np.partition(-row, shortlist - 1)[shortlist - 1])
+                    parts.append(pa.table({"quid": np.full(len(near), who), "did": did[near], "rough": row[near].astype(np.float64)}))
+        return pa.concat_tables(parts)
+
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "quid long, did long, rough double")
     near = near.withColumn("place", F.rank().over(Window.partitionBy("quid").orderBy(F.desc("rough")))).filter(F.col("place") <= shortlist)
-    near = scratch.save(near.select("qb", "quid", "did"), "near")
+    near = scratch.save(near.select(F.pmod(F.xxhash64("quid"), F.lit(query_blocks)).cast("int").alias("qb"), "quid", "did"), "near")
     loaded = near.join(reps, "did")
 
     def exact(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
