@@ -232,7 +232,8 @@ def test_cells_of_grouped_vectors(spark):
     x = grouped(40_000)
     cells, visits = coarse(x[:20_000], x[::400], len(x), 20, 4.0, 0.995)
     assert len(cells.centres) == 78 and 3 * visits <= 78
-    none, one = coarse(np.random.default_rng(7).normal(size=(20_000, 64)), x[:10, :1] * np.ones(64), len(x), 20, 4.0, 0.995)
+    rng = np.random.default_rng(7)
+    none, one = coarse(rng.normal(size=(20_000, 64)), rng.normal(size=(100, 64)), len(x), 20, 4.0, 0.995)
     assert len(none.centres) == 1 and one == 1
     x[:40] = -5 * x[40] + 0.01 * np.random.default_rng(8).normal(size=(40, 16))  # a far group of few rows
     got = search(spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 500 == 0).toPandas()
