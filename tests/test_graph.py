@@ -68,3 +68,20 @@ def test_same_as_sql(spark, name):
     assert cols == sorted(b.columns)
     a, b = (x[cols].sort_values(cols, ignore_index=True) for x in (a, b))
     assert len(a) == len(b) and all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in cols)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 3000])
+def test_thresholds_of_many_times(spark, n):
+    """Against a sorted list, with ties."""
+    times = [float((i * 7919) % (n // 2 + 1)) for i in range(n)]
+    timed = spark.createDataFrame([(i, i + 1, t) for i, t in enumerate(times)], "src long, dst long, t double")
+    ratios = [0.0, 0.25, 0.8, 1.0]
+    got = g.temporal_thresholds(timed, ratios)
+    assert dict(map(tuple, got.collect())) == ({r: sorted(times)[max(1, int(n * r)) - 1] for r in ratios} if n else {})
+    split = g.temporal_split_at(timed, 0.8).filter("part = 'train'").count()
+    assert split == (sum(t < sorted(times)[max(1, int(n * 0.8)) - 1] for t in times) if n else 0)
+
+
+def test_thresholds_with_null_times(spark):
+    timed = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 4, 5.0), (4, 5, 6.0)], "src long, dst long, t double")
+    assert dict(map(tuple, g.temporal_thresholds(timed, [0.5, 0.75, 1.0]).collect())) == {0.5: None, 0.75: 5.0, 1.0: 6.0}

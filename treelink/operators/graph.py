@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import draw
 from ..scratch import Scratch
 from . import gaps
-from .order import numbered
+from .order import numbered, prefix_sums
 
 log = logging.getLogger(__name__)
 
@@ -155,12 +155,14 @@ def temporal_pairs(edges: DataFrame, how: str) -> DataFrame:
 
 
 def temporal_thresholds(timed: DataFrame, ratios: list[float]) -> DataFrame:
-    """ratio, threshold: the (floor(n r))-th smallest time, from counts per distinct time."""
+    """ratio, threshold: the (floor(n r))-th smallest time, at least the first, from counts per distinct time; a time is null if rows with
+    null times reach that far. Running sums go by ranges of times, so fine-grained times are no work of one task.
+    """
     per = timed.groupBy("t").agg(F.count("*").alias("c"))
-    run = per.withColumn("upto", F.sum("c").over(Window.orderBy("t")))  # distinct times only
+    run = prefix_sums(per, ["t"], {"before": F.col("c")}).select("t", (F.col("before") + F.col("c")).alias("upto"))
     n = timed.agg(F.count("*").alias("n"))
     wanted = timed.sparkSession.createDataFrame([(r,) for r in ratios], "ratio double").crossJoin(F.broadcast(n)).select("ratio", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("ratio"))).alias("k"))  # one row of counts
-    return run.join(F.broadcast(wanted), F.col("upto") >= F.col("k")).groupBy("ratio").agg(F.min("t").alias("threshold"))
+    return run.join(F.broadcast(wanted), F.col("upto") >= F.col("k")).groupBy("ratio").agg(F.min_by("t", "upto").alias("threshold"))
 
 
 def temporal_split(timed: DataFrame, threshold: float) -> DataFrame:
