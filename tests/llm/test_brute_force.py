@@ -339,6 +339,14 @@ def test_recall_with_a_few_huge_vectors(spark):
     assert recall(spark, x, 100) >= 0.9
 
 
+def test_recall_of_crowds(spark):
+    """Many small groups whose rows differ by far less than the groups do, and near copies of one row."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 32))[rng.integers(0, 120, 48_000)] + 0.002 * rng.normal(size=(48_000, 32))
+    x = np.concatenate([x, x[0] + 1e-4 * rng.normal(size=(2_000, 32))])
+    assert recall(spark, x[rng.permutation(len(x))], 500) >= 0.95
+
+
 def test_rows_that_share_an_id(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 8))

@@ -1,7 +1,9 @@
 """Maximum inner product search with score-aware (anisotropic) product quantisation and four-bit table scans.
 
-Vectors are coded as a length and, for each dimension of their direction (or subspace of `width` dimensions), one of 16 centres. Codes and centres minimise a loss
-in which residual error along the vector, which changes inner products most, weighs `eta` times as much as error across it. Centres
+Vectors are coded as a length, one of at most `MAX_ANCHORS` anchors near their direction, how far they are from it, and, for each dimension of the
+way there (or subspace of `width` dimensions), one of 16 centres. So rows that crowd together are told apart as finely as rows all over: error is a
+share of the way to the anchor, which is a median, moved by no few rows far off. Codes and centres minimise a loss
+in which residual error along the vector, which changes inner products most, weighs `eta` times as much as error across it. Anchors and centres
 are fitted on at most about 2 `sample_rows` directions picked by a hash; every vector is coded and searched. Lengths stay double numbers,
 so a few very long vectors spoil no centre. Equal vectors are one code with their smallest ids.
 
@@ -34,6 +36,8 @@ from .common import Scratch
 BLOCK, VISITORS, SCAN, QUERY_BLOCK = 1 << 15, 2048, 64, 512
 #: Codes a cell on average, cells at most, and queries that settle how many cells are visited.
 CELL, MAX_CELLS, ASKED = 1 << 9, 1024, 256
+#: Anchors at most.
+MAX_ANCHORS = 1024
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +63,14 @@ class AnisotropicCoder:
         full[:, : self.dims] = x
         return full.reshape(len(x), self.spaces, self.width)
 
-    def encode(self, x: np.ndarray, passes: int = 2) -> np.ndarray:
+    def along(self, x: np.ndarray, of: np.ndarray | None) -> np.ndarray:
+        """Unit vectors, split, that errors are parallel to: of the rows themselves, or of the vectors `of` that they are parts of."""
+        of = x if of is None else of
+        return self.split(of) / np.maximum(np.linalg.norm(of, axis=1), 1e-12)[:, None, None].astype(np.float32)
+
+    def encode(self, x: np.ndarray, passes: int = 2, of: np.ndarray | None = None) -> np.ndarray:
         """Codes by coordinate descent: each subspace is chosen again given the parallel error of the others."""
-        parts = self.split(x)
-        unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None, None].astype(np.float32)
+        parts, unit = self.split(x), self.along(x, of)
         codes = np.empty(parts.shape[:2], np.uint8)
         along = np.empty(parts.shape[:2], np.float32)
         for m in range(self.spaces):
@@ -81,14 +89,13 @@ class AnisotropicCoder:
                 total = rest + along[:, m]
         return codes
 
-    def fit(self, x: np.ndarray, rounds: int = 8, seed: int = 1) -> AnisotropicCoder:
-        parts, rng = self.split(x), np.random.default_rng(seed)
-        unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None, None]
+    def fit(self, x: np.ndarray, rounds: int = 8, seed: int = 1, of: np.ndarray | None = None) -> AnisotropicCoder:
+        parts, rng, unit = self.split(x), np.random.default_rng(seed), self.along(x, of)
         for m in range(self.spaces):
             self.centres[m] = parts[rng.choice(len(x), 16, replace=len(x) < 16), m]
         eye = np.eye(self.width)
         for r in range(rounds):
-            codes = self.encode(x, passes=0 if r < 2 else 1)
+            codes = self.encode(x, passes=0 if r < 2 else 1, of=of)
             along = np.stack([((parts[:, m] - self.centres[m][codes[:, m]]) * unit[:, m]).sum(axis=1) for m in range(self.spaces)], axis=1)
             total = along.sum(axis=1)
             for m in range(self.spaces):
@@ -127,6 +134,45 @@ class AnisotropicCoder:
         return out.T
 
 
+class Anchors:
+    """Points near directions; what is coded is the way from there."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+
+    @classmethod
+    def fit(cls, unit: np.ndarray, count: int, rounds: int = 3, seed: int = 1) -> Anchors:
+        """Points far from those before, 64 at a time, moved to the medians of the directions nearest to them."""
+        x, rng = unit.astype(np.float64), np.random.default_rng(seed)
+        points, far = x[:1], ((x - x[0]) ** 2).sum(axis=1)
+        while len(points) < count and (far > 1e-14).any():
+            chance = np.where(far > 1e-14, far, 0)
+            more = np.unique(rng.choice(len(x), min(64, count - len(points)), p=chance / chance.sum()))
+            points = np.concatenate([points, x[more]])
+            far = np.minimum(far, np.maximum(1 + (x[more] ** 2).sum(axis=1) - 2 * x @ x[more].T, 0).min(axis=1))
+        found = cls(points)
+        for _ in range(rounds):
+            of = found.assign(x)
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                found.points[of[own[0]]] = np.median(x[own], axis=0)
+        return found
+
+    def assign(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest point of each direction."""
+        size, out = (self.points**2).sum(axis=1), np.empty(len(unit), np.int32)
+        for i in range(0, len(unit), 4096):
+            out[i : i + 4096] = (size - 2 * (unit[i : i + 4096] @ self.points.T)).argmin(axis=1)
+        return out
+
+    def ways(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchor of each direction, how far it is, and the unit vector of the way from there (zeros where it is no way)."""
+        at = self.assign(unit)
+        way = unit - self.points[at]
+        far = np.sqrt((way**2).sum(axis=1))
+        return at, far.astype(np.float32), (way / np.maximum(far, 1e-30)[:, None]).astype(np.float32)
+
+
 class Cells:
     """Coarse cells of directions, with centres that minimise the anisotropic loss."""
 
@@ -216,7 +262,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
     picked = reps.filter(F.pmod(F.xxhash64(F.lit(11), "e"), F.lit(1_000_000)) < part).select("e").limit(2 * sample_rows).toPandas()
     sample = np.array(picked["e"].tolist() or reps.orderBy(F.xxhash64("e"), "e").select("e").limit(1).toPandas()["e"].tolist(), np.float64)
     sample = sample[np.lexsort(sample.T)]
-    coder = AnisotropicCoder(dims, width, eta).fit(directions(sample)[0])
+    toward = directions(sample)[0]
+    anchors = Anchors.fit(toward, max(1, min(MAX_ANCHORS, len(sample) // 16)))
+    coder = AnisotropicCoder(dims, width, eta).fit(anchors.ways(toward)[2], of=toward)
 
     queries = v.filter("q").select("uid", "vec_id", "e")
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -226,10 +274,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit, length = directions(np.asarray(b.column("e").flatten()).reshape(-1, dims))
-            packed = coder.pack(coder.encode(unit))
-            yield pa.record_batch({"cell": pa.array(cells.assign(unit)), "did": b.column("did"), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "length": pa.array(length)})
+            at, far, way = anchors.ways(unit)
+            packed = coder.pack(coder.encode(way, of=unit))
+            yield pa.record_batch({"cell": pa.array(cells.assign(unit)), "did": b.column("did"), "anchor": pa.array(at), "far": pa.array(far), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "length": pa.array(length)})
 
-    coded = scratch.save(reps.select("did", "e").mapInArrow(code, "cell int, did long, code binary, length double"), "coded")
+    coded = scratch.save(reps.select("did", "e").mapInArrow(code, "cell int, did long, anchor int, far float, code binary, length double"), "coded")
     held = np.zeros(len(cells.centres), np.int64)  # MAX_CELLS at most
     for row in coded.groupBy("cell").count().collect():
         held[row["cell"]] = row["count"]
@@ -255,7 +304,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
     parts, tasks = F.broadcast(spark.createDataFrame(met, "cell int, blocks int, slices int")), min(20_000, sum(b * c for _, b, c in met))
     keys = ["cell", "block", "slice"]
     right = coded.join(parts, "cell").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "did"), F.col("blocks")).cast("int"))
-    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*keys, "did", "code", "length").repartition(tasks, *keys)
+    right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*keys, "did", "anchor", "far", "code", "length").repartition(tasks, *keys)
     left = visitors.join(parts, "cell").withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "quid"), F.col("slices")).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, "quid", "e").repartition(tasks, *keys)
 
@@ -263,11 +312,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = 2
         """The shortlist of each query of a slice among the codes of a block."""
         parts = [pa.table({"quid": pa.array([], pa.int64()), "did": pa.array([], pa.int64()), "rough": pa.array([], pa.float64())})]
         if own.num_rows and rows.num_rows:
-            quid, did, length = (t.column(c).to_numpy() for t, c in ((own, "quid"), (rows, "did"), (rows, "length")))
+            quid, did, at, far, length = (t.column(c).to_numpy() for t, c in ((own, "quid"), (rows, "did"), (rows, "anchor"), (rows, "far"), (rows, "length")))
             q, _ = directions(own.column("e").combine_chunks().flatten().to_numpy().reshape(-1, dims))
             packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(did), -1)
             for i in range(0, len(q), SCAN):
-                rough = coder.scan(q[i : i + SCAN], packed) * length
+                rough = ((q[i : i + SCAN] @ anchors.points.T)[:, at] + coder.scan(q[i : i + SCAN], packed) * far.astype(np.float64)) * length
                 for who, row in zip(quid[i : i + SCAN], rough, strict=True):
                     near = np.arange(len(row)) if len(row) <= shortlist else np.flatnonzero(row >= -np.partition(-row, shortlist - 1)[shortlist - 1])
                     parts.append(pa.table({"quid": np.full(len(near), who), "did": did[near], "rough": row[near].astype(np.float64)}))
