@@ -1,5 +1,7 @@
 """Packing one after the other, exact negatives of dense graphs, compressed adjacency and the losses of candidates, against plain Python."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,9 @@ from pyspark.sql import functions as F
 from treelink.operators import gaps, moves, order
 from treelink.operators import graph as g
 from treelink.operators import training as t
+from treelink.operators.order import smallest
+from treelink.scratch import Scratch
+from treelink.sources.edges import exact_graph
 
 
 def edges(spark, rows):
@@ -165,3 +170,33 @@ def test_batch_costs(spark):
         assert dict(pairs(t.batch_costs(t.links_of(of, variant), cfg, 0))) == want
     masked = t.TrainConfig(epochs=1, convergence=1.0, mask_share=0.0)
     assert dict(pairs(t.batch_costs(t.links_of(e, "sr"), masked, 0))) == {0: 3, 1: 3, 2: 3, 3: 2}
+
+
+@pytest.mark.parametrize("top,want", [(10, 3), (10_000_000, 4097), (1 << 40, 700), (5000, 0), (5000, 10_000)])
+def test_smallest_keys(spark, top, want):
+    keys = sorted({random.Random(top).randrange(top) for _ in range(1)} | {random.Random(i).randrange(top) for i in range(5000)})
+    d = Scratch(spark, "smallest").save(spark.createDataFrame([(k,) for k in keys], "id long"), "keys")
+    assert sorted(r.id for r in smallest(d, "id", want).collect()) == keys[:want]
+
+
+def plan_of(d):
+    return d._jdf.queryExecution().toString()
+
+
+def test_first_draws_without_one_task(spark):
+    """What is drawn first is cut off by a filter; a limit would bring it together in one task."""
+    e = spark.createDataFrame([(i, (i * 7 + 1) % 50) for i in range(50)], "src long, dst long")
+    for d in (exact_graph(spark, 100, 500, 3, False), exact_graph(spark, 100, 500, 3, True), g.negatives(e, 300, 3)):
+        assert "Limit" not in plan_of(d) and "TakeOrdered" not in plan_of(d)
+    assert exact_graph(spark, 100, 500, 3, False).distinct().count() == 500
+    assert exact_graph(spark, 12, 132, 3, True).distinct().count() == 132
+
+
+def test_all_free_pairs_without_draws(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("drawn")
+
+    monkeypatch.setattr(g, "draw", none)
+    e = spark.createDataFrame([(i, (i + k) % 20) for i in range(20) for k in range(1, 12)], "src long, dst long")
+    free = {(a, b) for a in range(20) for b in range(20) if a != b and (b - a) % 20 >= 12}
+    assert {tuple(r) for r in g.negatives(e, len(free), strict=False).select("src", "dst").collect()} == free

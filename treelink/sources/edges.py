@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
-from ..operators.graph import gather_features, node_map, remap, temporal_pairs, test_degree, valid_stub
+from ..operators.graph import draws_for, gather_features, node_map, remap, temporal_pairs, test_degree, valid_stub
+from ..operators.order import smallest
 from ..scratch import Scratch
 
 
@@ -127,14 +128,15 @@ def gnp_graph(spark: SparkSession, n: int, p: float, seed: int = 42, is_directed
 
 def exact_graph(spark: SparkSession, n: int, want: int, seed: int = 42, is_directed: bool = True) -> DataFrame:
     """G(n, m): want distinct uniform pairs of n nodes without loops, the first that counters draw."""
-    if want > n * (n - 1) // (1 if is_directed else 2):
+    pairs = n * (n - 1) // (1 if is_directed else 2)
+    if want > pairs:
         raise ValueError(f"{n} nodes have fewer than {want} pairs")
     scratch = Scratch(spark, "gnp")
-    draws = 2 * want + 16
+    draws = draws_for(want, pairs, n * n / (1 if is_directed else 2)) if want else 1
     while True:
         e = spark.range(draws).select("id", (draw(seed, "u", F.col("id")) % n).alias("a"), (draw(seed, "v", F.col("id")) % n).alias("b")).filter("a <> b")
         src, dst = (F.col("a"), F.col("b")) if is_directed else (F.least("a", "b"), F.greatest("a", "b"))
         found = scratch.save(e.select("id", src.alias("src"), dst.alias("dst")).groupBy("src", "dst").agg(F.min("id").alias("id")), str(draws))
         if found.count() >= want:
-            return found.orderBy("id").limit(want).select("src", "dst")
+            return smallest(found, "id", want).select("src", "dst")
         draws *= 2
