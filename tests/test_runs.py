@@ -135,3 +135,11 @@ def test_commands(spark, tmp_path):
     run("report", "--metrics", f"{tmp_path}/m", "--out", f"{tmp_path}/rep", "--turns", 0, 1, 2)
     assert results.read_model(spark, f"{tmp_path}/mo").cfg.height == 5 and spark.read.parquet(f"{tmp_path}/sc").count() > 4
     assert results.read_metrics(spark, f"{tmp_path}/rep").count() == 1 and spark.read.parquet(f"{tmp_path}/h").count() == 1
+
+
+def test_summary_rounds_exact_values(spark):
+    """Ties of what is printed go to even, and 1.005 is less than it looks."""
+    d = spark.createDataFrame([(1, 0.50125), (2, 0.50375), (3, 0.01005), (4, None)], "dataset long, auc double")
+    got = {r.dataset: r.auc for r in m.run_summary(d, ["dataset"], ["auc"]).collect()}
+    assert got == {i: f"{x * 100:.2f}±0.00" for i, x in ((1, 0.50125), (2, 0.50375), (3, 0.01005))} | {4: None}
+    assert got[1] == "50.12±0.00"
