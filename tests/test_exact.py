@@ -200,3 +200,14 @@ def test_all_free_pairs_without_draws(spark, monkeypatch):
     e = spark.createDataFrame([(i, (i + k) % 20) for i in range(20) for k in range(1, 12)], "src long, dst long")
     free = {(a, b) for a in range(20) for b in range(20) if a != b and (b - a) % 20 >= 12}
     assert {tuple(r) for r in g.negatives(e, len(free), strict=False).select("src", "dst").collect()} == free
+
+
+def test_tasks_of_adjacency_grow_in_number(spark, monkeypatch):
+    """No range of the order, and no task after it, holds more than a few times TASK_ROWS, however many rows there are."""
+    monkeypatch.setattr(order, "TASK_ROWS", 64)
+    monkeypatch.setattr(order, "_ranged", lambda *a, _of=order._ranged: ranged.append(_of(*a)) or ranged[-1])
+    ranged, e = [], edges(spark, [(i % 40, 1000 + i * 7 % 300) for i in range(3000)])
+    got = {(r.node, r.offset): r.n for r in g.adjacency_blocks(e, 16).collect()}
+    n = g.adjacency(e).count()
+    assert sum(got.values()) == n and max(got.values()) <= 16
+    assert ranged[0].groupBy("_part").count().agg(F.max("count")).first()[0] <= 4 * 64
