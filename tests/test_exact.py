@@ -10,6 +10,7 @@ from treelink.operators import gaps, moves, order
 from treelink.operators import graph as g
 from treelink.operators import training as t
 from treelink.operators.order import smallest
+from treelink.plans import split_queries
 from treelink.scratch import Scratch
 from treelink.sources.edges import exact_graph
 
@@ -211,3 +212,9 @@ def test_tasks_of_adjacency_grow_in_number(spark, monkeypatch):
     n = g.adjacency(e).count()
     assert sum(got.values()) == n and max(got.values()) <= 16
     assert ranged[0].groupBy("_part").count().agg(F.max("count")).first()[0] <= 4 * 64
+
+
+def test_contract_reads_saved_parts(spark):
+    """What the check reads several times is not sorted or joined again each time."""
+    for d in split_queries.contract_parts(spark, "/root/testdata/sf0.001"):
+        assert "Window" not in plan_of(d) and "Join" not in plan_of(d) and "Aggregate" not in plan_of(d)
