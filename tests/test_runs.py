@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from treelink import cli
 from treelink.operators import graph as g
 from treelink.operators import metrics as m
+from treelink.operators import moves
 from treelink.operators import training as t
+from treelink.operators.order import transitions
+from treelink.plans import train_queries
 from treelink.scratch import CLEANUP, Scratch, read_file, temporary, write_text
 from treelink.sources import results
 from treelink.sources.formats import register_formats
@@ -143,3 +146,20 @@ def test_summary_rounds_exact_values(spark):
     got = {r.dataset: r.auc for r in m.run_summary(d, ["dataset"], ["auc"]).collect()}
     assert got == {i: f"{x * 100:.2f}±0.00" for i, x in ((1, 0.50125), (2, 0.50375), (3, 0.01005))} | {4: None}
     assert got[1] == "50.12±0.00"
+
+
+def test_counters_are_those_of_each_text():
+    """All draws of many keys at once: short and long texts, of more than a digest's block too."""
+    heads = [f"1|nm|{x}|" for x in (0, 7, 12345, 10**18)] + ["9" * 60 + "|"]
+    tails = [f"{i}|{i * i}" for i in (0, 3, 10, 999, 10**9)]
+    assert moves.counters(heads, tails).tolist() == [[moves.counter(h + t) for t in tails] for h in heads]
+
+
+def test_negatives_stay_in_the_task_that_draws_them(spark, monkeypatch):
+    """node_mrr_1000 sends nodes to slices of edges and no lists of negatives: its rows between are two a node and slice or edge."""
+    seen, events = [], spark.createDataFrame([(i, i, i * i % 211) for i in range(400)], "event_id long, ts long, user_id long")
+    monkeypatch.setattr(train_queries, "ge", lambda *_: transitions(events, ["ts", "event_id"], "user_id"))
+    monkeypatch.setattr(m.Scratch, "save", lambda self, df, name: seen.append(df) or df)
+    train_queries.node_mrr_many(spark, "")
+    plan = next(d for d in seen if d.columns == ["src", "dst", "above", "upto"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "drawn" not in plan
