@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelink.operators import graph as g
+from treelink.operators import order
 from treelink.operators import training as t
 from treelink.operators.layout import in_batches, lay, messages
+from treelink.operators.order import transitions
+from treelink.plans import train_queries
 from treelink.scratch import Scratch, temporary
 
 #: A hub (0), a chain and a node (90) that only receives.
@@ -100,3 +103,16 @@ def test_bucketed_tables_go_with_their_block(spark):
         kept = Scratch(spark, "bucketed").bucketed(spark.range(50).withColumn("v", F.col("id") * 2), "a", ["id"])
         assert kept.agg(F.sum("v")).first()[0] == 2450 and len({x.name for x in spark.catalog.listTables()} - before) == 1
     assert {x.name for x in spark.catalog.listTables()} == before
+
+
+def test_losses_in_more_tasks_when_rows_are_more(spark, monkeypatch):
+    """Tasks of the losses grow in number with the links, and the losses stay as they are."""
+    e = spark.createDataFrame(GRAPH, "event_id long, user_id long").selectExpr("monotonically_increasing_id() as event_id", "event_id as ts", "user_id")
+    monkeypatch.setattr(train_queries, "ge", lambda *_: transitions(e, ["ts", "event_id"], "user_id", e.count()))
+    few, seen = train_queries.loss_terms(spark, "").collect(), []
+    monkeypatch.setattr(order, "TASK_ROWS", 8)
+    rows = train_queries.t.with_ends
+    monkeypatch.setattr(train_queries.t, "with_ends", lambda *a: seen.append(a[-1]) or rows(*a))
+    more = train_queries.loss_terms(spark, "").collect()
+    near = lambda got: sorted((r.node, round(r.pos, 9), round(r.neg, 9)) for r in got)
+    assert near(few) == near(more) and seen[0] > 8
