@@ -218,3 +218,14 @@ def test_contract_reads_saved_parts(spark):
     """What the check reads several times is not sorted or joined again each time."""
     for d in split_queries.contract_parts(spark, "/root/testdata/sf0.001"):
         assert "Window" not in plan_of(d) and "Join" not in plan_of(d) and "Aggregate" not in plan_of(d)
+
+
+def test_loss_tables_of_coded_kinds():
+    """Powers of distances and of normalisers apart give the losses of the formula, for each kind and also where a normaliser is 0."""
+    cfg, kinds = t.TrainConfig(height=5, dims=3, alpha=7.0, gamma=2.5), ["out", "in", "not_out", "not_in", "neither"]
+    rng = np.random.default_rng(4)
+    key, n12, n21 = rng.integers(0, 5, 200), rng.choice([0.0, 0.7, 3.1, 9.0], 200), rng.choice([0.0, 1.3, 4.2], 200)
+    tables, row = moves.coded_tables(kinds, key, n12, n21, cfg)
+    p = lambda n: np.where(n > 0, 1 / (1 + ((np.arange(16) / 3 + cfg.eps) / max(n, 1e-300)) ** cfg.gamma / cfg.alpha), 0.0)
+    want = [-np.log(cfg.eps + moves.selected(kinds[k], p(a), p(b))) for k, a, b in zip(key, n12, n21, strict=True)]
+    assert np.allclose(tables[row], want, rtol=0, atol=1e-12) and len(tables) == len(set(zip(key.tolist(), n12.tolist(), n21.tolist(), strict=True)))
