@@ -229,3 +229,12 @@ def test_loss_tables_of_coded_kinds():
     p = lambda n: np.where(n > 0, 1 / (1 + ((np.arange(16) / 3 + cfg.eps) / max(n, 1e-300)) ** cfg.gamma / cfg.alpha), 0.0)
     want = [-np.log(cfg.eps + moves.selected(kinds[k], p(a), p(b))) for k, a, b in zip(key, n12, n21, strict=True)]
     assert np.allclose(tables[row], want, rtol=0, atol=1e-12) and len(tables) == len(set(zip(key.tolist(), n12.tolist(), n21.tolist(), strict=True)))
+
+
+@pytest.mark.parametrize("height, dims, words", [(16, 16, 4), (5, 3, 1), (12, 6, 2), (18, 3, 3)])
+def test_places_travel_packed(spark, height, dims, words):
+    """Coordinates below 2^16 are sent four to a number and come back as they were, the largest too."""
+    z = np.random.default_rng(2).integers(0, 1 << height, (20, dims))
+    z[0] = (1 << height) - 1
+    rows = spark.createDataFrame([(i, row) for i, row in enumerate(z.tolist())], "i long, z array<long>").select("i", t.packed("z", height, dims).alias("z")).orderBy("i").toArrow()
+    assert len(rows["z"][0]) == words and (t.unpacked(rows["z"], height, dims) == z).all()
