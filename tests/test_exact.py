@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from treelink.operators import gaps, moves, order
+from treelink.operators import dense, gaps, moves, order
 from treelink.operators import graph as g
 from treelink.operators import training as t
 from treelink.operators.order import smallest
@@ -238,3 +239,39 @@ def test_places_travel_packed(spark, height, dims, words):
     z[0] = (1 << height) - 1
     rows = spark.createDataFrame([(i, row) for i, row in enumerate(z.tolist())], "i long, z array<long>").select("i", t.packed("z", height, dims).alias("z")).orderBy("i").toArrow()
     assert len(rows["z"][0]) == words and (t.unpacked(rows["z"], height, dims) == z).all()
+
+
+@pytest.mark.parametrize("n, share, strict, loops, pooled", [(150, 0.9, True, False, True), (150, 0.5, False, True, False), (150, 0.9, False, False, True), (1600, 0.3, False, False, False)])
+def test_first_draws_as_bits(spark, monkeypatch, n, share, strict, loops, pooled):
+    """Where many of all pairs are wanted, they are those that the first draws hit, without a row for each draw."""
+
+    def none(*_):
+        raise AssertionError("a row for each draw")
+
+    monkeypatch.setattr(g, "draw", none)
+    inner = [(7 + 10 * i, 7 + 10 * (i * k % n)) for i in range(n) for k in (1, 3, n - 1)]
+    d, pool = edges(spark, inner + [(7, 5), (5, 3)] * pooled), edges(spark, inner) if pooled else None
+    known = set(inner) | ({(b, a) for a, b in inner} if strict else set())
+    cells = n * (n + 1) // 2 if strict else n * n
+    num = int(share * cells) - 4 * n
+    i, j = (7 + 10 * (moves.consecutive(f"3|{c}|", 0, 4 * n * n // 1000 * 1000) % n) for c in "xy")
+    want = {}
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        pair = (min(a, b), max(a, b)) if strict else (a, b)
+        if len(want) < num and pair not in known and (a != b or loops):
+            want[pair] = True
+    assert len(want) == num and pairs(g.negatives(d, num, seed=3, strict=strict, loops=loops, pool=pool)) == sorted(want)
+
+
+def test_draws_of_consecutive_numbers():
+    for low, high in ((0, 0), (0, 12000), (9_990_000, 10_040_000)):
+        got = moves.consecutive("3|x|", low, high)
+        assert len(got) == high - low and all(got[k] == moves.counter(3, "x", low + k) for k in range(0, high - low, 37))
+
+
+def test_gaps_of_cells():
+    """Cells of parts come back from their gaps, those far apart, equal ones and the first and last of a part too."""
+    cells = np.sort(np.r_[0, 0, 5, 259, 260, 515, dense.PART - 1, dense.PART, 3 * dense.PART + 255, 3 * dense.PART + 510, 4 * dense.PART - 1])
+    for of in (cells, cells[:0], cells.astype(np.uint32)):
+        got = [dense.decoded(pa.scalar(gaps.tobytes(), pa.binary())).astype(np.int64) + part * dense.PART for part, gaps in dense.coded(of)]
+        assert np.array_equal(np.concatenate([np.zeros(0, np.int64), *got]), of)
