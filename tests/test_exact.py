@@ -275,3 +275,38 @@ def test_gaps_of_cells():
     for of in (cells, cells[:0], cells.astype(np.uint32)):
         got = [dense.decoded(pa.scalar(gaps.tobytes(), pa.binary())).astype(np.int64) + part * dense.PART for part, gaps in dense.coded(of)]
         assert np.array_equal(np.concatenate([np.zeros(0, np.int64), *got]), of)
+
+
+@pytest.mark.parametrize("strict, loops", [(False, False), (False, True)])
+def test_free_pairs_without_shuffles(spark, tmp_path, strict, loops):
+    """All free pairs of several tiles: no pair is shuffled to find its nodes, even where none may be broadcast unasked, and rows are stored in less than half a byte each."""
+    n = 700
+    name = lambda i: 3 + 1000 * i
+    inner = sorted({(i, k * i % n) for i in range(n) for k in (1, 3, 5)} | {(n - 1, 0), (511, 512), (512, 511)})
+    d = edges(spark, [(name(i), name(j)) for i, j in inner])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = g.negatives(d, n * n, strict=strict, loops=loops)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        got.write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = spark.read.parquet(str(tmp_path / "pairs")).toArrow()
+    free = np.ones((n, n), bool)
+    for i, j in inner:
+        free[i, j] = False
+        free[j, i] &= not strict
+    if not loops:
+        np.fill_diagonal(free, False)
+    want = np.flatnonzero(np.triu(free) if strict else free)
+    i, j = ((np.asarray(rows[c]) - 3) // 1000 for c in ("src", "dst"))
+    assert np.array_equal(np.sort(i * n + j), want)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < len(want) / 2
+
+
+def test_gaps_of_cells_far_apart():
+    """Sparse cells take two bytes and little more, not one for each 255 between them."""
+    cells = np.sort(np.random.default_rng(5).choice(1 << 24, 4096, replace=False))
+    (part, gaps), = dense.coded(cells, 1 << 24, dense._unit(4096, 4096))
+    assert not part and gaps.nbytes < 3 * len(cells) and np.array_equal(dense.decoded(pa.scalar(gaps.tobytes(), pa.binary()), np.uint16), cells)
