@@ -310,3 +310,22 @@ def test_gaps_of_cells_far_apart():
     cells = np.sort(np.random.default_rng(5).choice(1 << 24, 4096, replace=False))
     (part, gaps), = dense.coded(cells, 1 << 24, dense._unit(4096, 4096))
     assert not part and gaps.nbytes < 3 * len(cells) and np.array_equal(dense.decoded(pa.scalar(gaps.tobytes(), pa.binary()), np.uint16), cells)
+
+
+def test_first_draws_in_rounds(spark, monkeypatch):
+    """Draws shuffled round by round hit the same pairs of several tiles, and the bits of rounds that are over are dropped."""
+    rounds, bucketed, drop = [], Scratch.bucketed, Scratch.drop
+    monkeypatch.setattr(dense, "ROUND", 100_000)
+    monkeypatch.setattr(Scratch, "bucketed", lambda self, df, name, *a, **k: rounds.append(name) or bucketed(self, df, name, *a, **k))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: [rounds.append(f"-{x}") for x in names] and drop(self, *names))
+    n, seed = 700, 3
+    inner = sorted({(7 + 10 * i, 7 + 10 * (i * k % n)) for i in range(n) for k in (1, 3, n - 1)})
+    num, known = n * n // 2, set(inner)
+    i, j = (7 + 10 * (moves.consecutive(f"{seed}|{c}|", 0, 500_000) % n) for c in "xy")
+    want = {}
+    for pair in zip(i.tolist(), j.tolist(), strict=True):
+        if len(want) < num and pair not in known and pair[0] != pair[1]:
+            want[pair] = True
+    assert len(want) == num and pairs(g.negatives(edges(spark, inner), num, seed, strict=False)) == sorted(want)
+    made = [x for x in rounds if x[0] != "-"]
+    assert len(made) >= 3 and sorted(rounds) == sorted(made + [f"-{x}" for x in made])
